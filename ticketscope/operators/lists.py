@@ -1,0 +1,54 @@
+"""Ordered lists per key that stay small however large a key is."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def list_in_parts(
+    rows: DataFrame,
+    totals: DataFrame,
+    key: str,
+    value: str,
+    order_by: Sequence[str],
+    part_size: int,
+) -> DataFrame:
+    """Collect ``value`` per ``key`` into sorted arrays: (key, part_no, part_values).
+
+    ``rows`` holds each distinct entry once with its number of ``copies``; ``totals`` holds
+    (key, total) for the keys wanted, copies included. A key with at most ``part_size`` entries
+    gives one row with the whole list. A larger one is spread by hash over as many rows as it
+    needs, each sorted, every entry in exactly one of them; an entry with very many copies is cut
+    into runs first. So a key that holds a third of all rows is neither one cell nor one task.
+    """
+    size = F.lit(part_size).cast("bigint")
+    runs = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("copies") - 1) / size))
+    parts = F.ceil(F.col("total") / size)
+    spread = (
+        rows.join(totals, key)
+        .withColumn("run", F.explode(runs))
+        .withColumn("repeats", F.least(size, F.col("copies") - F.col("run") * size).cast("int"))
+        .withColumn("part_no", 1 + F.pmod(F.xxhash64(*order_by, "run"), parts))
+        # Without this the join's partitioning by key would be kept and put all parts of a key
+        # into one task.
+        .repartition(key, "part_no")
+    )
+    entry = F.struct(
+        *[F.struct(F.col(name).isNull(), F.col(name)).alias(f"by_{name}") for name in order_by],
+        F.col(value).alias("entry"),
+        F.col("repeats").alias("repeats"),
+    )
+    return (
+        spread.groupBy(key, "part_no")
+        .agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+        .select(
+            key,
+            "part_no",
+            F.flatten(
+                F.transform("entries", lambda e: F.array_repeat(e["entry"], e["repeats"]))
+            ).alias("part_values"),
+        )
+    )
