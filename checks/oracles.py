@@ -491,8 +491,8 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT 'Resolved', min(resolved), max(resolved), count(resolved) FROM t""",
         "detect_date_format": _detect(),
         "parse_dates": _RAW + f"""SELECT "Row key" AS row_key, "Created" AS created_text,
-            {_parsed('"Created"', *_MORE_FORMATS)} AS created,
-            {_parsed('"Resolved"', *_MORE_FORMATS)} AS resolved FROM b""",
+            {_parsed('"Created"', *_MORE_FORMATS)} AS created_time,
+            {_parsed('"Resolved"', *_MORE_FORMATS)} AS resolved_time FROM b""",
         "normalize": _NORMALIZED,
         "filter_options": _OPTIONS + "SELECT * FROM o",
         "option_search": _OPTIONS + "SELECT * FROM o WHERE contains(lower(value), 'nation_1')",

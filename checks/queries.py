@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from checks.ticket_views import AS_OF, raw_ticket_rows, tickets
 from ticketscope.config import EXTENDED_DATE_FORMATS
-from ticketscope.functions.dates import parse_date
+from ticketscope.functions.dates import with_times
 from ticketscope.operators import options, quality, summary
 from ticketscope.operators.filters import TicketFilter, apply_filters, checked_priorities
 from ticketscope.operators.normalize import (
@@ -125,12 +125,16 @@ def _missing_company(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _raw(spark, sf_dir)
+    rows = with_times(
+        _raw(spark, sf_dir),
+        {"Created": "created_time", "Resolved": "resolved_time"},
+        EXTENDED_DATE_FORMATS,
+    )
     return rows.select(
         F.col("Row key").alias("row_key"),
         F.col("Created").alias("created_text"),
-        parse_date(F.col("Created"), EXTENDED_DATE_FORMATS).alias("created"),
-        parse_date(F.col("Resolved"), EXTENDED_DATE_FORMATS).alias("resolved"),
+        "created_time",
+        "resolved_time",
     )
 
 

@@ -7,10 +7,10 @@ change with the session time zone.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import date, datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketscope.functions.text import strip
@@ -45,24 +45,34 @@ def _iso_rewrite(date_format: str) -> tuple[str, str]:
     return f"^{pattern}$", f"{group['y']}-{group['M']}-{group['d']} {time}"
 
 
-def parse_with_format(text: Column, date_format: str) -> Column:
+def parse_with_format(stripped: Column, date_format: str) -> Column:
     """TIMESTAMP_NTZ if the stripped text fits the format and is a real date, else NULL."""
-    stripped = strip(text)
     pattern, iso = _iso_rewrite(date_format)
     rewritten = F.regexp_replace(stripped, pattern, iso)
     return F.when(stripped.rlike(pattern), rewritten.try_cast("timestamp_ntz"))
 
 
-def parse_date(text: Column, formats: Sequence[str]) -> Column:
+def parse_date(stripped: Column, formats: Sequence[str]) -> Column:
     """First format that fits wins; blank or unreadable text is NULL."""
-    return F.coalesce(*[parse_with_format(text, f) for f in formats])
-
-
-def to_ticket_time(column: Column, spark_type: str, formats: Sequence[str]) -> Column:
-    """Parse a text column; a column that is already a date or timestamp is only cast."""
-    if spark_type == "string":
-        return parse_date(column, formats)
-    return column.cast("timestamp_ntz")
+    return F.coalesce(*[parse_with_format(stripped, f) for f in formats])
+
+
+def with_times(rows: DataFrame, names: Mapping[str, str], formats: Sequence[str]) -> DataFrame:
+    """Add a TIMESTAMP_NTZ column for each date column in ``names`` (source -> new name).
+
+    Text is parsed, a column that is already a date or timestamp is cast. Stripping is a step
+    of its own, so that it happens once per cell and not once per format.
+    """
+    types = dict(rows.dtypes)
+    text = {new: strip(F.col(f"`{old}`")) for old, new in names.items() if types[old] == "string"}
+    typed = {
+        new: F.col(f"`{old}`").cast("timestamp_ntz")
+        for old, new in names.items()
+        if types[old] != "string"
+    }
+    return rows.withColumns({**text, **typed}).withColumns(
+        {new: parse_date(F.col(f"`{new}`"), formats) for new in text}
+    )
 
 
 def seconds_between(start: Column, end: Column) -> Column:

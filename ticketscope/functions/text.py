@@ -25,7 +25,6 @@ def null_tokens_to_null(text: Column) -> Column:
     return F.when(~text.isin(*NULL_TOKENS), text)
 
 
-def clean_text(text: Column) -> Column:
-    """Strip a text cell; missing cells and the word ``nan`` become the empty string."""
-    stripped = strip(text)
+def blank_if_missing(stripped: Column) -> Column:
+    """Missing cells and the word ``nan`` become the empty string."""
     return F.when(stripped != "nan", stripped).otherwise(F.lit(""))

@@ -19,10 +19,10 @@ from ticketscope.config import (
 from ticketscope.functions.dates import (
     seconds_between,
     timestamp_literal,
-    to_ticket_time,
     whole_days_between,
+    with_times,
 )
-from ticketscope.functions.text import clean_text, null_tokens_to_null, strip
+from ticketscope.functions.text import blank_if_missing, null_tokens_to_null, strip
 
 _CLEANED_TEXT = ("Site", "Company", "Category", "Subcategory", "Short description")
 _OPTIONAL_TYPES = {
@@ -84,21 +84,28 @@ def clean(raw: DataFrame, config: Config = DEFAULT_CONFIG) -> DataFrame:
     missing = missing_columns(raw, config)
     if missing:
         raise MissingColumnsError(f"Missing required columns: {', '.join(missing)}")
-    types = dict(raw.dtypes)
+    text = [n for n in (*_CLEANED_TEXT, "Priority", "Number") if n in raw.columns]
+    stripped = with_times(
+        raw.withColumns(
+            {
+                name: F.col(f"`{name}`").cast("string") if name == "Number"
+                else strip(F.col(f"`{name}`").cast("string"))
+                for name in text
+            }
+        ),
+        {name: name for name in ("Created", "Resolved") if name in raw.columns},
+        config.date_formats,
+    )
 
     def standard(name: str) -> Column:
-        if name not in types:
+        if name not in raw.columns:
             return F.lit(None).cast(_OPTIONAL_TYPES[name])
         column = F.col(f"`{name}`")
-        if name in ("Created", "Resolved"):
-            return to_ticket_time(column, types[name], config.date_formats)
-        if name in _CLEANED_TEXT:
-            return clean_text(column.cast("string"))
-        return strip(column.cast("string")) if name == "Priority" else column.cast("string")
+        return blank_if_missing(column) if name in _CLEANED_TEXT else column
 
-    present = [n for n in STANDARD_COLUMNS if n in types or n in _OPTIONAL_TYPES]
+    present = [n for n in STANDARD_COLUMNS if n in raw.columns or n in _OPTIONAL_TYPES]
     extra = [n for n in raw.columns if n not in STANDARD_COLUMNS]
-    return raw.select(
+    return stripped.select(
         *[standard(name).alias(STANDARD_COLUMNS[name]) for name in present],
         *[F.col(f"`{name}`") for name in extra],
     )

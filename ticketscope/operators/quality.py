@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketscope.config import DEFAULT_CONFIG, PRIORITIES, Config
-from ticketscope.functions.dates import parse_with_format, to_ticket_time
+from ticketscope.functions.dates import parse_with_format, with_times
 from ticketscope.functions.numbers import percent, round1, text1
+from ticketscope.functions.text import strip
 from ticketscope.operators.normalize import missing_columns
 
 # Share of a sample above which a date format counts as detected, and missing values (in
@@ -62,18 +63,24 @@ def duplicate_numbers(raw: DataFrame) -> DataFrame:
     )
 
 
-def _bad_date(raw: DataFrame, name: str, config: Config) -> Column:
-    kind = dict(raw.dtypes)[name]
-    parsed = to_ticket_time(F.col(name), kind, config.date_formats)
-    if name == "Created":
-        return parsed.isNull()
-    return F.col(name).isNotNull() & parsed.isNull()
+_TIMES = {"Created": "_created_time", "Resolved": "_resolved_time"}
+
+
+def _parsed(raw: DataFrame, config: Config) -> DataFrame:
+    names = {name: time for name, time in _TIMES.items() if name in raw.columns}
+    return with_times(raw, names, config.date_formats)
+
+
+def _bad_dates(name: str) -> Column:
+    """Number of bad cells; a missing Created is bad, a missing Resolved is an open ticket."""
+    bad = F.col(_TIMES[name]).isNull()
+    return F.count_if(bad if name == "Created" else bad & F.col(name).isNotNull())
 
 
 def bad_dates(raw: DataFrame, config: Config = DEFAULT_CONFIG) -> DataFrame:
-    """Values per date column that are no dates; a missing Created counts, a missing Resolved not."""
-    present = [name for name in ("Created", "Resolved") if name in raw.columns]
-    figures = raw.agg(*[F.count_if(_bad_date(raw, name, config)).alias(name) for name in present])
+    """Values per date column that are no dates, judged by the parser that loads them."""
+    present = [name for name in _TIMES if name in raw.columns]
+    figures = _parsed(raw, config).agg(*[_bad_dates(name).alias(name) for name in present])
     return figures.unpivot([], present, "column_name", "bad_dates")
 
 
@@ -87,12 +94,12 @@ def validate(raw: DataFrame, config: Config = DEFAULT_CONFIG) -> DataFrame:
     present = [name for name in config.required_columns if name in raw.columns]
     aggregates = [F.count(F.lit(1)).alias("rows")]
     aggregates += [F.count_if(F.col(f"`{n}`").isNull()).alias(f"nulls_{i}") for i, n in enumerate(present)]
-    dates = [name for name in ("Created", "Resolved") if name in raw.columns]
-    aggregates += [F.count_if(_bad_date(raw, n, config)).alias(f"bad_{n}") for n in dates]
+    dates = [name for name in _TIMES if name in raw.columns]
+    aggregates += [_bad_dates(name).alias(f"bad_{name}") for name in dates]
     if "Priority" in raw.columns:
         unexpected = F.when(~F.col("Priority").isin(*PRIORITIES), F.col("Priority"))
         aggregates.append(F.count_distinct(unexpected).alias("unexpected"))
-    figures = raw.agg(*aggregates)
+    figures = _parsed(raw, config).agg(*aggregates)
 
     rows = F.col("rows")
     findings = [_finding("record_count", "", "info", rows, _text(rows, " records"))]
@@ -157,12 +164,13 @@ def detect_date_format(
 
     The earlier format wins a tie. All rows are judged unless ``sample_size`` is given.
     """
-    rows = raw if sample_size is None else raw.limit(sample_size)
+    stripped = raw.select(strip(F.col(f"`{column}`")).alias("cell"))
+    rows = stripped if sample_size is None else stripped.limit(sample_size)
     shares = [f"share_{i}" for i in range(len(formats))]
     figures = rows.agg(
         *[
             F.try_divide(
-                F.count_if(parse_with_format(F.col(column), f).isNotNull()).cast("double"),
+                F.count_if(parse_with_format(F.col("cell"), f).isNotNull()).cast("double"),
                 F.count(F.lit(1)),
             ).alias(share)
             for f, share in zip(formats, shares)
