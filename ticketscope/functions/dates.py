@@ -30,13 +30,13 @@ def _iso_rewrite(date_format: str) -> tuple[str, str]:
     """Regex matching ``date_format`` and the replacement that reorders it as ISO text."""
     pattern, group = "", {}
     for token in _TOKEN.findall(date_format):
-        if token[0] in _FIELD_PATTERNS:
+        if token[0] in _FIELD_PATTERNS and token != "y" and token[0] not in group:
             group[token[0]] = f"${len(group) + 1}"
             pattern += _FIELD_PATTERNS[token[0]]
         elif token.isspace():
             pattern += r"\s+"
         elif token.isalpha():
-            raise ValueError(f"unknown letter {token!r} in date format {date_format!r}")
+            raise ValueError(f"unknown or repeated {token!r} in date format {date_format!r}")
         else:
             pattern += re.escape(token)
     if not {"y", "M", "d"} <= group.keys():

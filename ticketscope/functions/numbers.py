@@ -42,7 +42,7 @@ def printed_tenths(value: Column) -> Column:
 
 def text1(value: Column) -> Column:
     """A number with one decimal as text; for values already rounded by ``round1``."""
-    return F.format_string("%.1f", value)
+    return F.when(value.isNotNull(), F.format_string("%.1f", value))
 
 
 def printed1(value: Column) -> Column:
