@@ -2,6 +2,7 @@ from datetime import date, datetime
 
 import pytest
 from conftest import AS_OF, rows_of
+from pyspark.sql import functions as F
 
 from ticketscope.config import Config
 from ticketscope.operators.site_reports import hotspot_ticket_lists
@@ -52,6 +53,20 @@ def test_long_hotspot_lists_are_spread_and_whole(tickets):
     assert [r["ticket_part"] for r in report.collect() if r["site"] == "Store 2"] == [1]
 
 
+def test_parts_of_a_hot_site_go_to_several_tasks(spark, tickets):
+    found = tickets(*[{"Priority": CRIT}] * 200, {"Site": "Store 2", "Priority": CRIT})
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        parts = hotspot_ticket_lists(found, Config(list_part_size=10))
+        tasks = parts.select(F.spark_partition_id().alias("task"), "part_no", "tickets").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len({row["task"] for row in tasks}) > 1
+    assert sum(len(row["tickets"].split(", ")) for row in tasks) == 200
+
+
 def test_scorecard_status_edges(tickets):
     found = tickets(
         {"Site": "A", "Created": "7/1/2025 0:00", "Resolved": "7/2/2025 0:00"},

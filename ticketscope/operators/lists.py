@@ -13,42 +13,40 @@ def list_in_parts(
     totals: DataFrame,
     key: str,
     value: str,
-    order_by: Sequence[str],
     part_size: int,
+    order_by: Sequence[str] = (),
 ) -> DataFrame:
     """Collect ``value`` per ``key`` into sorted arrays: (key, part_no, part_values).
 
     ``rows`` holds each distinct entry once with its number of ``copies``; ``totals`` holds
-    (key, total) for the keys wanted, copies included. A key with at most ``part_size`` entries
-    gives one row with the whole list. A larger one is spread by hash over as many rows as it
-    needs, each sorted, every entry in exactly one of them; an entry with very many copies is cut
-    into runs first. So a key that holds a third of all rows is neither one cell nor one task.
+    (key, total) for the keys wanted, copies included. Entries are sorted by ``order_by``, NULL
+    last, then by ``value``, which is never NULL.
+
+    A key with at most ``part_size`` entries gives one row with the whole list. A larger one is
+    spread by hash over as many rows as it needs, each sorted, every entry and every copy in
+    exactly one of them. So a key that holds a third of all rows is neither one cell nor one task.
     """
-    size = F.lit(part_size).cast("bigint")
-    runs = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("copies") - 1) / size))
-    parts = F.ceil(F.col("total") / size)
+    zero, one, size = (F.lit(n).cast("bigint") for n in (0, 1, part_size))
+    # Copies are written out in two steps: no array of the first step grows with the data
+    # faster than copies / part_size, none of the second is longer than part_size.
+    first_of_run = F.explode(F.sequence(zero, F.col("copies") - 1, size))
+    last_of_run = F.least(F.col("run") + size, F.col("copies")) - 1
     spread = (
         rows.join(totals, key)
-        .withColumn("run", F.explode(runs))
-        .withColumn("repeats", F.least(size, F.col("copies") - F.col("run") * size).cast("int"))
-        .withColumn("part_no", 1 + F.pmod(F.xxhash64(*order_by, "run"), parts))
+        .withColumn("run", first_of_run)
+        .withColumn("copy", F.explode(F.sequence(F.col("run"), last_of_run, one)))
+        .withColumn("parts", F.ceil(F.col("total") / size))
+        .withColumn("part_no", 1 + F.pmod(F.xxhash64(*order_by, value, "copy"), F.col("parts")))
         # Without this the join's partitioning by key would be kept and put all parts of a key
         # into one task.
         .repartition(key, "part_no")
     )
+    sorted_by = [c for name in order_by for c in (F.col(name).isNull(), F.col(name))]
     entry = F.struct(
-        *[F.struct(F.col(name).isNull(), F.col(name)).alias(f"by_{name}") for name in order_by],
-        F.col(value).alias("entry"),
-        F.col("repeats").alias("repeats"),
+        *[c.alias(f"by_{i}") for i, c in enumerate(sorted_by)], F.col(value).alias("entry")
     )
     return (
         spread.groupBy(key, "part_no")
-        .agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-        .select(
-            key,
-            "part_no",
-            F.flatten(
-                F.transform("entries", lambda e: F.array_repeat(e["entry"], e["repeats"]))
-            ).alias("part_values"),
-        )
+        .agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+        .select(key, "part_no", F.col("entries.entry").alias("part_values"))
     )

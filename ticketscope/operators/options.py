@@ -30,7 +30,6 @@ def category_map(tickets: DataFrame, config: Config = DEFAULT_CONFIG) -> DataFra
         totals,
         "category",
         "subcategory",
-        ("subcategory",),
         config.list_part_size,
     ).select(
         "category", F.col("part_no").alias("list_part"), F.col("part_values").alias("subcategories")

@@ -46,7 +46,7 @@ def hotspot_ticket_lists(tickets: DataFrame, config: Config = DEFAULT_CONFIG) ->
         .agg(F.count(F.lit(1)).alias("copies"))
     )
     parts = list_in_parts(
-        numbers, totals, "site", "number", ("created", "number"), config.list_part_size
+        numbers, totals, "site", "number", config.list_part_size, order_by=["created"]
     )
     return parts.select("site", "part_no", F.array_join("part_values", ", ").alias("tickets"))
 

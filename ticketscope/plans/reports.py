@@ -85,7 +85,7 @@ REPORTS = {
     "incident_details": Report(
         "All Tickets",
         ticket_reports.incident_details,
-        _by("site", "-created", "number"),
+        _by("site", "-created", "number", "company", "resolved", "category_label", "description"),
         display.incidents,
     ),
 }
