@@ -14,8 +14,19 @@ from ticketscope.operators.normalize import normalize
 AS_OF = "2001-12-31 00:00:00"
 
 
+# The columns used, so that Spark need not open the files to find out.
+_SCHEMAS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+              " o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int",
+    "nation": "n_nationkey int, n_name string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string",
+}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def ticket_rows(spark: SparkSession, sf_dir: str, categories: bool = True) -> DataFrame:
@@ -25,8 +36,8 @@ def ticket_rows(spark: SparkSession, sf_dir: str, categories: bool = True) -> Da
     neither.
     """
     orders = _table(spark, sf_dir, "orders")
-    customers = _table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey")
-    nations = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    customers = _table(spark, sf_dir, "customer")
+    nations = _table(spark, sf_dir, "nation")
     rows = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(
         nations, F.col("c_nationkey") == F.col("n_nationkey")
     )
@@ -54,7 +65,7 @@ def ticket_rows(spark: SparkSession, sf_dir: str, categories: bool = True) -> Da
     if categories:
         lines = _table(spark, sf_dir, "lineitem")
         first = lines.groupBy("l_orderkey").agg(F.min("l_partkey").alias("first_part"))
-        parts = _table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand")
+        parts = _table(spark, sf_dir, "part")
         rows = rows.join(first, F.col("o_orderkey") == F.col("l_orderkey"), "left").join(
             parts, F.col("first_part") == F.col("p_partkey"), "left"
         )
