@@ -393,7 +393,7 @@ def _dq_report() -> str:
     for c in _REQUIRED:
         share = _pct(f'count_if("{c}" IS NULL)', "count(*)")
         rows.append(row("completeness", c, "warning", f'count_if("{c}" IS NULL)',
-                        f"'Column ''{c}'' has ' || {_t1(_r1(share))} || '% missing values'",
+                        f"'Column ''{c}'' has ' || {_t1(share)} || '% missing values'",
                         f"{share} > 10"))
     unexpected = (f'count(DISTINCT "Priority") FILTER ("Priority" NOT IN {_ALL_PRIORITIES})')
     rows.append(row("priority_values", "Priority", "warning", unexpected,

@@ -7,15 +7,14 @@ from conftest import AS_OF, rows_of
 from checks.compare import _sorted_rows
 from ticketscope import TicketDataset, TicketFilter
 from ticketscope.operators.filters import apply_filters
-from ticketscope.operators.normalize import normalize
+from ticketscope.operators.normalize import normalize, without_derived
 from ticketscope.plans.reports import REPORTS, run_report
-from ticketscope.sources.readers import load_metadata, read_tickets
+from ticketscope.sources.readers import load_metadata, read_stored, read_tickets
 from ticketscope.sources.writers import (
     export,
     export_selected,
     export_tickets,
     selected_rows,
-    store_tickets,
 )
 
 CSV = '''Site,Number,Short description,Category,Subcategory,Priority,Created,Resolved,Company,Owner
@@ -118,14 +117,27 @@ def test_export_tickets_can_be_loaded_again(spark, tickets, tmp_path):
 
 def test_stored_tickets_prune_days(spark, tickets, tmp_path):
     found = tickets(*[{"Created": f"7/{d}/2025 8:00"} for d in range(1, 21)], {"Created": "junk"})
-    store_tickets(found, str(tmp_path / "stored"))
-    stored = spark.read.parquet(str(tmp_path / "stored"))
+    path = str(tmp_path / "stored")
+    TicketDataset(found, found, AS_OF).store(path)
+    stored = read_stored(spark, path, AS_OF)
     conditions = TicketFilter(date_from="2025-07-05", date_to="2025-07-07", inclusive_end=True)
     chosen = apply_filters(stored, conditions)
     assert same(chosen.drop("created_date"), apply_filters(found, conditions))
     assert same(stored.drop("created_date"), found)
     plan = chosen._jdf.queryExecution().executedPlan().toString()
     assert "created_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    # Another "now" changes the ages, and exports do not show the partition column.
+    later = TicketDataset.open(spark, path, "2025-09-01 00:00:00")
+    assert later.report("green_list").first()["uptime_days"] == 42
+    assert same(later.raw, without_derived(found))
+    assert later.validation().filter("check_name = 'bad_dates'").count() == 1
+
+
+def test_json_with_named_columns(spark, csv, tmp_path):
+    raw = read_tickets(spark, csv)
+    raw.write.json(str(tmp_path / "t.json"))
+    named = read_tickets(spark, str(tmp_path / "t.json"), columns=["Site", "Number"])
+    assert same(named, raw.select("Site", "Number"))
 
 
 @pytest.mark.parametrize("format", ["csv", "parquet", "json"])

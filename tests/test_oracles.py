@@ -68,20 +68,24 @@ def test_drill_down_is_a_part_of_the_details(found):
 
 
 @pytest.mark.parametrize("name", ["critical_hotspots", "site_scorecard", "equipment_analysis",
-                                  "franchise_overview", "resolution_tracking", "incident_details"])
-def test_results_do_not_depend_on_partitions_or_broadcasts(spark, found, name):
+                                  "franchise_overview", "resolution_tracking", "incident_details",
+                                  "workload_trends"])
+def test_results_do_not_depend_on_partitions_broadcasts_or_time_zone(spark, found, name):
     expected = rows_of(run_report(name, found, AS_OF))
     settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.autoBroadcastJoinThreshold": "-1",
-                "spark.sql.adaptive.enabled": "false"}
+                "spark.sql.adaptive.enabled": "false",
+                "spark.sql.session.timeZone": "America/New_York"}
     before = {key: spark.conf.get(key) for key in settings}
     try:
         for key, value in settings.items():
             spark.conf.set(key, value)
         shuffled = found.repartition(7, "created")
         assert rows_of(run_report(name, shuffled, AS_OF)) == expected
+        shown = rows_of(run_report(name, shuffled, AS_OF, as_text=True))
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
+    assert shown == rows_of(run_report(name, found, AS_OF, as_text=True))
 
 
 def test_order_of_reports_follows_the_sort_columns(found):

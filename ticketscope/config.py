@@ -59,6 +59,9 @@ DERIVED_COLUMNS = (
     "days_since_created",
 )
 
+# Partition column of stored tickets.
+DAY_COLUMN = "created_date"
+
 
 @dataclass(frozen=True)
 class Config:

@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from ticketscope.config import DEFAULT_CONFIG, Config
 from ticketscope.operators import options, quality, summary
 from ticketscope.operators.filters import TicketFilter, apply_filters
-from ticketscope.operators.normalize import normalize, rename_columns
+from ticketscope.operators.normalize import normalize, rename_columns, without_derived
 from ticketscope.operators.ticket_reports import site_drill_down
 from ticketscope.plans.bundle import export_everything
 from ticketscope.plans.display import incidents
 from ticketscope.plans.reports import REPORTS, run_report
-from ticketscope.sources.readers import load_metadata, read_tickets
+from ticketscope.sources.readers import load_metadata, read_stored, read_tickets
+from ticketscope.sources.writers import store_tickets
 
 _NO_FILTER = TicketFilter()
 
@@ -46,6 +47,18 @@ class TicketDataset:
         raw = rename_columns(read_tickets(spark, path, format, multiline), column_mapping or {})
         return cls(raw, normalize(raw, as_of, config), as_of, config, path)
 
+    @classmethod
+    def open(
+        cls, spark: SparkSession, path: str, as_of: datetime | str, config: Config = DEFAULT_CONFIG
+    ) -> TicketDataset:
+        """Tickets that ``store`` wrote; they are clean, so raw rows and tickets are the same."""
+        tickets = read_stored(spark, path, as_of)
+        return cls(without_derived(tickets), tickets, as_of, config, path)
+
+    def store(self, path: str, mode: str = "errorifexists") -> None:
+        """Keep the clean tickets as a table partitioned by day, the way to report many times."""
+        store_tickets(self.tickets, path, mode)
+
     def filtered(self, conditions: TicketFilter = _NO_FILTER) -> DataFrame:
         return apply_filters(self.tickets, conditions)
 

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketscope.config import PRIORITIES
+from ticketscope.config import DAY_COLUMN, PRIORITIES
 from ticketscope.functions.dates import timestamp_literal
 
 # The named date ranges, in days, "YTD" for this year, "ALL" for no limit.
@@ -92,9 +92,9 @@ class TicketFilter:
         """The date range again, on the partition column of stored tickets."""
         found = []
         if self.date_from:
-            found.append(F.col("created_date") >= F.lit(_as_datetime(self.date_from).date()))
+            found.append(F.col(DAY_COLUMN) >= F.lit(_as_datetime(self.date_from).date()))
         if self.date_to:
-            found.append(F.col("created_date") <= F.lit(_as_datetime(self.date_to).date()))
+            found.append(F.col(DAY_COLUMN) <= F.lit(_as_datetime(self.date_to).date()))
         return found
 
     def to_column(self) -> Column:
@@ -133,10 +133,10 @@ def checked_priorities(
 def apply_filters(tickets: DataFrame, conditions: TicketFilter) -> DataFrame:
     """Tickets that fulfil all conditions.
 
-    On tickets stored by date (``created_date`` column) the date range prunes partitions.
+    On tickets stored by date (``store_tickets``) the date range prunes partitions.
     """
     filtered = tickets.filter(conditions.to_column())
-    if "created_date" in tickets.columns:
+    if DAY_COLUMN in tickets.columns:
         for condition in conditions.partition_conditions():
             filtered = filtered.filter(condition)
     return filtered

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ticketscope.config import (
     COLUMN_ALIASES,
     CRITICAL,
+    DAY_COLUMN,
     DEFAULT_CONFIG,
     DERIVED_COLUMNS,
     STANDARD_COLUMNS,
@@ -137,7 +138,7 @@ def normalize(raw: DataFrame, as_of: datetime | str, config: Config = DEFAULT_CO
 def without_derived(tickets: DataFrame) -> DataFrame:
     """The tickets under their file headers and without the derived columns."""
     headers = {inner: header for header, inner in STANDARD_COLUMNS.items()}
-    return tickets.drop(*DERIVED_COLUMNS).withColumnsRenamed(headers)
+    return tickets.drop(*DERIVED_COLUMNS, DAY_COLUMN).withColumnsRenamed(headers)
 
 
 def with_inner_names(tickets: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ticketscope.config import DEFAULT_CONFIG, PRIORITIES, Config
 from ticketscope.functions.dates import parse_with_format, with_times
-from ticketscope.functions.numbers import percent, round1, text1
+from ticketscope.functions.numbers import percent, printed1, round1
 from ticketscope.functions.text import strip
 from ticketscope.operators.normalize import missing_columns
 
@@ -114,7 +114,7 @@ def validate(raw: DataFrame, config: Config = DEFAULT_CONFIG) -> DataFrame:
     for i, name in enumerate(present):
         nulls = F.col(f"nulls_{i}")
         share = percent(nulls, rows)
-        message = F.concat(F.lit(f"Column '{name}' has "), text1(round1(share)),
+        message = F.concat(F.lit(f"Column '{name}' has "), printed1(share),
                            F.lit("% missing values"))
         findings.append(
             _finding("completeness", name, "warning", nulls,

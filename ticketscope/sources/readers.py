@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ticketscope.functions.dates import timestamp_literal
-from ticketscope.operators.normalize import blank_null_tokens
+from ticketscope.operators.normalize import blank_null_tokens, derive
 
 _EXTENSIONS = {".csv": "csv", ".json": "json", ".parquet": "parquet"}
 
@@ -25,13 +27,18 @@ def format_of(path: str) -> str:
 
 
 def read_tickets(
-    spark: SparkSession, path: str, format: str | None = None, multiline: bool = True
+    spark: SparkSession,
+    path: str,
+    format: str | None = None,
+    multiline: bool = True,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """Raw tickets from a path (``csv``, ``json``, ``parquet``) or a catalog ``table``.
 
-    Text formats are read as strings, without a pass that guesses types, and cells that mean
-    "missing" become NULL. Quoted CSV cells may hold line breaks; if yours do not, set
-    ``multiline=False`` so that Spark can split large files (with line breaks, a file is one task).
+    Text formats are read as strings, without guessing types, and cells that mean "missing"
+    become NULL. Quoted CSV cells may hold line breaks; if yours do not, set
+    ``multiline=False`` so that Spark can split large files (with line breaks, a file is one
+    task). JSON files are read once more to find their columns unless ``columns`` names them.
     """
     kind = format or format_of(path)
     if kind == "csv":
@@ -40,7 +47,8 @@ def read_tickets(
         )
         return blank_null_tokens(raw)
     if kind == "json":
-        return blank_null_tokens(spark.read.json(path, primitivesAsString=True))
+        schema = columns and StructType([StructField(name, StringType()) for name in columns])
+        return blank_null_tokens(spark.read.json(path, schema, primitivesAsString=True))
     if kind == "parquet":
         return spark.read.parquet(path)
     if kind == "table":
@@ -48,6 +56,11 @@ def read_tickets(
     raise ValueError(f"Unsupported format {kind!r}")
 
 
+def read_stored(spark: SparkSession, path: str, as_of: datetime | str) -> DataFrame:
+    """Tickets written by ``store_tickets``, with the derived columns as of the given moment."""
+    return derive(spark.read.parquet(path), as_of)
+
+
 def load_metadata(tickets: DataFrame, path: str, loaded_at: datetime | str) -> DataFrame:
     """One row about a loaded dataset."""
     return tickets.agg(F.count(F.lit(1)).alias("total_records")).select(

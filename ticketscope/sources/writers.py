@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ticketscope.config import DAY_COLUMN, DERIVED_COLUMNS
 from ticketscope.operators.normalize import without_derived
 
 _TEXT_OPTIONS = {"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"}
@@ -56,16 +57,12 @@ def export_tickets(
 
 
 def store_tickets(tickets: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Store clean tickets as Parquet, partitioned by day of creation.
+    """Store clean tickets as Parquet, partitioned by day of creation, for ``read_stored``.
 
-    Date filters then read only the days they need. The rows are split by ranges of day, site
-    and number, so a day or a site with very many tickets goes to several tasks and files.
+    Date filters then read only the days they need. The rows are split by ranges of day, site,
+    time and number, so a day or a site with very many tickets goes to several tasks and files.
+    Derived columns are left out: they depend on the moment that counts as "now".
     """
-    by_day = tickets.withColumn("created_date", F.col("created").cast("date"))
-    spread = [c for c in ("created_date", "site", "created", "number") if c in by_day.columns]
-    (
-        by_day.repartitionByRange(*spread)
-        .write.partitionBy("created_date")
-        .mode(mode)
-        .parquet(path)
-    )
+    by_day = tickets.drop(*DERIVED_COLUMNS).withColumn(DAY_COLUMN, F.col("created").cast("date"))
+    spread = [c for c in (DAY_COLUMN, "site", "created", "number") if c in by_day.columns]
+    by_day.repartitionByRange(*spread).write.partitionBy(DAY_COLUMN).mode(mode).parquet(path)
