@@ -67,6 +67,18 @@ def test_parts_of_a_hot_site_go_to_several_tasks(spark, tickets):
     assert sum(len(row["tickets"].split(", ")) for row in tasks) == 200
 
 
+def test_identical_tickets_are_sorted_by_several_tasks(spark, tickets):
+    found = tickets(*[{"Number": "SAME"}] * 400).repartition(4)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = run_report("incident_details", found, AS_OF)
+        tasks = [r[0] for r in rows.select(F.spark_partition_id()).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(tasks) == 400 and len(set(tasks)) > 1
+    assert rows.columns == run_report("incident_details", found, AS_OF, ordered=False).columns
+
+
 def test_scorecard_status_edges(tickets):
     found = tickets(
         {"Site": "A", "Created": "7/1/2025 0:00", "Resolved": "7/2/2025 0:00"},

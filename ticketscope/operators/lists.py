@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ticketscope.operators.joins import spread_join
+
 
 def list_in_parts(
     rows: DataFrame,
@@ -20,7 +22,8 @@ def list_in_parts(
 
     ``rows`` holds each distinct entry once with its number of ``copies``; ``totals`` holds
     (key, total) for the keys wanted, copies included. Entries are sorted by ``order_by``, NULL
-    last, then by ``value``, which is never NULL.
+    last, then by ``value``. A row whose value is NULL is no entry, but it gives a key without
+    entries a row with an empty list; a key has at most one such row, with one copy.
 
     A key with at most ``part_size`` entries gives one row with the whole list. A larger one is
     spread by hash over as many rows as it needs, each sorted, every entry and every copy in
@@ -31,12 +34,13 @@ def list_in_parts(
     # faster than copies / part_size, none of the second is longer than part_size.
     first_of_run = F.explode(F.sequence(zero, F.col("copies") - 1, size))
     last_of_run = F.least(F.col("run") + size, F.col("copies")) - 1
+    chosen = 1 + F.pmod(F.xxhash64(*order_by, value, "copy"), F.col("parts"))
     spread = (
-        rows.join(totals, key)
+        spread_join(rows, totals, key)
         .withColumn("run", first_of_run)
         .withColumn("copy", F.explode(F.sequence(F.col("run"), last_of_run, one)))
-        .withColumn("parts", F.ceil(F.col("total") / size))
-        .withColumn("part_no", 1 + F.pmod(F.xxhash64(*order_by, value, "copy"), F.col("parts")))
+        .withColumn("parts", F.greatest(F.ceil(F.col("total") / size), one))
+        .withColumn("part_no", F.when(F.col(value).isNull(), one).otherwise(chosen))
         # Without this the join's partitioning by key would be kept and put all parts of a key
         # into one task.
         .repartition(key, "part_no")
@@ -45,8 +49,10 @@ def list_in_parts(
     entry = F.struct(
         *[c.alias(f"by_{i}") for i, c in enumerate(sorted_by)], F.col(value).alias("entry")
     )
+    listed = F.collect_list(F.when(F.col(value).isNotNull(), entry))
     return (
         spread.groupBy(key, "part_no")
-        .agg(F.sort_array(F.collect_list(entry)).alias("entries"))
+        .agg(F.sort_array(listed).alias("entries"), F.max("total").alias("total"))
+        .filter((F.size("entries") > 0) | (F.col("total") == 0))
         .select(key, "part_no", F.col("entries.entry").alias("part_values"))
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ticketscope.config import CRITICAL, DEFAULT_CONFIG, Config
 from ticketscope.functions.dates import timestamp_literal, whole_days_between
 from ticketscope.functions.numbers import mean_hours, percent, round1
+from ticketscope.operators.joins import spread_join
 from ticketscope.operators.lists import list_in_parts
 from ticketscope.operators.normalize import require_number
 from ticketscope.operators.rollup import site_rollup
@@ -37,18 +38,24 @@ def hotspot_ticket_lists(tickets: DataFrame, config: Config = DEFAULT_CONFIG) ->
         _critical_rollup(tickets)
         .groupBy("site")
         .agg(F.sum("numbered").alias("total"), F.max("critical_count").alias("most"))
-        .filter((F.col("most") >= config.critical_threshold) & (F.col("total") > 0))
+        .filter(F.col("most") >= config.critical_threshold)
         .select("site", "total")
     )
+    # All tickets without a number become one row per site.
+    count = F.when(F.col("number").isNull(), 1).otherwise(F.count(F.lit(1)))
     numbers = (
-        tickets.filter((F.col("priority") == CRITICAL) & F.col("number").isNotNull())
+        tickets.filter(F.col("priority") == CRITICAL)
+        .select("site", F.when(F.col("number").isNotNull(), F.col("created")).alias("created"), "number")
         .groupBy("site", "created", "number")
-        .agg(F.count(F.lit(1)).alias("copies"))
+        .agg(count.cast("bigint").alias("copies"))
     )
-    parts = list_in_parts(
+    listed = list_in_parts(
         numbers, totals, "site", "number", config.list_part_size, order_by=["created"]
     )
-    return parts.select("site", "part_no", F.array_join("part_values", ", ").alias("tickets"))
+    text = F.when(F.size("part_values") > 0, F.array_join("part_values", ", "))
+    return listed.select(
+        "site", "part_no", F.coalesce(text, F.lit("No ticket #s")).alias("tickets")
+    )
 
 
 def critical_hotspots(
@@ -65,7 +72,7 @@ def critical_hotspots(
         .filter(F.col("critical_count") >= config.critical_threshold)
         .drop("numbered")
     )
-    return hotspots.join(hotspot_ticket_lists(tickets, config), "site", "left").select(
+    return spread_join(hotspot_ticket_lists(tickets, config), hotspots, "site").select(
         "site",
         "company",
         "critical_count",
@@ -73,8 +80,8 @@ def critical_hotspots(
         whole_days_between(F.col("latest_incident"), timestamp_literal(as_of)).alias(
             "days_since_last"
         ),
-        F.coalesce("part_no", F.lit(1)).cast("bigint").alias("ticket_part"),
-        F.coalesce("tickets", F.lit("No ticket #s")).alias("all_critical_tickets"),
+        F.col("part_no").alias("ticket_part"),
+        F.col("tickets").alias("all_critical_tickets"),
     )
 
 

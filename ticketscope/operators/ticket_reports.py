@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ticketscope.config import DEFAULT_CONFIG, Config
 from ticketscope.functions.dates import timestamp_literal, week_start, whole_days_between
 from ticketscope.functions.numbers import percent, round1
+from ticketscope.operators.joins import spread_join
 from ticketscope.operators.normalize import require_number
 
 # Weekday names, Monday first.
@@ -87,8 +88,8 @@ def with_sample_tickets(report: DataFrame, tickets: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.array_join("shown", ", "), more))
     )
     lookup = sizes.join(samples, "site", "left")
-    return report.join(lookup, "site", "left").select(
-        *[report[name] for name in report.columns], text.alias("sample_tickets")
+    return spread_join(report, lookup, "site", "left").select(
+        *report.columns, text.alias("sample_tickets")
     )
 
 

@@ -16,12 +16,16 @@ from ticketscope.plans import display
 
 @dataclass(frozen=True)
 class Report:
-    """``build`` makes typed rows without sorting them, so that they can feed other steps."""
+    """``build`` makes typed rows without sorting them, so that they can feed other steps.
+
+    ``one_row_per_ticket`` marks reports that can hold any number of identical rows.
+    """
 
     title: str
     build: Callable[[DataFrame, datetime | str, Config], DataFrame]
     order: Callable[[], list[Column]]
     show: display.Display
+    one_row_per_ticket: bool = False
 
 
 def _by(*names: str) -> Callable[[], list[Column]]:
@@ -75,6 +79,7 @@ REPORTS = {
         ticket_reports.resolution_tracking,
         _by("-days_overdue", "number", "site"),
         display.resolution,
+        one_row_per_ticket=True,
     ),
     "workload_trends": Report(
         "Workload Trends",
@@ -87,6 +92,7 @@ REPORTS = {
         ticket_reports.incident_details,
         _by("site", "-created", "number", "company", "resolved", "category_label", "description"),
         display.incidents,
+        one_row_per_ticket=True,
     ),
 }
 
@@ -102,12 +108,17 @@ def run_report(
     """Build a report over (filtered) tickets.
 
     ``ordered=False`` saves the global sort where the rows are processed further. The text
-    columns are made after the sort, so the sort moves typed values.
+    columns are made after the sort, so the sort moves typed values. In reports with a row per
+    ticket the number of the reading task is the last sort key: it lets the sort split identical
+    rows, which all would go to one task otherwise.
     """
     if name not in REPORTS:
         raise ValueError(f"Unknown report {name!r}; known: {', '.join(REPORTS)}")
     report = REPORTS[name]
     rows = report.build(tickets, as_of, config)
-    if ordered:
+    if ordered and report.one_row_per_ticket:
+        tasks = rows.withColumn("_task", F.spark_partition_id())
+        rows = tasks.orderBy(*report.order(), "_task").drop("_task")
+    elif ordered:
         rows = rows.orderBy(*report.order())
     return report.show(rows, config) if as_text else rows

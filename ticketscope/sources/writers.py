@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ticketscope.config import DAY_COLUMN, DERIVED_COLUMNS
 from ticketscope.operators.normalize import without_derived
 
-_TEXT_OPTIONS = {"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss"}
 _OPTIONS = {
     "csv": {
         "header": True,
@@ -18,17 +17,22 @@ _OPTIONS = {
         "escape": '"',
         "ignoreLeadingWhiteSpace": False,
         "ignoreTrailingWhiteSpace": False,
-        **_TEXT_OPTIONS,
     },
-    "json": _TEXT_OPTIONS,
+    "json": {},
     "parquet": {},
 }
 
 
 def export(data: DataFrame, path: str, format: str = "csv", mode: str = "errorifexists") -> None:
-    """Write a report or any other frame as a folder of files."""
+    """Write a report or any other frame as a folder of files.
+
+    Text formats get times as ``2025-06-02 09:24:00``, which ``read_tickets`` can load again.
+    """
     if format not in _OPTIONS:
         raise ValueError(f"Unsupported format {format!r}")
+    if format != "parquet":
+        times = [name for name, kind in data.dtypes if kind == "timestamp_ntz"]
+        data = data.withColumns({name: F.col(f"`{name}`").cast("string") for name in times})
     data.write.format(format).options(**_OPTIONS[format]).mode(mode).save(path)
 
 
@@ -60,9 +64,13 @@ def store_tickets(tickets: DataFrame, path: str, mode: str = "errorifexists") ->
     """Store clean tickets as Parquet, partitioned by day of creation, for ``read_stored``.
 
     Date filters then read only the days they need. The rows are split by ranges of day, site,
-    time and number, so a day or a site with very many tickets goes to several tasks and files.
+    time and number, so a day or a site with very many tickets goes to several tasks and files;
+    the number of the reading task splits even identical rows.
     Derived columns are left out: they depend on the moment that counts as "now".
     """
-    by_day = tickets.drop(*DERIVED_COLUMNS).withColumn(DAY_COLUMN, F.col("created").cast("date"))
-    spread = [c for c in (DAY_COLUMN, "site", "created", "number") if c in by_day.columns]
-    by_day.repartitionByRange(*spread).write.partitionBy(DAY_COLUMN).mode(mode).parquet(path)
+    by_day = tickets.drop(*DERIVED_COLUMNS).withColumns(
+        {DAY_COLUMN: F.col("created").cast("date"), "_task": F.spark_partition_id()}
+    )
+    keys = (DAY_COLUMN, "site", "created", "number", "_task")
+    spread = by_day.repartitionByRange(*[c for c in keys if c in by_day.columns]).drop("_task")
+    spread.write.partitionBy(DAY_COLUMN).mode(mode).parquet(path)
