@@ -79,7 +79,10 @@ def _filter(conditions: TicketFilter) -> Query:
 
 
 def _ticket_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the untidy tickets as CSV to the shared folder and read them back."""
+    """Write the untidy tickets as CSV to the shared folder and read them back.
+
+    The result is read when it is used, so the copy stays in the folder.
+    """
     path = os.path.join(shared_folder(spark), f"ticket-load-{uuid.uuid4()}", "tickets.csv")
     export(raw_ticket_rows(spark, sf_dir), path, "csv")
     return read_tickets(spark, path)

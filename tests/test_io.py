@@ -82,6 +82,17 @@ def test_dataset(spark, csv, tmp_path):
     assert (found["file_name"], found["total_records"]) == ("foreign.csv", 2)
 
 
+def test_file_without_rows(spark, tmp_path):
+    path = tmp_path / "empty.csv"
+    path.write_text(CSV.splitlines()[0] + "\n", encoding="utf-8")
+    data = TicketDataset.load(spark, str(path), AS_OF)
+    assert rows_of(data.validation(), "check_name", "severity") == [
+        ("record_count", "info"), ("no_data", "error")
+    ]
+    assert data.report("site_scorecard").count() == 0
+    assert data.summary().first()["total_tickets"] == 0
+
+
 def test_load_metadata_names_columns(spark, csv):
     raw = read_tickets(spark, csv)
     assert load_metadata(raw, csv, AS_OF).first()["columns"] == ", ".join(raw.columns)

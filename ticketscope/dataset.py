@@ -15,7 +15,7 @@ from ticketscope.operators.normalize import normalize, rename_columns, without_d
 from ticketscope.operators.ticket_reports import site_drill_down
 from ticketscope.plans.bundle import export_everything
 from ticketscope.plans.display import incidents
-from ticketscope.plans.reports import REPORTS, run_report
+from ticketscope.plans.reports import run_report, sort_report
 from ticketscope.sources.readers import load_metadata, read_stored, read_tickets
 from ticketscope.sources.writers import store_tickets
 
@@ -77,7 +77,7 @@ class TicketDataset:
         self, site: str, conditions: TicketFilter = _NO_FILTER, as_text: bool = False
     ) -> DataFrame:
         rows = site_drill_down(self.filtered(conditions), site, self.as_of, self.config)
-        rows = rows.orderBy(*REPORTS["incident_details"].order())
+        rows = sort_report("incident_details", rows)
         return incidents(rows, self.config) if as_text else rows
 
     def validation(self) -> DataFrame:

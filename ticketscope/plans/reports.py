@@ -97,6 +97,19 @@ REPORTS = {
 }
 
 
+def sort_report(name: str, rows: DataFrame) -> DataFrame:
+    """Put report rows in the order people read them.
+
+    In reports with a row per ticket the number of the reading task is the last sort key: it lets
+    the sort split identical rows, which all would go to one task otherwise.
+    """
+    report = REPORTS[name]
+    if not report.one_row_per_ticket:
+        return rows.orderBy(*report.order())
+    tasks = rows.withColumn("_task", F.spark_partition_id())
+    return tasks.orderBy(*report.order(), "_task").drop("_task")
+
+
 def run_report(
     name: str,
     tickets: DataFrame,
@@ -108,17 +121,11 @@ def run_report(
     """Build a report over (filtered) tickets.
 
     ``ordered=False`` saves the global sort where the rows are processed further. The text
-    columns are made after the sort, so the sort moves typed values. In reports with a row per
-    ticket the number of the reading task is the last sort key: it lets the sort split identical
-    rows, which all would go to one task otherwise.
+    columns are made after the sort, so the sort moves typed values.
     """
     if name not in REPORTS:
         raise ValueError(f"Unknown report {name!r}; known: {', '.join(REPORTS)}")
-    report = REPORTS[name]
-    rows = report.build(tickets, as_of, config)
-    if ordered and report.one_row_per_ticket:
-        tasks = rows.withColumn("_task", F.spark_partition_id())
-        rows = tasks.orderBy(*report.order(), "_task").drop("_task")
-    elif ordered:
-        rows = rows.orderBy(*report.order())
-    return report.show(rows, config) if as_text else rows
+    rows = REPORTS[name].build(tickets, as_of, config)
+    if ordered:
+        rows = sort_report(name, rows)
+    return REPORTS[name].show(rows, config) if as_text else rows
