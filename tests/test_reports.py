@@ -195,6 +195,7 @@ def test_resolution_tracking(tickets):
     own = Config(mttr_targets={"P1": 1.5})
     assert rows_of(run_report("resolution_tracking", found, AS_OF, own, as_text=True),
                    "Priority", "Target") == [("P1", "1.5h")]
+    assert run_report("resolution_tracking", found, AS_OF, Config(mttr_targets={})).count() == 0
 
 
 def test_workload_trends(tickets):

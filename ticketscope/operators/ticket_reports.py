@@ -98,14 +98,13 @@ def resolution_tracking(
 ) -> DataFrame:
     """Resolved tickets that took longer than the target of their priority."""
     target = F.lit(None).cast("double")
-    for priority, hours in config.mttr_targets.items():
-        target = F.when(F.col("priority") == priority, float(hours)).otherwise(target)
+    if config.mttr_targets:
+        pairs = [F.lit(x) for p, hours in config.mttr_targets.items() for x in (p, float(hours))]
+        target = F.try_element_at(F.create_map(*pairs), F.col("priority"))
     overdue = F.col("resolution_hours") - F.col("target_hours")
+    # One comparison says it all: open tickets have no hours, other priorities no target.
     return (
-        tickets.filter(
-            F.col("resolved").isNotNull() & F.col("priority").isin(*config.mttr_targets)
-        )
-        .withColumn("target_hours", target)
+        tickets.withColumn("target_hours", target)
         .filter(F.col("resolution_hours") > F.col("target_hours"))
         .select(
             "site",
