@@ -21,7 +21,6 @@ class Report:
     ``one_row_per_ticket`` marks reports that can hold any number of identical rows.
     """
 
-    title: str
     build: Callable[[DataFrame, datetime | str, Config], DataFrame]
     order: Callable[[], list[Column]]
     show: display.Display
@@ -39,56 +38,47 @@ def _by(*names: str) -> Callable[[], list[Column]]:
 # The last columns of each order are the keys of the report, so no tie is left to chance.
 REPORTS = {
     "critical_hotspots": Report(
-        "Critical Hotspots",
         site_reports.critical_hotspots,
         _by("-critical_count", "-latest_incident", "site", "company", "ticket_part"),
         display.hotspots,
     ),
     "site_scorecard": Report(
-        "Site Scorecard",
         site_reports.site_scorecard,
         _by("-critical_pct", "-avg_mttr_hours", "site", "company"),
         display.scorecard,
     ),
     "green_list": Report(
-        "Green List",
         site_reports.green_list,
         _by("-total_non_critical", "site", "company"),
         display.green,
     ),
     "franchise_overview": Report(
-        "Franchise Overview",
         site_reports.franchise_overview,
         _by("performance_score", "company"),
         display.franchise,
     ),
     "equipment_analysis": Report(
-        "Equipment Analysis",
         category_reports.equipment_analysis,
         _by("-total_count", "category", "subcategory"),
         display.equipment,
     ),
     "repeat_offenders": Report(
-        "Repeat Offenders",
         category_reports.repeat_offenders,
         _by("-pattern_score", "site", "company", "category"),
         display.repeats,
     ),
     "resolution_tracking": Report(
-        "Resolution Tracking",
         ticket_reports.resolution_tracking,
         _by("-days_overdue", "number", "site"),
         display.resolution,
         one_row_per_ticket=True,
     ),
     "workload_trends": Report(
-        "Workload Trends",
         ticket_reports.workload_trends,
         _by("-week_start"),
         display.trends,
     ),
     "incident_details": Report(
-        "All Tickets",
         ticket_reports.incident_details,
         _by("site", "-created", "number", "company", "resolved", "category_label", "description"),
         display.incidents,
