@@ -1,8 +1,8 @@
 """Operator 10: byte-level BPE encoding and decoding.
 
 Texts are cut into pre-tokens by ``pretokenize`` (class arrays and an associative scan, no regular
-expression). Each distinct pre-token is merged once per worker and kept in a bounded cache, so a
-batch is one look-up per pre-token and one join of the found ids. The end of every token in the
+expression). Distinct pre-tokens are merged once per worker and kept in a bounded cache that is
+looked up for a batch at a time. The end of every token in the
 text's bytes is kept beside the ids and places the tokens when they are decoded.
 
 A null text counts as empty and an empty text has no tokens. Repeated rows are encoded each, an
@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 
 from ticketscope.llm.common import groups_of, table
 from ticketscope.llm.merging import PairTable
-from ticketscope.llm.pretokenize import parts, pieces
+from ticketscope.llm.piece_cache import PieceCache
+from ticketscope.llm.pretokenize import cuts, parts
 
-CACHE_ENTRIES = 300_000
 @functools.cache
 def load_ranks(path: str) -> dict[bytes, int]:
     """Token bytes to id, from a file of base64 tokens and ranks."""
@@ -49,42 +49,30 @@ def pair_table(ranks: dict[bytes, int]) -> PairTable:
 class Encoder:
     """Encodes texts with a cache of pre-tokens; one per worker process and file."""
 
-    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str):
         self.ranks = load_ranks(path)
         self.pairs = pair_table(self.ranks)
-        self.entries = entries
-        self.cache: dict[bytes, bytes] = {}
-
-    def _ids(self, found: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each pre-token."""
-        cache = self.cache
-        ids = list(map(cache.get, found))
-        fresh = {piece for piece, known in zip(found, ids) if known is None}
-        if fresh:
-            # A pre-token that is a token needs no merging.
-            words = []
-            for piece in fresh:
-                whole = self.ranks.get(piece)
-                if whole is None:
-                    words.append(piece)
-                else:
-                    cache[piece] = whole.to_bytes(4, "little")
-            symbols, counts = self.pairs.merge(words)
-            flat = symbols.astype("<i4").tobytes()
-            ends = (np.cumsum(counts) * 4).tolist()
-            cache.update(zip(words, [flat[a:b] for a, b in zip([0, *ends], ends)]))
-            ids = list(map(cache.__getitem__, found))
-        if len(cache) > self.entries:
-            cache.clear()
-        return ids
+        self.cache = PieceCache(self._merged)
+
+    def _merged(self, fresh: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pre-tokens; one that is a token needs no merging."""
+        whole = [self.ranks.get(piece, -1) for piece in fresh]
+        words = [piece for piece, rank in zip(fresh, whole) if rank < 0]
+        symbols, counts = self.pairs.merge(words)
+        sizes = np.ones(len(fresh), np.int64)
+        merged = np.array(whole, np.int64) < 0
+        sizes[merged] = counts
+        ids = np.empty(int(sizes.sum()), np.int64)
+        place = np.repeat(merged, sizes)
+        ids[place] = symbols
+        ids[~place] = np.array(whole, np.int64)[~merged]
+        return ids, sizes
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, first id of every text and the total)."""
-        flat, firsts = pieces(texts)
-        ids = self._ids(flat)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        return np.frombuffer(b"".join(ids), "<i4"), ends[firsts]
+        utf8, offsets, firsts = cuts(texts)
+        ids, sizes = self.cache.ids(utf8, offsets)
+        return ids, np.concatenate([[0], np.cumsum(sizes)])[firsts]
 
     def encode_any(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """``encode`` in steps of bounded size; a very long text is encoded in parts."""

@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from ticketscope.llm.common import groups_of, table
 from ticketscope.llm.merging import PairTable
-from ticketscope.llm.pretokenize import parts, pieces
+from ticketscope.llm.piece_cache import PieceCache
+from ticketscope.llm.pretokenize import cuts, parts
 
 CACHE_ENTRIES = 400_000
 def byte_letters() -> list[str]:
@@ -55,24 +56,15 @@ def _counter(path: str) -> TokenCounter:
 class TokenCounter:
     """Counts tokens with a bounded cache of pre-tokens; one per worker process and file."""
 
-    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
-        self.merges, special = read_tokenizer(path)
-        self.entries = entries
-        self.cache: dict[bytes, int] = {}
+    def __init__(self, path: str):
+        merges, special = read_tokenizer(path)
+        self.cache = PieceCache(lambda words: merges.merge(words, want_symbols=False))
         special = sorted(special, key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
 
     def _plain(self, texts: list[str]) -> np.ndarray:
-        flat, firsts = pieces(texts)
-        cache = self.cache
-        found = list(map(cache.get, flat))
-        fresh = list({piece for piece, n in zip(flat, found) if n is None})
-        if fresh:
-            cache.update(zip(fresh, self.merges.merge(fresh, want_symbols=False)[1].tolist()))
-            found = map(cache.__getitem__, flat)
-        sizes = np.fromiter(found, np.int64, len(flat))
-        if len(self.cache) > self.entries:
-            self.cache.clear()
+        utf8, offsets, firsts = cuts(texts)
+        _, sizes = self.cache.look_up(utf8, offsets)
         return np.diff(np.concatenate([[0], np.cumsum(sizes)])[firsts])
 
     def _one(self, text: str) -> int:
