@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ticketscope.llm import bpe, token_counts
+from ticketscope.llm import bpe, language, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_simhash": simhash.op1_simhash,
+        "op5_language": language.op5_language,
         "op6_token_counts": token_counts.op6_token_counts,
         "op10_bpe": bpe.op10_bpe,
     }
