@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ticketscope.llm import bpe, language, simhash, token_counts
+from ticketscope.llm import bpe, language, pivots, simhash, token_counts, token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,9 +16,11 @@ def queries() -> dict[str, Query]:
         "op1_simhash": simhash.op1_simhash,
         "op5_language": language.op5_language,
         "op6_token_counts": token_counts.op6_token_counts,
+        "op7_token_files": token_files.op7_token_files,
+        "op9_top_k": pivots.op9_top_k,
         "op10_bpe": bpe.op10_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_top_k": pivots.ORACLE_SQL}
