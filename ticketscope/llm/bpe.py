@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketscope.llm.common import groups_of, table
+from ticketscope.llm.common import groups_of, slices, table
 from ticketscope.llm.merging import PairTable
 from ticketscope.llm.piece_cache import PieceCache
 from ticketscope.llm.pretokenize import cuts, parts
@@ -128,7 +128,7 @@ def bpe_encode(rows: DataFrame, path: str, id_column: str = "doc_id", text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         _, starts = vocabulary(path)
-        for batch in batches:
+        for batch in slices(batches):
             done = 0
             for ids, firsts in own.encode_any(batch.column("text").to_pylist()):
                 n = len(firsts) - 1
@@ -153,7 +153,7 @@ def bpe_decode(rows: DataFrame, path: str, id_column: str = "doc_id") -> DataFra
     """(id, ids, decoded binary) of rows from ``bpe_encode``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             ids, ends = batch.column("ids"), batch.column("ends")
             flat, stops = ids.values.to_numpy(), ends.values.to_numpy()
             a, b = ids.offsets.to_pylist(), ends.offsets.to_pylist()

@@ -8,6 +8,7 @@ import uuid
 import zipfile
 from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -56,6 +57,13 @@ def stored(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that few are Python objects at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 def groups_of(texts: Sequence[str], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring texts of about ``limit`` characters; a longer text is alone."""
     start = size = 0

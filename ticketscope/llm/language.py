@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ticketscope.llm.common import groups_of, table
+from ticketscope.llm.common import groups_of, slices, table
 
 # Bounds of the labelled sample: texts of each language, and the longest text that is used.
 TRAIN_TEXTS = 300
@@ -322,7 +322,7 @@ def identify(rows: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = _tagger(model)
-        for batch in batches:
+        for batch in slices(batches):
             names, scores = tagger.label(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores)],

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketscope.llm.common import stored, table
+from ticketscope.llm.common import slices, stored, table
 from ticketscope.llm.components import components
 
 RADIUS = 4
@@ -58,7 +58,7 @@ def fingerprints(rows: DataFrame, id_column: str = "doc_id", text: str = "text")
     """(id, fp) of every row; ``fp`` is the fingerprint as a signed 64-bit number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = np.array([fingerprint(t.as_py()) for t in batch.column("text")], np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(found.view(np.int64))], names=["id", "fp"]

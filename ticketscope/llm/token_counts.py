@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketscope.llm.common import groups_of, table
+from ticketscope.llm.common import groups_of, slices, table
 from ticketscope.llm.merging import PairTable
 from ticketscope.llm.piece_cache import PieceCache
 from ticketscope.llm.pretokenize import cuts, parts
@@ -94,7 +94,7 @@ def token_counts(rows: DataFrame, path: str, limit: int = 512) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _counter(path)
-        for batch in batches:
+        for batch in slices(batches):
             counts = own.count(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts, pa.int64())],

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ticketscope.llm.common import groups_of, shared_folder, table
+from ticketscope.llm.common import groups_of, shared_folder, slices, table
 from ticketscope.llm.piece_cache import PieceCache
 from ticketscope.llm.pretokenize import cuts, parts
 
@@ -106,7 +106,7 @@ def write_token_files(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, total = TaskContext.get().partitionId(), 0
         encoder = _encoder(tokenizer)
-        for batch in batches:
+        for batch in slices(batches):
             done = 0
             for ids, firsts in encoder.encode(batch.column("text").to_pylist()):
                 n = len(firsts) - 1
@@ -154,7 +154,7 @@ def with_crc32(rows: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """(id, part, first_token, n_tokens, ids_crc32): the checksum of the ids as 32-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             lists = batch.column("ids")
             flat, at = lists.values.to_numpy().astype("<u4", copy=False), lists.offsets.to_pylist()
             sums = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(at, at[1:])]
