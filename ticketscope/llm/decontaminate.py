@@ -20,6 +20,8 @@ give an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,7 @@ WINDOW = 8
 SHORTEST = 4
 MIN_SHARE = 0.5
 SET_WINDOWS = 50_000
+_LEAD = 3
 
 _TOKEN = r"\p{L}[\p{L}\p{M}]*|\p{N}+(?:[.,]\p{N}+)*|[%$€£]|[.!?\n]"
 _ENDS = (".", "!", "?", "\n")
@@ -52,25 +55,31 @@ def templates(text: Column) -> Column:
     """Array of (c, v): the canonical form of each token, and its lower case."""
     found = F.regexp_extract_all(text, F.lit(_TOKEN), 0)
 
-    def form(token: Column, place: Column, tokens: Column) -> Column:
-        low = F.lower(token)
-        before = F.try_element_at(tokens, place)  # the one before, as positions start at 1
+    def form(tokens: Column, lows: Column, token: Column, place: Column) -> Column:
+        low = F.get(lows, place)
         inner = F.substring(token, 2, 1_000_000)
         name = (
-            (place > 0) & ~before.isin(*_ENDS)
-            & (low != token) & (F.length(token) > 1) & (inner == F.lower(inner))
+            (low != token) & (place > 0) & ~F.get(tokens, place - 1).isin(*_ENDS)
+            & (F.length(token) > 1) & (inner == F.lower(inner))
         )
         canonical = (
-            F.when((token >= "0") & (token < ":"), "#n").when(low.isin(*NUMBER_WORDS), "#n")
-            .when(low.isin(*UNITS), "#u").when(name, "#p").otherwise(low)
+            F.when((token >= "0") & (token < ":"), "#n")
+            .when(low.isin(*NUMBER_WORDS, *UNITS), F.when(low.isin(*UNITS), "#u").otherwise("#n"))
+            .when(name, "#p").otherwise(low)
         )
         return F.when(~token.isin(*_ENDS), F.struct(canonical.alias("c"), low.alias("v")))
 
-    # One lambda variable holds the tokens, so that they are extracted once.
-    per_text = F.transform(
-        F.array(found), lambda tokens: F.transform(tokens, lambda t, i: form(t, i, tokens))
-    )
-    return F.filter(F.element_at(per_text, 1), lambda pair: pair.isNotNull())
+    # Lambda variables hold the tokens and their lower case, so that both are made once.
+    pairs = _once(found, lambda tokens: _once(
+        F.transform(tokens, F.lower),
+        lambda lows: F.transform(tokens, lambda t, i: form(tokens, lows, t, i)),
+    ))
+    return F.filter(pairs, lambda pair: pair.isNotNull())
+
+
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value evaluated once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def _hash(tokens: Column, place: Column, size: int) -> Column:
@@ -108,10 +117,14 @@ def item_windows(items: DataFrame, id_column: str = "item_id", text: str = "text
 
 
 def document_windows(
-    documents: DataFrame, size: int, wanted: list[int] | None,
+    documents: DataFrame, size: int, wanted: tuple[list[int], list[int]] | None,
     id_column: str = "doc_id", text: str = "text",
 ) -> DataFrame:
-    """(id, dpos, h, dwin) of the windows whose hash is ``wanted`` (None: of all)."""
+    """(id, dpos, h, dwin) of the windows whose hash is ``wanted`` (None: of all).
+
+    ``wanted`` are the hashes of the first three tokens of the items' windows, and of whole
+    windows: the first set spares most windows the longer hash.
+    """
     rows = documents.filter(F.col(id_column).isNotNull() & F.col(text).isNotNull()).select(
         id_column, templates(F.col(text)).alias("tokens")
     )
@@ -119,7 +132,10 @@ def document_windows(
     def chosen(tokens: Column) -> Column:
         places = _places(tokens, size)
         if wanted is not None:
-            places = F.filter(places, lambda i: _hash(tokens, i, size).isin(wanted))
+            places = F.filter(
+                places,
+                lambda i: _hash(tokens, i, _LEAD).isin(wanted[0]) & _hash(tokens, i, size).isin(wanted[1]),
+            )
         return F.transform(
             places, lambda i: F.struct(i.alias("dpos"), _hash(tokens, i, size).alias("h"),
                                        F.slice(tokens, i + 1, size).alias("dwin"))
@@ -143,7 +159,11 @@ def contaminated(documents: DataFrame, items: DataFrame, id_column: str = "doc_i
     matched = None
     for size in sorted(counts) or [WINDOW]:
         own = windows.filter(F.col("size") == size)
-        wanted = sorted({r.h for r in own.select("h").distinct().collect()}) if small else None
+        wanted = None
+        if small:
+            lead = _hash(F.col("iwin"), F.lit(0), _LEAD)
+            rows = own.select(lead.alias("lead"), "h").distinct().collect()
+            wanted = sorted({r.lead for r in rows}), sorted({r.h for r in rows})
         found = document_windows(documents, size, wanted, id_column)
         joined = found.join(F.broadcast(own) if small else own, "h")
         matched = joined if matched is None else matched.unionByName(joined)
