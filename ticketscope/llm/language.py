@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ticketscope.llm.common import groups_of, slices, table
 
@@ -317,23 +318,27 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
-def identify(rows: DataFrame, model: Model) -> DataFrame:
-    """All rows and columns of ``rows`` by id: (doc_id, lang_pred, score)."""
+def with_language(rows: DataFrame, model: Model) -> DataFrame:
+    """All rows and columns of ``rows`` with ``lang_pred`` and ``score``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = _tagger(model)
         for batch in slices(batches):
-            names, scores = tagger.label(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores)],
-                names=["doc_id", "lang_pred", "score"],
+            names, scores = tagger.label([t or "" for t in batch.column("text").to_pylist()])
+            yield batch.append_column("lang_pred", pa.array(names, pa.string())).append_column(
+                "score", pa.array(scores, pa.float64())
             )
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    source = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.drop("lang_pred", "score")
     if not model.languages:
-        return source.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    return source.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+        return rows.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
+    schema = StructType([*rows.schema, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return rows.mapInArrow(run, schema)
+
+
+def identify(rows: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, lang_pred, score) of every row."""
+    return with_language(rows.select("doc_id", "text"), model).drop("text")
 
 
 def learned(rows: DataFrame) -> Model:
