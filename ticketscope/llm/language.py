@@ -318,27 +318,31 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
 
 
-def with_language(rows: DataFrame, model: Model) -> DataFrame:
-    """All rows and columns of ``rows`` with ``lang_pred`` and ``score``."""
+def with_language(
+    rows: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score"),
+    without: tuple[str, ...] = (),
+) -> DataFrame:
+    """All rows, with language and score as further columns; columns ``without`` are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = _tagger(model)
         for batch in slices(batches):
-            names, scores = tagger.label([t or "" for t in batch.column("text").to_pylist()])
-            yield batch.append_column("lang_pred", pa.array(names, pa.string())).append_column(
-                "score", pa.array(scores, pa.float64())
+            found, scores = tagger.label([t or "" for t in batch.column("text").to_pylist()])
+            kept = batch.drop_columns(list(without)) if without else batch
+            yield kept.append_column(names[0], pa.array(found, pa.string())).append_column(
+                names[1], pa.array(scores, pa.float64())
             )
 
-    rows = rows.drop("lang_pred", "score")
     if not model.languages:
-        return rows.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
-    schema = StructType([*rows.schema, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    return rows.mapInArrow(run, schema)
+        return rows.drop(*without).withColumns({names[0]: F.lit(UNKNOWN), names[1]: F.lit(0.0)})
+    added = [StructField(names[0], StringType()), StructField(names[1], DoubleType())]
+    kept = [field for field in rows.schema if field.name not in without]
+    return rows.mapInArrow(run, StructType([*kept, *added]))
 
 
 def identify(rows: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) of every row."""
-    return with_language(rows.select("doc_id", "text"), model).drop("text")
+    return with_language(rows.select("doc_id", "text"), model, without=("text",))
 
 
 def learned(rows: DataFrame) -> Model:

@@ -230,18 +230,18 @@ def redact(rows: DataFrame, forest: Model | None = None, id_column: str = "doc_i
            text: str = "text") -> DataFrame:
     """The rows with ``MASK`` in place of every secret; their other columns stay as they are."""
     found = scan(rows, forest, id_column).groupBy(id_column, "text_hash").agg(
-        F.collect_set("place").alias("places")
-    ).withColumnsRenamed({id_column: "secret_id", "text_hash": "secret_hash"})
-    same = F.col(id_column).eqNullSafe(F.col("secret_id")) & (F.xxhash64(text) == F.col("secret_hash"))
+        F.collect_set("place").alias("_secret_places")
+    ).withColumnsRenamed({id_column: "_secret_id", "text_hash": "_secret_hash"})
+    same = F.col(id_column).eqNullSafe(F.col("_secret_id")) & (F.xxhash64(text) == F.col("_secret_hash"))
     joined = rows.join(found, same, "left")
     cut = F.arrays_zip(
         F.regexp_extract_all(text, F.lit(_CANDIDATE), 0).alias("c"), F.split(text, _CANDIDATE).alias("gap")
     )
     rebuilt = F.array_join(F.transform(cut, lambda x, i: F.concat(
         x.getField("gap"),
-        F.when(F.array_contains("places", i), F.lit(MASK)).otherwise(F.coalesce(x.getField("c"), F.lit(""))),
+        F.when(F.array_contains("_secret_places", i), F.lit(MASK)).otherwise(F.coalesce(x.getField("c"), F.lit(""))),
     )), "")
-    return joined.withColumn(text, F.when(F.col("places").isNotNull(), rebuilt).otherwise(F.col(text))).select(
+    return joined.withColumn(text, F.when(F.col("_secret_places").isNotNull(), rebuilt).otherwise(F.col(text))).select(
         rows.columns
     )
 
