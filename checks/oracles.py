@@ -72,7 +72,7 @@ r AS (
   SELECT
     CASE order_key % 50 WHEN 0 THEN chr(9) || site || ' ' || chr(160) WHEN 1 THEN 'N/A' WHEN 2 THEN ' nan '
          ELSE site END AS "Site",
-    CASE WHEN order_key % 40 = 0 THEN 'NULL'
+    CASE WHEN order_key % 40 = 0 OR week % 23 < 2 THEN 'NULL'
          WHEN order_key % 40 IN (1, 2)
          THEN 'CS' || lpad((order_key - order_key % 40)::VARCHAR, 12, '0')
          ELSE number END AS "Number",
@@ -91,10 +91,13 @@ r AS (
          WHEN 6 THEN '2/30/1999 8:00'
          WHEN 7 THEN strftime(created, ' %-m/%-d/%Y  %-H:%M') || chr(9)
          ELSE strftime(created, '%-m/%-d/%Y %-H:%M') END AS "Created",
-    CASE WHEN resolved IS NULL THEN '' WHEN order_key % 25 = 0 THEN 'pending'
+    CASE WHEN resolved IS NULL OR week % 23 = 1 THEN '' WHEN order_key % 25 = 0 THEN 'pending'
          ELSE strftime(resolved, '%-m/%-d/%Y %-H:%M') END AS "Resolved",
-    company AS "Company", order_key::VARCHAR AS "Row key"
-  FROM v
+    CASE WHEN order_key % 45 = 0 THEN 'NATION_0' ELSE company END AS "Company",
+    order_key::VARCHAR AS "Row key",
+    CASE WHEN order_key % 8 = 0 THEN strftime(created, '%Y-%m-%d') ELSE strftime(created, '%-m/%-d/%Y') END
+      AS "created_date"
+  FROM (SELECT *, floor(date_diff('day', DATE '1970-01-05', created::DATE) / 7)::BIGINT AS week FROM v)
 ),
 b AS (
   SELECT CASE WHEN COLUMNS(*) NOT IN ('', 'N/A', 'NULL', 'nan', 'n/a') THEN COLUMNS(*) END FROM r
@@ -146,12 +149,9 @@ _HOTSPOTS = f"""{_T},
 c AS (SELECT * FROM t WHERE priority = '1 - Critical'),
 h AS (SELECT site, company, count(created) AS critical_count, max(created) AS latest_incident
       FROM c GROUP BY site, company HAVING count(created) >= 2),
-l AS (SELECT site, string_agg(number, ', ' ORDER BY created, number) AS tickets
-      FROM c GROUP BY site),
+l AS (SELECT site, company, created, number FROM c WHERE site IN (SELECT site FROM h)),
 q AS (SELECT h.site, company, critical_count, latest_incident,
-             {_days('latest_incident', AS_OF)} AS days_since_last, 1::BIGINT AS ticket_part,
-             coalesce(tickets, 'No ticket #s') AS all_critical_tickets
-      FROM h LEFT JOIN l ON h.site = l.site)
+             {_days('latest_incident', AS_OF)} AS days_since_last FROM h)
 """
 
 _SCORECARD = f"""{_T}, {_ROLL},
@@ -250,8 +250,7 @@ _REPORTS = {
     "critical_hotspots": (_HOTSPOTS, f"""
       site AS "Site", company AS "Company", critical_count AS "Critical Count",
       {_or_na(_MINUTE.format('latest_incident'))} AS "Latest Incident",
-      {_or_na('days_since_last::VARCHAR')} AS "Days Since Last",
-      all_critical_tickets AS "All Critical Tickets" """),
+      {_or_na('days_since_last::VARCHAR')} AS "Days Since Last" """),
     "site_scorecard": (_SCORECARD, f"""
       site AS "Site", company AS "Company", total_tickets AS "Total Tickets",
       critical_count AS "Critical Count", {_pct_text('critical_pct')} AS "Critical %",
@@ -383,14 +382,17 @@ _DUPLICATES = """(SELECT count(*) FROM (SELECT "Number" FROM b WHERE "Number" IS
                   GROUP BY "Number" HAVING count(*) > 1))"""
 
 
-def _dq_report() -> str:
+def _dq_report(missing: str = "") -> str:
     def row(check: str, column: str, severity: str, count: str, message: str, when: str) -> str:
         return (f"SELECT '{check}' AS check_name, '{column}' AS column_name, "
                 f"'{severity}' AS severity, {count}::BIGINT AS finding_count, "
                 f"{message} AS message FROM b HAVING {when}")
 
     rows = [row("record_count", "", "info", "count(*)", "count(*)::VARCHAR || ' records'", "TRUE")]
-    for c in _REQUIRED:
+    if missing:
+        rows.append(f"SELECT 'required_columns', '{missing}', 'error', 1, "
+                    f"'Missing required columns: {missing}'")
+    for c in (c for c in _REQUIRED if c != missing):
         share = _pct(f'count_if("{c}" IS NULL)', "count(*)")
         rows.append(row("completeness", c, "warning", f'count_if("{c}" IS NULL)',
                         f"'Column ''{c}'' has ' || {_t1(share)} || '% missing values'",
@@ -412,9 +414,9 @@ def _dq_report() -> str:
     return _RAW + " UNION ALL ".join(rows)
 
 
-def _detect() -> str:
+def _detect(column: str) -> str:
     shares = ", ".join(
-        f"count_if({_parsed('\"Resolved\"', f)} IS NOT NULL)::DOUBLE / count(*) AS s{i}"
+        f"count_if({_parsed(column, f)} IS NOT NULL)::DOUBLE / count(*) AS s{i}"
         for i, f in enumerate(_MORE_FORMATS, start=1)
     )
     long = " UNION ALL ".join(
@@ -426,37 +428,65 @@ def _detect() -> str:
              FROM l) AS detected FROM l"""
 
 
-_NORMALIZED = f"""{_RAW},
+_CLEANED = f"""{_RAW},
 n AS (
   SELECT {_clean('"Site"')} AS site, "Number" AS number,
          {_clean('"Short description"')} AS short_description,
          {_clean('"Category"')} AS category, {_clean('"Subcategory"')} AS subcategory,
          trim("Priority", {_WS}) AS priority, {_parsed('"Created"', *_FORMATS)} AS created,
-         {_parsed('"Resolved"', *_FORMATS)} AS resolved, {_clean('"Company"')} AS company, "Row key"
+         {_parsed('"Resolved"', *_FORMATS)} AS resolved, {_clean('"Company"')} AS company, "Row key",
+         "created_date"
   FROM b
-)
-SELECT * EXCLUDE (secs, hours, crit, done, age), hours AS resolution_hours, crit AS is_critical,
-       done AS is_resolved, age AS days_since_created
+)"""
+_NORMALIZED = f"""{_CLEANED}
+SELECT * EXCLUDE (secs, hours, crit, done, age), secs::DOUBLE AS resolution_seconds,
+       hours AS resolution_hours, crit AS is_critical, done AS is_resolved, age AS days_since_created
 FROM (SELECT *, {_DERIVED} FROM n)
 """
+# The cleaned untidy tickets in the place of the tidy ones.
+_UNTIDY = f"""{_CLEANED},
+t AS (SELECT *, {_DERIVED} FROM n)"""
+
+
+def _untidy(sql: str) -> str:
+    return sql.replace(_T, _UNTIDY)
+
 
 _SAMPLES = f"""{_GREEN},
-k AS (SELECT site, number, row_number() OVER (PARTITION BY site ORDER BY created, number) AS i,
-             count(*) OVER (PARTITION BY site) AS c FROM t),
-x AS (SELECT site, string_agg(number, ', ' ORDER BY i) FILTER (i <= 3) AS shown, any_value(c) AS c
-      FROM k GROUP BY site)
-SELECT q.*, shown || CASE WHEN c > 3 THEN ' (+' || (c - 3) || ' more)' ELSE '' END AS sample_tickets
+k AS (SELECT site, number, row_number() OVER (PARTITION BY site ORDER BY number IS NULL,
+             created NULLS LAST, number) AS i, count(*) OVER (PARTITION BY site) AS c FROM t),
+x AS (SELECT site, string_agg(number, ', ' ORDER BY i) FILTER (i <= 3) AS shown, any_value(c) AS c,
+             count(number) AS given FROM k GROUP BY site)
+SELECT q.*, CASE WHEN shown IS NULL THEN 'No ticket #s' ELSE shown || CASE WHEN given >= 3 AND c > 3
+       THEN ' (+' || (c - 3) || ' more)' ELSE '' END END AS sample_tickets
 FROM q JOIN x ON q.site = x.site
 """
 
 
+def _export_counts() -> str:
+    counts = [f"SELECT 'raw_data' AS dataset, count(*) AS row_count FROM ({_T} SELECT * FROM t)",
+              f"SELECT 'summary', count(*) FROM ({_SHEET})"]
+    counts += [f"SELECT '{name}', count(*) FROM ({core} SELECT * FROM q)" for name, (core, _) in _REPORTS.items()]
+    return " UNION ALL ".join(counts)
+
+
 def oracle_sql() -> dict[str, str]:
     found = {
-        "ticket_load": _RAW + "SELECT * FROM b",
+        "ticket_load": _RAW
+        + """SELECT *, CASE WHEN "Row key"::BIGINT % 33 = 0 THEN TRUE END AS over_long FROM b""",
+        "ticket_load_json": _RAW + "SELECT * FROM b",
+        "ticket_load_table": _RAW + "SELECT * FROM r",
+        "dq_malformed_rows": _RAW + """
+            SELECT 'record_count' AS check_name, '' AS column_name, 'info' AS severity,
+                   count(*) AS finding_count, count(*)::VARCHAR || ' records' AS message FROM b
+            UNION ALL SELECT 'malformed_rows', '', 'warning', count(*),
+                   count(*)::VARCHAR || ' rows have more cells than the header' FROM b
+                   WHERE "Row key"::BIGINT % 33 = 0""",
         "null_tokens": _RAW + "SELECT * FROM b",
         "column_rename": _RAW
         + 'SELECT "Site", "Priority", "Created", "Company", "Category", "Number" FROM b',
-        "load_metadata": _T + f"""SELECT 'orders.parquet' AS file_name, {AS_OF} AS load_timestamp,
+        "load_metadata": _T + f"""SELECT 'loaded/orders.parquet' AS file_path,
+            'orders.parquet' AS file_name, {AS_OF} AS load_timestamp,
             count(*) AS total_records,
             'site, number, short_description, category, subcategory, priority, created, resolved, '
             || 'company, resolution_seconds, resolution_hours, is_critical, is_resolved, '
@@ -470,11 +500,7 @@ def oracle_sql() -> dict[str, str]:
             resolved AS "Resolved", company AS "Company" FROM t
             WHERE priority IN ('1 - Critical', '2 - High', '3 - Medium')""",
         "summary_sheet": _SHEET,
-        "dq_required_columns": _RAW + """
-            SELECT 'record_count' AS check_name, '' AS column_name, 'info' AS severity,
-                   count(*) AS finding_count, count(*)::VARCHAR || ' records' AS message FROM b
-            UNION ALL SELECT 'required_columns', 'Company', 'error', 1,
-                   'Missing required columns: Company'""",
+        "dq_required_columns": _dq_report(missing="Company"),
         "dq_report": _dq_report(),
         "dq_completeness": _RAW + _COMPLETENESS,
         "dq_unexpected_priority": _RAW
@@ -483,22 +509,24 @@ def oracle_sql() -> dict[str, str]:
         "dq_bad_dates": _RAW + f"""
             SELECT 'Created' AS column_name, {_BAD_CREATED}::BIGINT AS bad_dates FROM b
             UNION ALL SELECT 'Resolved', {_BAD_RESOLVED}::BIGINT FROM b""",
-        "dataset_profile": _T + """SELECT count(*) AS processed_records,
+        "dataset_profile": _T + """SELECT count(*) AS processed_records, count(*) AS raw_records,
+            'site, number, short_description, category, subcategory, priority, created, resolved, '
+            || 'company, resolution_seconds, resolution_hours, is_critical, is_resolved, '
+            || 'days_since_created' AS columns,
             count(DISTINCT site) AS sites, count(DISTINCT company) AS companies,
             count(DISTINCT category) FILTER (category <> '') AS categories FROM t""",
         "date_range": _T + """SELECT 'Created' AS date_column, min(created) AS min_date,
             max(created) AS max_date, count(created) AS date_count FROM t
             UNION ALL SELECT 'Resolved', min(resolved), max(resolved), count(resolved) FROM t""",
-        "detect_date_format": _detect(),
+        "detect_date_format": _detect('"Resolved"'),
+        "detect_date_format_found": _detect('"created_date"'),
         "parse_dates": _RAW + f"""SELECT "Row key" AS row_key, "Created" AS created_text,
             {_parsed('"Created"', *_MORE_FORMATS)} AS created_time,
             {_parsed('"Resolved"', *_MORE_FORMATS)} AS resolved_time FROM b""",
         "normalize": _NORMALIZED,
         "filter_options": _OPTIONS + "SELECT * FROM o",
         "option_search": _OPTIONS + "SELECT * FROM o WHERE contains(lower(value), 'nation_1')",
-        "category_map": _PAIRS + """SELECT category, 1::BIGINT AS list_part,
-            string_agg(subcategory, '|' ORDER BY subcategory) AS subcategories FROM p
-            GROUP BY category""",
+        "category_map": _PAIRS + "SELECT category, subcategory FROM p",
         "subcategories": _PAIRS + "SELECT subcategory FROM p WHERE category = 'ECONOMY'",
         "all_subcategories": _PAIRS + "SELECT DISTINCT subcategory FROM p",
         "sites_for_company": _T + "SELECT DISTINCT site FROM t WHERE company = 'NATION_7'",
@@ -518,14 +546,28 @@ def oracle_sql() -> dict[str, str]:
             count_if(crit)::BIGINT AS critical_tickets, 'Filtered: ' || count(*) || ' tickets' ||
             CASE WHEN count_if(crit) > 0 THEN ' (' || count_if(crit) || ' critical)' ELSE '' END
             AS status_text FROM t WHERE {_FILTERS['filter_year_to_date']}""",
-        "hotspot_ticket_lists": _HOTSPOTS + """SELECT DISTINCT site, 1::BIGINT AS part_no,
-            all_critical_tickets AS tickets FROM q""",
+        "hotspot_tickets": _HOTSPOTS + "SELECT * FROM l",
+        "hotspot_tickets_display": _HOTSPOTS + f"""SELECT site AS "Site", company AS "Company",
+            {_or_na(_MINUTE.format('created'))} AS "Created", coalesce(number, 'No ticket #') AS "Ticket #"
+            FROM l""",
+        "hotspot_tickets_untidy": _untidy(_HOTSPOTS) + "SELECT * FROM l",
+        "filter_untidy": _UNTIDY + f"""SELECT "Row key", number, site, created, created_date FROM t
+            WHERE {_FILTERS['filter_date_range']}""",
+        "filter_cleared": _T + f"SELECT {_FILTER_COLUMNS} FROM t",
+        "active_filters": _T + f"""SELECT 'Priorities: 1 - Critical, 2 - High' AS filter,
+            count(*) AS total_tickets FROM t WHERE {_FILTERS['filter_priority']}""",
+        "export_counts": _export_counts(),
+        "sample_tickets_untidy": _untidy(_SAMPLES),
         "site_drill_down": _INCIDENTS + "SELECT * FROM q WHERE site = 'Customer#000000017'",
         "sample_tickets": _SAMPLES,
     }
     for name, (core, shown) in _REPORTS.items():
         found[name] = core + "SELECT * FROM q"
         found[f"{name}_display"] = core + f"SELECT {shown} FROM q"
+        found[f"{name}_untidy"] = _untidy(core) + "SELECT * FROM q"
+        found[f"{name}_untidy_display"] = _untidy(core) + f"SELECT {shown} FROM q"
+    for name in ("report_summary", "data_summary"):
+        found[f"{name}_untidy"] = _untidy(found[name])
     for name, condition in _FILTERS.items():
         found[name] = _T + f"SELECT {_FILTER_COLUMNS} FROM t WHERE {condition}"
     return found

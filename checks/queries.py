@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks.ticket_views import AS_OF, raw_ticket_rows, tickets
-from ticketscope.config import EXTENDED_DATE_FORMATS
+from checks.ticket_views import (
+    AS_OF,
+    RAW_COLUMNS,
+    csv_lines,
+    raw_ticket_rows,
+    tickets,
+    untidy_tickets,
+)
+from ticketscope.config import EXTENDED_DATE_FORMATS, MALFORMED_COLUMN
 from ticketscope.functions.dates import with_times
 from ticketscope.operators import options, quality, summary
 from ticketscope.operators.filters import TicketFilter, apply_filters, checked_priorities
@@ -22,11 +27,17 @@ from ticketscope.operators.normalize import (
     suggest_mapping,
     without_derived,
 )
-from ticketscope.operators.site_reports import hotspot_ticket_lists
+from ticketscope.operators.site_reports import hotspot_tickets
 from ticketscope.operators.ticket_reports import site_drill_down, with_sample_tickets
+from ticketscope.plans.display import hotspot_list
 from ticketscope.plans.reports import REPORTS, run_report
-from ticketscope.sources.readers import load_metadata, read_tickets
-from ticketscope.sources.writers import export, selected_rows
+from ticketscope.sources.readers import (
+    load_metadata,
+    read_tickets,
+    tickets_from_csv_text,
+    tickets_from_json_text,
+)
+from ticketscope.sources.writers import selected_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,19 +61,12 @@ _FILTERS = {
 }
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; a local session without one uses a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if spark.sparkContext.master.startswith("local"):
-        return tempfile.gettempdir()
-    raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share")
-
-
-def _report(name: str, as_text: bool) -> Query:
+def _report(name: str, as_text: bool, untidy: bool = False) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = tickets(spark, sf_dir, categories=name not in _SITE_ONLY)
+        rows = (
+            untidy_tickets(spark, sf_dir) if untidy
+            else tickets(spark, sf_dir, categories=name not in _SITE_ONLY)
+        )
         return run_report(name, rows, AS_OF, as_text=as_text)
 
     return query
@@ -79,13 +83,20 @@ def _filter(conditions: TicketFilter) -> Query:
 
 
 def _ticket_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the untidy tickets as CSV to the shared folder and read them back.
+    """The untidy tickets as CSV text, read like the rows of a file; the text of over-long rows
+    shows as a mark."""
+    rows = tickets_from_csv_text(csv_lines(spark, sf_dir), RAW_COLUMNS)
+    return rows.withColumn("over_long", F.col(MALFORMED_COLUMN).endswith(",one more")).drop(MALFORMED_COLUMN)
+
+
+def _ticket_load_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = raw_ticket_rows(spark, sf_dir)
+    return tickets_from_json_text(rows.select(F.to_json(F.struct(*rows.columns)).alias("line")), RAW_COLUMNS)
 
-    The result is read when it is used, so the copy stays in the folder.
-    """
-    path = os.path.join(shared_folder(spark), f"ticket-load-{uuid.uuid4()}", "tickets.csv")
-    export(raw_ticket_rows(spark, sf_dir), path, "csv")
-    return read_tickets(spark, path)
+
+def _ticket_load_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw_ticket_rows(spark, sf_dir).createOrReplaceTempView("untidy_ticket_table")
+    return read_tickets(spark, "untidy_ticket_table", "table")
 
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,8 +114,7 @@ def _column_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load_metadata(tickets(spark, sf_dir), f"{sf_dir}/orders.parquet", AS_OF)
-    return rows.drop("file_path")
+    return load_metadata(tickets(spark, sf_dir), "loaded/orders.parquet", AS_OF)
 
 
 def _export_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,9 +132,7 @@ def _filtered_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _missing_company(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.validate(_raw(spark, sf_dir).drop("Company")).filter(
-        F.col("severity") != "warning"
-    )
+    return quality.validate(_raw(spark, sf_dir).drop("Company"))
 
 
 def _parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,9 +154,48 @@ def _sample_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_sample_tickets(run_report("green_list", rows, AS_OF, ordered=False), rows)
 
 
-def _pair_options(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = options.category_map(tickets(spark, sf_dir))
-    return found.withColumn("subcategories", F.array_join("subcategories", "|"))
+def _sample_tickets_untidy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = untidy_tickets(spark, sf_dir)
+    return with_sample_tickets(run_report("green_list", rows, AS_OF, ordered=False), rows)
+
+
+def _normalized(raw: DataFrame) -> DataFrame:
+    return normalize(raw, AS_OF).withColumn("resolution_seconds", F.col("resolution_seconds").cast("double"))
+
+
+def _active_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines about a filter beside the number of tickets that pass it."""
+    conditions = _FILTERS["filter_priority"]
+    count = summary.filtered_count(apply_filters(tickets(spark, sf_dir, categories=False), conditions))
+    lines = F.array(*map(F.lit, conditions.describe()))
+    return count.select(F.explode(lines).alias("filter"), "total_tickets")
+
+
+def _export_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows each dataset of the full export has."""
+    rows = tickets(spark, sf_dir)
+    frames = {"raw_data": without_derived(rows), "summary": summary.summary_sheet(rows, AS_OF)}
+    frames |= {name: run_report(name, rows, AS_OF, ordered=False) for name in REPORTS}
+    counts = [
+        frame.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("dataset"), "row_count")
+        for name, frame in frames.items()
+    ]
+    return reduce(DataFrame.union, counts)
+
+
+def _malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tickets_from_csv_text(csv_lines(spark, sf_dir), RAW_COLUMNS)
+    return quality.validate(rows).filter(F.col("check_name").isin("record_count", "malformed_rows"))
+
+
+def _filter_untidy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A date filter over tickets whose source has a column ``created_date`` of its own."""
+    rows = apply_filters(untidy_tickets(spark, sf_dir), _FILTERS["filter_date_range"])
+    return rows.select("Row key", "number", "site", "created", "created_date")
+
+
+def _on_untidy(build: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: build(untidy_tickets(spark, sf_dir))
 
 
 def _on_tickets(build: Callable[[DataFrame], DataFrame], categories: bool = False) -> Query:
@@ -163,6 +210,8 @@ def queries() -> dict[str, Query]:
     found: dict[str, Query] = {
         # Sources and sinks
         "ticket_load": _ticket_load,
+        "ticket_load_json": _ticket_load_json,
+        "ticket_load_table": _ticket_load_table,
         "column_rename": _column_rename,
         "null_tokens": _raw,
         "load_metadata": _load_metadata,
@@ -178,18 +227,22 @@ def queries() -> dict[str, Query]:
         "dq_bad_dates": _on_raw(quality.bad_dates),
         "dataset_profile": _on_tickets(summary.dataset_profile, categories=True),
         "date_range": _on_tickets(summary.date_range),
+        "dq_malformed_rows": _malformed,
         "detect_date_format": _on_raw(
             lambda r: quality.detect_date_format(r, "Resolved", EXTENDED_DATE_FORMATS)
         ),
+        "detect_date_format_found": _on_raw(
+            lambda r: quality.detect_date_format(r, "created_date", EXTENDED_DATE_FORMATS)
+        ),
         # Cleaning
         "parse_dates": _parse_dates,
-        "normalize": _on_raw(lambda r: normalize(r, AS_OF).drop("resolution_seconds")),
+        "normalize": _on_raw(_normalized),
         # Options
         "filter_options": _on_tickets(options.filter_options, categories=True),
         "option_search": _on_tickets(
             lambda t: options.search_options(options.filter_options(t), "Nation_1"), categories=True
         ),
-        "category_map": _pair_options,
+        "category_map": _on_tickets(options.category_map, categories=True),
         "subcategories": _on_tickets(lambda t: options.subcategories(t, "ECONOMY"), categories=True),
         "all_subcategories": _on_tickets(options.all_subcategories, categories=True),
         "sites_for_company": _on_tickets(lambda t: options.sites_for_company(t, "NATION_7")),
@@ -200,15 +253,26 @@ def queries() -> dict[str, Query]:
         "filtered_count": _on_tickets(
             lambda t: summary.filtered_count(apply_filters(t, _FILTERS["filter_year_to_date"]))
         ),
-        "hotspot_ticket_lists": _on_tickets(hotspot_ticket_lists),
+        "hotspot_tickets": _on_tickets(hotspot_tickets),
+        "hotspot_tickets_display": _on_tickets(lambda t: hotspot_list(hotspot_tickets(t))),
+        "hotspot_tickets_untidy": _on_untidy(hotspot_tickets),
         "site_drill_down": _on_tickets(
             lambda t: site_drill_down(t, "Customer#000000017", AS_OF), categories=True
         ),
         "sample_tickets": _sample_tickets,
+        "sample_tickets_untidy": _sample_tickets_untidy,
+        "report_summary_untidy": _on_untidy(summary.report_summary),
+        "data_summary_untidy": _on_untidy(summary.data_summary),
+        "filter_untidy": _filter_untidy,
+        "filter_cleared": _filter(TicketFilter()),
+        "active_filters": _active_filters,
+        "export_counts": _export_counts,
     }
     for name in REPORTS:
         found[name] = _report(name, as_text=False)
         found[f"{name}_display"] = _report(name, as_text=True)
+        found[f"{name}_untidy"] = _report(name, as_text=False, untidy=True)
+        found[f"{name}_untidy_display"] = _report(name, as_text=True, untidy=True)
     for name, conditions in _FILTERS.items():
         found[name] = _filter(conditions)
     return found

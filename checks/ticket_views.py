@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketscope.operators.normalize import normalize
+from ticketscope.operators.normalize import blank_null_tokens, normalize
 
 AS_OF = "2001-12-31 00:00:00"
 
@@ -102,6 +102,9 @@ def raw_ticket_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         }
         return F.concat(*[parts.get(x, F.lit(x)) for x in pattern])
 
+    # In some weeks no ticket has a number; in some of these all tickets are open.
+    week = F.floor(F.datediff(F.col("Created").cast("date"), F.lit("1970-01-05").cast("date")) / 7)
+    no_number, still_open = F.pmod(week, F.lit(23)) < 2, F.pmod(week, F.lit(23)) == 1
     created = (
         F.when(every(20, 0), as_day("Created", "Y-N-E H:m:00"))
         .when(every(20, 1), as_day("Created", "M/D/Y"))
@@ -114,7 +117,7 @@ def raw_ticket_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(as_day("Created", "M/D/Y h:m"))
     )
     resolved = (
-        F.when(F.col("Resolved").isNull(), F.lit(""))
+        F.when(F.col("Resolved").isNull() | still_open, F.lit(""))
         .when(every(25, 0), F.lit("pending"))
         .otherwise(as_day("Resolved", "M/D/Y h:m"))
     )
@@ -129,7 +132,7 @@ def raw_ticket_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lpad((F.col("order_key") - F.col("order_key") % 40).cast("string"), 12, "0"),
     )
     number = (
-        F.when(every(40, 0), F.lit("NULL"))
+        F.when(every(40, 0) | no_number, F.lit("NULL"))
         .when(every(40, 1) | every(40, 2), paired)
         .otherwise(F.col("Number"))
     )
@@ -158,6 +161,29 @@ def raw_ticket_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         priority.alias("Priority"),
         created.alias("Created"),
         resolved.alias("Resolved"),
-        F.col("Company"),
+        F.when(every(45, 0), F.lit("NATION_0")).otherwise(F.col("Company")).alias("Company"),
         F.col("order_key").cast("string").alias("Row key"),
+        F.when(every(8, 0), as_day("Created", "Y-N-E")).otherwise(as_day("Created", "M/D/Y"))
+        .alias("created_date"),
     )
+
+
+def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The untidy tickets as CSV text, some rows with a cell too many."""
+    rows = raw_ticket_rows(spark, sf_dir)
+    text = F.to_csv(F.struct(*rows.columns), {
+        "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
+    })
+    over_long = F.col("Row key").cast("bigint") % 33 == 0
+    return rows.select(F.when(over_long, F.concat(text, F.lit(",one more"))).otherwise(text).alias("line"))
+
+
+RAW_COLUMNS = (
+    "Site", "Number", "Short description", "Category", "Subcategory", "Priority", "Created", "Resolved",
+    "Company", "Row key", "created_date",
+)
+
+
+def untidy_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The untidy tickets, cleaned."""
+    return normalize(blank_null_tokens(raw_ticket_rows(spark, sf_dir)), AS_OF)

@@ -6,6 +6,7 @@ from conftest import AS_OF, rows_of
 
 from checks.compare import _sorted_rows
 from ticketscope import TicketDataset, TicketFilter
+from ticketscope.config import DAY_COLUMN, MALFORMED_COLUMN
 from ticketscope.operators.filters import apply_filters
 from ticketscope.operators.normalize import normalize, without_derived
 from ticketscope.plans.reports import REPORTS, run_report
@@ -48,8 +49,53 @@ def test_read_csv(spark, csv):
     )
 
 
+def test_over_long_and_short_rows(spark, tmp_path):
+    header, *_ = CSV.splitlines()
+    path = tmp_path / "odd.csv"
+    path.write_text(f"""{header}
+Store 1,1,"a, ""b"", c",Printer,Jam,2 - High,6/2/2025,,North,Ann
+Store 2,2,plain,Printer,Jam,2 - High,6/2/2025,,North,Ann,extra,"more, still"
+Store 3,3,plain,Printer,Jam,2 - High,6/2/2025,,North
+""", encoding="utf-8")
+    data = TicketDataset.load(spark, str(path), AS_OF)
+    rows = {r["Number"]: r for r in data.raw.collect()}
+    assert rows["1"][MALFORMED_COLUMN] is None and rows["3"][MALFORMED_COLUMN] is None
+    assert rows["2"][MALFORMED_COLUMN].endswith('Ann,extra,"more, still"')
+    assert (rows["2"]["Owner"], rows["3"]["Owner"]) == ("Ann", None)
+    found = data.validation().filter("check_name = 'malformed_rows'")
+    assert rows_of(found, "finding_count", "message") == [(1, "1 rows have more cells than the header")]
+    assert MALFORMED_COLUMN not in data.tickets.columns and data.tickets.count() == 3
+
+
+def test_files_with_other_headers_are_refused(spark, csv, tmp_path):
+    folder = tmp_path / "two.csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text("Site,Number,Priority,Created,Company\nS1,1,2 - High,6/2/2025,N\n")
+    (folder / "b.csv").write_text("Site,Number,Priority,Created,Company\nS2,2,2 - High,6/2/2025,N\n")
+    assert read_tickets(spark, str(folder)).count() == 2
+    (folder / "b.csv").write_text("Number,Site,Priority,Created,Company\n2,S2,2 - High,6/2/2025,N\n")
+    with pytest.raises(Exception, match="header"):
+        read_tickets(spark, str(folder)).collect()
+
+
+@pytest.mark.parametrize("day", ["2025-01-01", "01/01/2025"])
+def test_a_source_may_have_a_column_created_date(spark, tmp_path, day):
+    path = tmp_path / "t.csv"
+    path.write_text(f"Site,Number,Priority,Created,Company,created_date\nS,1,2 - High,7/1/2025,N,{day}\n")
+    data = TicketDataset.load(spark, str(path), AS_OF)
+    june = TicketFilter(date_from="2025-06-01", date_to="2025-07-31")
+    assert rows_of(data.filtered(june), "created_date") == [(day,)]
+    export_tickets(data.tickets, str(tmp_path / "out.csv"))
+    assert rows_of(read_tickets(spark, str(tmp_path / "out.csv")), "created_date") == [(day,)]
+    data.store(str(tmp_path / "stored"))
+    again = TicketDataset.open(spark, str(tmp_path / "stored"), AS_OF)
+    assert rows_of(again.filtered(june), "created_date") == [(day,)]
+    with pytest.raises(ValueError, match="reserved"):
+        normalize(data.raw.withColumn(DAY_COLUMN, data.raw.Created), AS_OF)
+
+
 def test_other_formats(spark, csv, tmp_path):
-    raw = read_tickets(spark, csv)
+    raw = read_tickets(spark, csv).drop(MALFORMED_COLUMN)
     raw.write.json(str(tmp_path / "t.json"))
     raw.write.parquet(str(tmp_path / "t.parquet"))
     assert same(read_tickets(spark, str(tmp_path / "t.json")), raw)
@@ -133,10 +179,10 @@ def test_stored_tickets_prune_days(spark, tickets, tmp_path):
     stored = read_stored(spark, path, AS_OF)
     conditions = TicketFilter(date_from="2025-07-05", date_to="2025-07-07", inclusive_end=True)
     chosen = apply_filters(stored, conditions)
-    assert same(chosen.drop("created_date"), apply_filters(found, conditions))
-    assert same(stored.drop("created_date"), found)
+    assert same(chosen.drop(DAY_COLUMN), apply_filters(found, conditions))
+    assert same(stored.drop(DAY_COLUMN), found)
     plan = chosen._jdf.queryExecution().executedPlan().toString()
-    assert "created_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert DAY_COLUMN in plan.split("PartitionFilters: [")[1].split("]")[0]
     # Another "now" changes the ages, and exports do not show the partition column.
     later = TicketDataset.open(spark, path, "2025-09-01 00:00:00")
     assert later.report("green_list").first()["uptime_days"] == 42
@@ -161,7 +207,9 @@ def test_export_everything(spark, tickets, tmp_path, format):
     path = str(tmp_path / "bundle")
     data = TicketDataset(found, found, AS_OF)
     counts = data.export_everything(path, conditions, format)
-    assert sorted(os.listdir(path)) == sorted(["filters", "raw_data", "summary", *REPORTS])
+    assert sorted(os.listdir(path)) == sorted(["filters", "raw_data", "summary", "tickets", *REPORTS])
+    options = {"header": True} if format == "csv" else {}
+    assert spark.read.format(format).options(**options).load(f"{path}/raw_data").count() == 5
     assert len(counts) == 11
     assert counts["raw_data"] == counts["incident_details"] == 5
     assert counts["critical_hotspots"] == counts["repeat_offenders"] == 1

@@ -5,6 +5,7 @@ from conftest import rows_of
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from checks import oracles, queries
 from checks.compare import connect, differences
 from checks.ticket_views import AS_OF, tickets as ticket_view
 from ticketscope.operators.normalize import normalize
@@ -12,8 +13,8 @@ from ticketscope.operators.ticket_reports import site_drill_down
 from ticketscope.plans.reports import run_report
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = queries.queries()
+ORACLES = oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -28,6 +29,7 @@ def found(spark):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", QUERIES)

@@ -5,9 +5,12 @@ from conftest import AS_OF, rows_of
 from pyspark.sql import functions as F
 
 from ticketscope.config import Config
-from ticketscope.operators.site_reports import hotspot_ticket_lists
+from ticketscope.dataset import TicketDataset
+from ticketscope.operators.site_reports import hotspot_tickets
+from ticketscope.operators.summary import dataset_profile
 from ticketscope.operators.ticket_reports import site_drill_down, with_sample_tickets
 from ticketscope.plans.reports import REPORTS, run_report
+from ticketscope.sources.writers import selected_rows
 
 CRIT = "1 - Critical"
 
@@ -27,44 +30,53 @@ def test_hotspots(tickets):
         {"Priority": CRIT, "Site": "Store 3", "Created": "8/1/2025 1:00", "Number": None},
         {"Site": "Store 2"},
     )
-    # The list of Store 1 covers both companies; a missing date sorts last and does not count.
     assert text("critical_hotspots", found) == [
-        ("Store 3", "North Foods, LLC", 2, "2025-08-01 01:00", "-1", "No ticket #s"),
-        ("Store 1", "North Foods, LLC", 2, "2025-07-03 09:00", "28", "T002, T003, T001, T004"),
+        ("Store 3", "North Foods, LLC", 2, "2025-08-01 01:00", "-1"),
+        ("Store 1", "North Foods, LLC", 2, "2025-07-03 09:00", "28"),
+    ]
+    # The list of Store 1 covers both companies; a missing date sorts last and does not count.
+    listed = TicketDataset(found, found, AS_OF).hotspot_tickets(as_text=True)
+    assert rows_of(listed, "Site", "Company", "Created", "Ticket #") == [
+        ("Store 1", "North Foods, LLC", "2025-07-01 09:00", "T002"),
+        ("Store 1", "South", "2025-07-02 09:00", "T003"),
+        ("Store 1", "North Foods, LLC", "2025-07-03 09:00", "T001"),
+        ("Store 1", "South", "N/A", "T004"),
+        ("Store 3", "North Foods, LLC", "2025-07-09 00:00", "No ticket #"),
+        ("Store 3", "North Foods, LLC", "2025-08-01 01:00", "No ticket #"),
     ]
     assert run_report("critical_hotspots", found, AS_OF, Config(critical_threshold=1)).count() == 4
 
 
-def test_long_hotspot_lists_are_spread_and_whole(tickets):
-    found = tickets(
-        *[{"Priority": CRIT, "Created": f"7/{d}/2025 9:00"} for d in range(1, 21)],
-        *[{"Priority": CRIT, "Number": "SAME"}] * 11,
-        {"Priority": CRIT, "Site": "Store 2"}, {"Priority": CRIT, "Site": "Store 2"},
-    )
-    parts = hotspot_ticket_lists(found, Config(list_part_size=5)).collect()
-    listed = [n for p in parts if p["site"] == "Store 1" for n in p["tickets"].split(", ")]
-    assert sorted(listed) == sorted([f"T{i:03}" for i in range(1, 21)] + ["SAME"] * 11)
-    assert len({p["part_no"] for p in parts if p["site"] == "Store 1"}) > 2
-    for part in parts:
-        kept = [n for n in part["tickets"].split(", ") if n != "SAME"]
-        assert kept == sorted(kept)
-    assert [p["tickets"] for p in parts if p["site"] == "Store 2"] == ["T032, T033"]
-    report = run_report("critical_hotspots", found, AS_OF, Config(list_part_size=5))
-    assert [r["ticket_part"] for r in report.collect() if r["site"] == "Store 2"] == [1]
-
-
-def test_parts_of_a_hot_site_go_to_several_tasks(spark, tickets):
-    found = tickets(*[{"Priority": CRIT}] * 200, {"Site": "Store 2", "Priority": CRIT})
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+def test_tickets_of_a_hot_site_go_to_several_tasks(spark, tickets):
+    found = tickets(*[{"Priority": CRIT}] * 200, {"Site": "Store 2", "Priority": CRIT}).coalesce(1)
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.shuffle.partitions": "24"}
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
     try:
-        parts = hotspot_ticket_lists(found, Config(list_part_size=10))
-        tasks = parts.select(F.spark_partition_id().alias("task"), "part_no", "tickets").collect()
+        listed = hotspot_tickets(found).select(F.spark_partition_id().alias("task"), "number")
+        rows = listed.collect()
     finally:
-        spark.conf.unset("spark.sql.adaptive.enabled")
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert len({row["task"] for row in tasks}) > 1
-    assert sum(len(row["tickets"].split(", ")) for row in tasks) == 200
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert len({row["task"] for row in rows}) > 8
+    assert len(rows) == 200
+
+
+def _scans(frame) -> int:
+    return frame._jdf.queryExecution().optimizedPlan().toString().count("Relation ")
+
+
+def test_one_scan_per_report(spark, tickets, tmp_path):
+    tickets({}).write.parquet(str(tmp_path / "t"))
+    stored = spark.read.parquet(str(tmp_path / "t"))
+    for name in ("equipment_analysis", "critical_hotspots", "site_scorecard", "franchise_overview"):
+        assert _scans(run_report(name, stored, AS_OF)) == 1
+    assert _scans(dataset_profile(stored)) == 1
+    chosen = run_report("critical_hotspots", stored, AS_OF, ordered=False)
+    card = run_report("site_scorecard", stored, AS_OF, ordered=False)
+    assert _scans(selected_rows(card, chosen, ["site", "company"])) == 2
 
 
 def test_identical_tickets_are_sorted_by_several_tasks(spark, tickets):

@@ -59,13 +59,18 @@ DERIVED_COLUMNS = (
     "days_since_created",
 )
 
-# Partition column of stored tickets.
-DAY_COLUMN = "created_date"
+# Reserved names: the partition column of stored tickets, and the text of CSV rows with more cells
+# than the header. A source with a column of the first name is refused.
+DAY_COLUMN = "ticketscope_day"
+MALFORMED_COLUMN = "ticketscope_malformed_row"
 
 
 @dataclass(frozen=True)
 class Config:
-    """Everything that changes a result, with the usual defaults."""
+    """Everything that changes a result, with the usual defaults.
+
+    The targets, required columns and thresholds are fixed values of the usual reports.
+    """
 
     critical_threshold: int = 2
     mttr_targets: Mapping[str, float] = field(
@@ -78,9 +83,6 @@ class Config:
     repeat_threshold: int = 3
     medium_risk_hours: float = 24
     high_risk_hours: float = 48
-    # Longest list of ticket numbers (or subcategories) kept in one cell; longer lists are
-    # spread over several rows, none of the entries is left out.
-    list_part_size: int = 10_000
 
 
 DEFAULT_CONFIG = Config()

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ticketscope.config import DEFAULT_CONFIG, Config
 from ticketscope.operators import options, quality, summary
 from ticketscope.operators.filters import TicketFilter, apply_filters
 from ticketscope.operators.normalize import normalize, rename_columns, without_derived
+from ticketscope.operators.site_reports import hotspot_tickets
 from ticketscope.operators.ticket_reports import site_drill_down
 from ticketscope.plans.bundle import export_everything
-from ticketscope.plans.display import incidents
+from ticketscope.plans.display import hotspot_list, incidents
 from ticketscope.plans.reports import run_report, sort_report
 from ticketscope.sources.readers import load_metadata, read_stored, read_tickets
 from ticketscope.sources.writers import store_tickets
@@ -42,9 +44,14 @@ class TicketDataset:
         column_mapping: Mapping[str, str] | None = None,
         config: Config = DEFAULT_CONFIG,
         multiline: bool = True,
+        columns: Sequence[str] | None = None,
     ) -> TicketDataset:
-        """Read, rename and clean; absent required columns raise ``MissingColumnsError``."""
-        raw = rename_columns(read_tickets(spark, path, format, multiline), column_mapping or {})
+        """Read, rename and clean; absent required columns raise ``MissingColumnsError``.
+
+        ``columns`` names the columns of JSON files, which spares reading them once more.
+        """
+        source = read_tickets(spark, path, format, multiline, columns)
+        raw = rename_columns(source, column_mapping or {})
         return cls(raw, normalize(raw, as_of, config), as_of, config, path)
 
     @classmethod
@@ -80,6 +87,16 @@ class TicketDataset:
         rows = sort_report("incident_details", rows)
         return incidents(rows, self.config) if as_text else rows
 
+    def hotspot_tickets(
+        self, conditions: TicketFilter = _NO_FILTER, as_text: bool = False
+    ) -> DataFrame:
+        """The critical tickets of the sites that have a hotspot, by site and time."""
+        rows = hotspot_tickets(self.filtered(conditions), self.config)
+        tasks = rows.withColumn("_task", F.spark_partition_id())
+        order = [F.col(c).asc_nulls_last() for c in ("site", "created", "number", "company", "_task")]
+        rows = tasks.orderBy(*order).drop("_task")
+        return hotspot_list(rows) if as_text else rows
+
     def validation(self) -> DataFrame:
         return quality.validate(self.raw, self.config)
 

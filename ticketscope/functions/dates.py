@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 from ticketscope.functions.text import strip
 
 _TOKEN = re.compile(r"yyyy|MM?|dd?|HH?|mm?|ss?|\s+|.")
-_FIELD_PATTERNS = {"y": r"((?!0000)\d{4})", "M": r"(\d{1,2})", "d": r"(\d{1,2})",
-                   "H": r"(\d{1,2})", "m": r"(\d{1,2})", "s": r"(\d{1,2})"}
+_FIELDS = "yMdHms"
 
 
 def timestamp_literal(value: datetime | date | str) -> Column:
@@ -26,42 +25,69 @@ def timestamp_literal(value: datetime | date | str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
-def _iso_rewrite(date_format: str) -> tuple[str, str]:
-    """Regex matching ``date_format`` and the replacement that reorders it as ISO text."""
-    pattern, group = "", {}
+def _shape(date_format: str) -> tuple[str, dict[str, int]]:
+    """What ``date_parts`` makes of fitting text, and the place of each field's number."""
+    shape, place = "", {}
     for token in _TOKEN.findall(date_format):
-        if token[0] in _FIELD_PATTERNS and token != "y" and token[0] not in group:
-            group[token[0]] = f"${len(group) + 1}"
-            pattern += _FIELD_PATTERNS[token[0]]
+        field = token[0]
+        if field in _FIELDS and (field != "y" or token == "yyyy") and field not in place:
+            place[field] = len(place)
+            shape += "9"
         elif token.isspace():
-            pattern += r"\s+"
-        elif token.isalpha():
+            shape += " "
+        elif token.isalnum():
             raise ValueError(f"unknown or repeated {token!r} in date format {date_format!r}")
         else:
-            pattern += re.escape(token)
-    if not {"y", "M", "d"} <= group.keys():
+            shape += token
+    if not {"y", "M", "d"} <= place.keys():
         raise ValueError(f"date format {date_format!r} needs yyyy, M and d")
-    time = ":".join(group.get(part, "0") for part in "Hms")
-    return f"^{pattern}$", f"{group['y']}-{group['M']}-{group['d']} {time}"
+    return shape, place
 
 
-def parse_with_format(stripped: Column, date_format: str) -> Column:
-    """TIMESTAMP_NTZ if the stripped text fits the format and is a real date, else NULL."""
-    pattern, iso = _iso_rewrite(date_format)
-    rewritten = F.regexp_replace(stripped, pattern, iso)
-    return F.when(stripped.rlike(pattern), rewritten.try_cast("timestamp_ntz"))
+def date_parts(stripped: Column) -> Column:
+    """The shape of a cell (each number as 9, white space as one blank) and its numbers."""
+    shape = F.regexp_replace(F.regexp_replace(stripped, "[0-9]+", "9"), r"\s+", " ")
+    return F.struct(shape.alias("shape"), F.split(stripped, "[^0-9]+").alias("numbers"))
+
+
+def parse_with_format(parts: Column, date_format: str) -> Column:
+    """TIMESTAMP_NTZ if the cell fits the format and is a real date, else NULL."""
+    shape, place = _shape(date_format)
+    numbers = parts.getField("numbers")
+
+    def digits(field: str) -> Column:
+        return F.get(numbers, F.lit(place[field]))
+
+    fits = (parts.getField("shape") == shape) & (F.length(digits("y")) == 4) & (digits("y") != "0000")
+    for field in place:
+        if field != "y":
+            fits = fits & (F.length(digits(field)) <= 2)
+    value = {f: digits(f).cast("int") if f in place else F.lit(0) for f in _FIELDS}
+    if "s" in place:
+        fits = fits & (value["s"] < 60)
+    made = F.try_make_timestamp_ntz(
+        value["y"], value["M"], value["d"], value["H"], value["m"], value["s"].cast("decimal(16,6)")
+    )
+    return F.when(fits, made)
 
 
 def parse_date(stripped: Column, formats: Sequence[str]) -> Column:
-    """First format that fits wins; blank or unreadable text is NULL."""
-    return F.coalesce(*[parse_with_format(stripped, f) for f in formats])
+    """First format that fits wins; blank or unreadable text is NULL.
+
+    The cell is taken apart once, in a lambda variable: also where a filter on the result is pushed
+    below the projection and repeats the expression, it stays small.
+    """
+    found = F.transform(
+        F.array(date_parts(stripped)),
+        lambda parts: F.coalesce(*[parse_with_format(parts, f) for f in formats]),
+    )
+    return F.element_at(found, 1)
 
 
 def with_times(rows: DataFrame, names: Mapping[str, str], formats: Sequence[str]) -> DataFrame:
     """Add a TIMESTAMP_NTZ column for each date column in ``names`` (source -> new name).
 
-    Text is parsed, a column that is already a date or timestamp is cast. Stripping is a step
-    of its own, so that it happens once per cell and not once per format.
+    Text is parsed, a column that is already a date or timestamp is cast.
     """
     types = dict(rows.dtypes)
     text = {new: strip(F.col(f"`{old}`")) for old, new in names.items() if types[old] == "string"}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ticketscope.config import DEFAULT_CONFIG, Config
@@ -22,17 +23,12 @@ def equipment_analysis(
     task, and the most frequent site (first by name on a tie) is then a cheap minimum.
     """
     require_number(tickets)
-    total = tickets.agg(F.count(F.lit(1)).alias("total")).scalar()
-    by_site = (
-        tickets.filter(F.col("category").isNotNull() & F.col("subcategory").isNotNull())
-        .groupBy("category", "subcategory", "site")
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.count("number").alias("numbered"),
-            F.count_if("is_critical").alias("critical"),
-            F.sum("resolution_seconds").alias("seconds"),
-            F.count("resolution_seconds").alias("measured"),
-        )
+    by_site = tickets.groupBy("category", "subcategory", "site").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count("number").alias("numbered"),
+        F.count_if("is_critical").alias("critical"),
+        F.sum("resolution_seconds").alias("seconds"),
+        F.count("resolution_seconds").alias("measured"),
     )
     groups = by_site.groupBy("category", "subcategory").agg(
         F.sum("numbered").alias("total_count"),
@@ -40,13 +36,17 @@ def equipment_analysis(
         F.sum("seconds").alias("seconds"),
         F.sum("measured").alias("measured"),
         F.min_by("site", F.struct(-F.col("rows"), "site")).alias("most_affected_site"),
+        F.sum("rows").alias("rows"),
     )
+    # The groups are few, one per pair of labels; their rows add up to all tickets.
+    total = F.sum("rows").over(W.partitionBy())
     mttr = F.coalesce(round1(mean_hours(F.col("seconds"), F.col("measured"))), F.lit(0.0))
-    return groups.select(
+    named = F.col("category").isNotNull() & F.col("subcategory").isNotNull()
+    return groups.withColumn("total", total).filter(named).select(
         "category",
         "subcategory",
         "total_count",
-        round1(percent(F.col("total_count"), total)).alias("pct_of_total"),
+        round1(percent(F.col("total_count"), F.col("total"))).alias("pct_of_total"),
         "critical_count",
         round1(percent(F.col("critical_count"), F.col("total_count"))).alias("critical_pct"),
         mttr.alias("avg_mttr_hours"),

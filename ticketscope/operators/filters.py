@@ -133,7 +133,8 @@ def checked_priorities(
 def apply_filters(tickets: DataFrame, conditions: TicketFilter) -> DataFrame:
     """Tickets that fulfil all conditions.
 
-    On tickets stored by date (``store_tickets``) the date range prunes partitions.
+    On stored tickets (``read_stored``) the date range prunes partitions; only these have the
+    reserved day column.
     """
     filtered = tickets.filter(conditions.to_column())
     if DAY_COLUMN in tickets.columns:

@@ -5,22 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Rows of one key go to this many tasks at least.
-_SALTS = 8
 
-
-def spread_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """``inner`` or ``left`` join of many ``rows`` per key with few ``lookup`` rows per key.
+def spread_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
+    """Join of very many ``rows`` per key with few ``lookup`` rows per key.
 
     Every lookup row is repeated once per salt and every row takes one salt, so a hot key is
-    shared by several tasks whatever the settings. The salt also makes Spark shuffle both sides
-    for this join alone, and only such joins are split further by adaptive execution: a side
-    that arrives partitioned by key from an aggregation is not.
+    shared by as many tasks as a shuffle has, whatever the other settings. The salt also makes
+    Spark shuffle both sides for this join alone, and only such joins are split further by
+    adaptive execution: a side that arrives partitioned by key from an aggregation is not.
 
-    The salt is the number of the task that read the row. It is the same when the task runs
-    again, and it separates even identical rows.
+    The salt is a hash of the row's own columns: it is the same when a task runs again and does not
+    depend on how the rows were read.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(_SALTS)))
-    salts = F.sequence(F.lit(0), F.lit(_SALTS - 1))
-    repeated = lookup.withColumn("_salt", F.explode(salts))
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(salts)))
+    repeated = lookup.withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
+    )
     return salted.join(repeated, [key, "_salt"], how).drop("_salt")

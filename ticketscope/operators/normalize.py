@@ -14,6 +14,7 @@ from ticketscope.config import (
     DAY_COLUMN,
     DEFAULT_CONFIG,
     DERIVED_COLUMNS,
+    MALFORMED_COLUMN,
     STANDARD_COLUMNS,
     Config,
 )
@@ -68,7 +69,8 @@ def blank_null_tokens(raw: DataFrame) -> DataFrame:
     """Replace the text tokens for "missing" by NULL in every string column."""
     return raw.select(
         *[
-            null_tokens_to_null(F.col(f"`{name}`")).alias(name) if kind == "string" else F.col(f"`{name}`")
+            null_tokens_to_null(F.col(f"`{name}`")).alias(name)
+            if kind == "string" and name != MALFORMED_COLUMN else F.col(f"`{name}`")
             for name, kind in raw.dtypes
         ]
     )
@@ -85,6 +87,8 @@ def clean(raw: DataFrame, config: Config = DEFAULT_CONFIG) -> DataFrame:
     missing = missing_columns(raw, config)
     if missing:
         raise MissingColumnsError(f"Missing required columns: {', '.join(missing)}")
+    if DAY_COLUMN in raw.columns:
+        raise ValueError(f"The column name {DAY_COLUMN!r} is reserved; rename it in the source")
     text = [n for n in (*_CLEANED_TEXT, "Priority", "Number") if n in raw.columns]
     stripped = with_times(
         raw.withColumns(
@@ -105,7 +109,7 @@ def clean(raw: DataFrame, config: Config = DEFAULT_CONFIG) -> DataFrame:
         return blank_if_missing(column) if name in _CLEANED_TEXT else column
 
     present = [n for n in STANDARD_COLUMNS if n in raw.columns or n in _OPTIONAL_TYPES]
-    extra = [n for n in raw.columns if n not in STANDARD_COLUMNS]
+    extra = [n for n in raw.columns if n not in STANDARD_COLUMNS and n != MALFORMED_COLUMN]
     return stripped.select(
         *[standard(name).alias(STANDARD_COLUMNS[name]) for name in present],
         *[F.col(f"`{name}`") for name in extra],

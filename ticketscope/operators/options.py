@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketscope.config import DEFAULT_CONFIG, Config
-from ticketscope.operators.lists import list_in_parts
-
 
 def category_pairs(tickets: DataFrame) -> DataFrame:
     """Distinct (category, subcategory); blank categories are left out, blank subcategories kept."""
@@ -18,22 +15,9 @@ def category_pairs(tickets: DataFrame) -> DataFrame:
     )
 
 
-def category_map(tickets: DataFrame, config: Config = DEFAULT_CONFIG) -> DataFrame:
-    """Each category with the sorted list of its subcategories.
-
-    A list longer than ``list_part_size`` continues in further rows (``list_part``).
-    """
-    pairs = category_pairs(tickets)
-    totals = pairs.groupBy("category").agg(F.count(F.lit(1)).alias("total"))
-    return list_in_parts(
-        pairs.withColumn("copies", F.lit(1).cast("bigint")),
-        totals,
-        "category",
-        "subcategory",
-        config.list_part_size,
-    ).select(
-        "category", F.col("part_no").alias("list_part"), F.col("part_values").alias("subcategories")
-    )
+def category_map(tickets: DataFrame) -> DataFrame:
+    """The category tree: one row per (category, subcategory), sorted."""
+    return category_pairs(tickets).orderBy("category", "subcategory")
 
 
 def filter_options(tickets: DataFrame) -> DataFrame:

@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketscope.config import DEFAULT_CONFIG, PRIORITIES, Config
-from ticketscope.functions.dates import parse_with_format, with_times
+from ticketscope.config import DEFAULT_CONFIG, MALFORMED_COLUMN, PRIORITIES, Config
+from ticketscope.functions.dates import date_parts, parse_with_format, with_times
 from ticketscope.functions.numbers import percent, printed1, round1
 from ticketscope.functions.text import strip
 from ticketscope.operators.normalize import missing_columns
 
-# Share of a sample above which a date format counts as detected, and missing values (in
+# Share of the rows above which a date format counts as detected, and missing values (in
 # percent) above which a column gets a warning.
 _DETECTION_SHARE = 0.8
 _MISSING_WARNING_PCT = 10
@@ -99,6 +99,8 @@ def validate(raw: DataFrame, config: Config = DEFAULT_CONFIG) -> DataFrame:
     if "Priority" in raw.columns:
         unexpected = F.when(~F.col("Priority").isin(*PRIORITIES), F.col("Priority"))
         aggregates.append(F.count_distinct(unexpected).alias("unexpected"))
+    if MALFORMED_COLUMN in raw.columns:
+        aggregates.append(F.count(MALFORMED_COLUMN).alias("malformed"))
     figures = _parsed(raw, config).agg(*aggregates)
 
     rows = F.col("rows")
@@ -124,6 +126,10 @@ def validate(raw: DataFrame, config: Config = DEFAULT_CONFIG) -> DataFrame:
         count = F.col("unexpected")
         findings.append(_finding("priority_values", "Priority", "warning", count,
                                  F.when(count > 0, _text(count, " unexpected priority values found"))))
+    if MALFORMED_COLUMN in raw.columns:
+        count = F.col("malformed")
+        findings.append(_finding("malformed_rows", "", "warning", count,
+                                 F.when(count > 0, _text(count, " rows have more cells than the header"))))
     for name in dates:
         count = F.col(f"bad_{name}")
         suffix = " (excluding legitimately empty values)" if name == "Resolved" else ""
@@ -158,14 +164,14 @@ def _text(count: Column, suffix: str) -> Column:
 
 
 def detect_date_format(
-    raw: DataFrame, column: str, formats: Sequence[str], sample_size: int | None = None
+    raw: DataFrame, column: str, formats: Sequence[str]
 ) -> DataFrame:
     """Share of cells that fit each date format; ``detected`` marks the best one above 80 %.
 
-    The earlier format wins a tie. All rows are judged unless ``sample_size`` is given.
+    The earlier format wins a tie. All rows are judged.
     """
     stripped = raw.select(strip(F.col(f"`{column}`")).alias("cell"))
-    rows = stripped if sample_size is None else stripped.limit(sample_size)
+    rows = stripped.select(date_parts(F.col("cell")).alias("cell"))
     shares = [f"share_{i}" for i in range(len(formats))]
     figures = rows.agg(
         *[

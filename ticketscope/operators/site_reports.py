@@ -11,51 +11,28 @@ from ticketscope.config import CRITICAL, DEFAULT_CONFIG, Config
 from ticketscope.functions.dates import timestamp_literal, whole_days_between
 from ticketscope.functions.numbers import mean_hours, percent, round1
 from ticketscope.operators.joins import spread_join
-from ticketscope.operators.lists import list_in_parts
 from ticketscope.operators.normalize import require_number
 from ticketscope.operators.rollup import site_rollup
 
 
-def _critical_rollup(tickets: DataFrame) -> DataFrame:
+def _hotspots(tickets: DataFrame, config: Config) -> DataFrame:
     return (
         tickets.filter(F.col("priority") == CRITICAL)
         .groupBy("site", "company")
-        .agg(
-            F.count("created").alias("critical_count"),
-            F.max("created").alias("latest_incident"),
-            F.count("number").alias("numbered"),
-        )
+        .agg(F.count("created").alias("critical_count"), F.max("created").alias("latest_incident"))
+        .filter(F.col("critical_count") >= config.critical_threshold)
     )
 
 
-def hotspot_ticket_lists(tickets: DataFrame, config: Config = DEFAULT_CONFIG) -> DataFrame:
-    """Numbers of all critical tickets of each site that has a hotspot: (site, part_no, tickets).
+def hotspot_tickets(tickets: DataFrame, config: Config = DEFAULT_CONFIG) -> DataFrame:
+    """One row per critical ticket of each site that has a hotspot, over all its companies.
 
-    The list of a site covers all companies of that site.
+    A list of a site's tickets in one cell would not hold a site with very many of them.
     """
     require_number(tickets)
-    totals = (
-        _critical_rollup(tickets)
-        .groupBy("site")
-        .agg(F.sum("numbered").alias("total"), F.max("critical_count").alias("most"))
-        .filter(F.col("most") >= config.critical_threshold)
-        .select("site", "total")
-    )
-    # All tickets without a number become one row per site.
-    count = F.when(F.col("number").isNull(), 1).otherwise(F.count(F.lit(1)))
-    numbers = (
-        tickets.filter(F.col("priority") == CRITICAL)
-        .select("site", F.when(F.col("number").isNotNull(), F.col("created")).alias("created"), "number")
-        .groupBy("site", "created", "number")
-        .agg(count.cast("bigint").alias("copies"))
-    )
-    listed = list_in_parts(
-        numbers, totals, "site", "number", config.list_part_size, order_by=["created"]
-    )
-    text = F.when(F.size("part_values") > 0, F.array_join("part_values", ", "))
-    return listed.select(
-        "site", "part_no", F.coalesce(text, F.lit("No ticket #s")).alias("tickets")
-    )
+    sites = _hotspots(tickets, config).select("site").distinct()
+    critical = tickets.filter(F.col("priority") == CRITICAL).select("site", "company", "created", "number")
+    return spread_join(critical, sites, "site")
 
 
 def critical_hotspots(
@@ -63,25 +40,12 @@ def critical_hotspots(
 ) -> DataFrame:
     """(Site, company) groups with at least ``critical_threshold`` critical tickets.
 
-    ``all_critical_tickets`` lists the critical tickets of the site, also those of its other
-    companies. A list longer than ``list_part_size`` continues in further rows (``ticket_part``).
+    Always one row per group; ``hotspot_tickets`` has the tickets.
     """
     require_number(tickets)
-    hotspots = (
-        _critical_rollup(tickets)
-        .filter(F.col("critical_count") >= config.critical_threshold)
-        .drop("numbered")
-    )
-    return spread_join(hotspot_ticket_lists(tickets, config), hotspots, "site").select(
-        "site",
-        "company",
-        "critical_count",
-        "latest_incident",
-        whole_days_between(F.col("latest_incident"), timestamp_literal(as_of)).alias(
-            "days_since_last"
-        ),
-        F.col("part_no").alias("ticket_part"),
-        F.col("tickets").alias("all_critical_tickets"),
+    return _hotspots(tickets, config).withColumn(
+        "days_since_last",
+        whole_days_between(F.col("latest_incident"), timestamp_literal(as_of)),
     )
 
 

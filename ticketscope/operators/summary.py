@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ticketscope.functions.dates import day_text, seconds_between
 from ticketscope.functions.numbers import mean_hours, percent, printed1, round1, text1
-from ticketscope.operators.options import category_pairs
 from ticketscope.operators.rollup import overall, site_rollup
 
 
@@ -155,12 +154,17 @@ def date_range(tickets: DataFrame) -> DataFrame:
 
 
 def dataset_profile(tickets: DataFrame) -> DataFrame:
-    """Size of a loaded dataset: rows, sites, companies, categories, column names."""
-    figures = overall(site_rollup(tickets))
-    categories = category_pairs(tickets).agg(F.count_distinct("category")).scalar()
-    return figures.select(
-        F.col("tickets").alias("processed_records"),
-        "sites",
-        "companies",
-        categories.alias("categories"),
-    )
+    """Size of a loaded dataset: records, sites, companies, categories, column names.
+
+    Cleaning removes no row, so that there are as many raw records as processed ones.
+    """
+    label = F.when((F.col("category") != "") & F.col("subcategory").isNotNull(), F.col("category"))
+    groups = tickets.groupBy("site", "company", label.alias("label")).agg(F.count(F.lit(1)).alias("rows"))
+    rows = F.coalesce(F.sum("rows"), F.lit(0)).cast("bigint")
+    return groups.agg(
+        rows.alias("processed_records"),
+        rows.alias("raw_records"),
+        F.count_distinct("site").alias("sites"),
+        F.count_distinct("company").alias("companies"),
+        F.count_distinct("label").alias("categories"),
+    ).withColumn("columns", F.lit(", ".join(tickets.columns)))

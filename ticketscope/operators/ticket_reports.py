@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ticketscope.config import DEFAULT_CONFIG, Config
 from ticketscope.functions.dates import timestamp_literal, week_start, whole_days_between
 from ticketscope.functions.numbers import percent, round1
-from ticketscope.operators.joins import spread_join
 from ticketscope.operators.normalize import require_number
 
 # Weekday names, Monday first.
@@ -69,15 +68,16 @@ def with_sample_tickets(report: DataFrame, tickets: DataFrame) -> DataFrame:
     if "site" not in report.columns:
         raise ValueError("Sample tickets need a report with a site column")
     earliest = W.partitionBy("site").orderBy(F.col("created").asc_nulls_last(), "number")
+    wanted = tickets.join(report.select("site").distinct(), "site", "left_semi")
     samples = (
-        tickets.filter(F.col("number").isNotNull())
+        wanted.filter(F.col("number").isNotNull())
         .select("site", "created", "number", F.row_number().over(earliest).alias("place"))
         .filter(F.col("place") <= 3)
         .groupBy("site")
         .agg(F.array_sort(F.collect_list(F.struct("place", "number"))).alias("shown"))
         .select("site", F.col("shown.number").alias("shown"))
     )
-    sizes = tickets.groupBy("site").agg(F.count(F.lit(1)).alias("site_rows"))
+    sizes = wanted.groupBy("site").agg(F.count(F.lit(1)).alias("site_rows"))
     more = F.when(
         (F.size("shown") == 3) & (F.col("site_rows") > 3),
         F.concat(F.lit(" (+"), (F.col("site_rows") - 3).cast("string"), F.lit(" more)")),
@@ -88,7 +88,7 @@ def with_sample_tickets(report: DataFrame, tickets: DataFrame) -> DataFrame:
         .otherwise(F.concat(F.array_join("shown", ", "), more))
     )
     lookup = sizes.join(samples, "site", "left")
-    return spread_join(report, lookup, "site", "left").select(
+    return report.join(lookup, "site", "left").select(
         *report.columns, text.alias("sample_tickets")
     )
 

@@ -26,22 +26,22 @@ def export_everything(
 ) -> dict[str, int]:
     """Write eleven datasets below ``path`` and return how many rows each has.
 
-    The filtered tickets are written first, as Parquet, and everything else is computed from
-    that copy: cleaning and filtering run once, and a lost executor costs no more than the scan
+    The filtered tickets are written first, as Parquet in ``tickets``, and everything else, also
+    ``raw_data`` in the chosen format, is computed from that copy: cleaning and filtering run once, and a lost executor costs no more than the scan
     of a few files. ``path`` must therefore be on storage that all executors share. A report
     without rows leaves a folder without rows and counts 0. The active filters are recorded
     in ``filters``.
     """
     spark = tickets.sparkSession
-    raw_path = f"{path}/raw_data"
+    raw_path = f"{path}/tickets"
     export_tickets(apply_filters(tickets, conditions), raw_path, "parquet", mode)
     stored = spark.read.parquet(raw_path)
     filtered = derive(with_inner_names(stored), as_of)
 
-    datasets = {"summary": summary_sheet(filtered, as_of).orderBy("position")}
+    datasets = {"raw_data": stored, "summary": summary_sheet(filtered, as_of).orderBy("position")}
     for name in REPORTS:
         datasets[name] = run_report(name, filtered, as_of, config, as_text=True)
-    counts = {"raw_data": stored.count()}
+    counts = {}
     for name, data in datasets.items():
         written = Observation(name)
         export(

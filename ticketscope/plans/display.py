@@ -48,7 +48,15 @@ def hotspots(report: DataFrame, config: Config) -> DataFrame:
         F.col("critical_count").alias("Critical Count"),
         _or_na(minute_text(F.col("latest_incident"))).alias("Latest Incident"),
         _whole("days_since_last").alias("Days Since Last"),
-        F.col("all_critical_tickets").alias("All Critical Tickets"),
+    )
+
+
+def hotspot_list(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        F.col("site").alias("Site"),
+        F.col("company").alias("Company"),
+        _or_na(minute_text(F.col("created"))).alias("Created"),
+        F.coalesce("number", F.lit("No ticket #")).alias("Ticket #"),
     )
 
 

@@ -39,7 +39,7 @@ def _by(*names: str) -> Callable[[], list[Column]]:
 REPORTS = {
     "critical_hotspots": Report(
         site_reports.critical_hotspots,
-        _by("-critical_count", "-latest_incident", "site", "company", "ticket_part"),
+        _by("-critical_count", "-latest_incident", "site", "company"),
         display.hotspots,
     ),
     "site_scorecard": Report(

@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ticketscope.config import MALFORMED_COLUMN
 from ticketscope.functions.dates import timestamp_literal
 from ticketscope.operators.normalize import blank_null_tokens, derive
 
+CSV_OPTIONS = {"quote": '"', "escape": '"', "columnNameOfCorruptRecord": MALFORMED_COLUMN}
 _EXTENSIONS = {".csv": "csv", ".json": "json", ".parquet": "parquet"}
 
 
@@ -38,16 +40,21 @@ def read_tickets(
     Text formats are read as strings, without guessing types, and cells that mean "missing"
     become NULL. Quoted CSV cells may hold line breaks; if yours do not, set
     ``multiline=False`` so that Spark can split large files (with line breaks, a file is one
-    task). JSON files are read once more to find their columns unless ``columns`` names them.
+    task). All CSV files of a folder must have the same header, else reading fails; a row with more
+    cells than the header keeps its whole text in ``MALFORMED_COLUMN``, which ``validate`` counts.
+    JSON files are read once more to find their columns unless ``columns`` names them.
     """
     kind = format or format_of(path)
     if kind == "csv":
-        raw = spark.read.csv(
-            path, header=True, quote='"', escape='"', multiLine=multiline, encoding="UTF-8"
-        )
-        return blank_null_tokens(raw)
+        options = {"header": True, "multiLine": multiline, "encoding": "UTF-8", **CSV_OPTIONS}
+        header = spark.read.options(**options).csv(path)
+        several = len(header.inputFiles()) > 1
+        raw = spark.read.options(
+            **options, columnPruning=False, enforceSchema=not several
+        ).schema(csv_schema(header.columns)).csv(path)
+        return blank_null_tokens(_with_malformed(raw, header.columns))
     if kind == "json":
-        schema = columns and StructType([StructField(name, StringType()) for name in columns])
+        schema = columns and _text_schema(columns)
         return blank_null_tokens(spark.read.json(path, schema, primitivesAsString=True))
     if kind == "parquet":
         return spark.read.parquet(path)
@@ -56,6 +63,35 @@ def read_tickets(
     raise ValueError(f"Unsupported format {kind!r}")
 
 
+def _text_schema(columns: Sequence[str]) -> StructType:
+    return StructType([StructField(name, StringType()) for name in columns])
+
+
+def csv_schema(columns: Sequence[str]) -> StructType:
+    """Text cells, and the whole row where it has another number of cells than the header."""
+    return _text_schema([*columns, MALFORMED_COLUMN])
+
+
+def _with_malformed(raw: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Keep the whole text of over-long rows only; in short rows cells are just missing."""
+    unquoted = F.regexp_replace(MALFORMED_COLUMN, '"[^"]*"', "")
+    cells = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(","), F.lit(""))) + 1
+    return raw.withColumn(MALFORMED_COLUMN, F.when(cells > len(columns), F.col(MALFORMED_COLUMN)))
+
+
+def tickets_from_csv_text(lines: DataFrame, columns: Sequence[str], line: str = "line") -> DataFrame:
+    """Raw tickets from a column that holds one CSV row each, read like the rows of a file."""
+    names = (name.replace("`", "``") for name in (*columns, MALFORMED_COLUMN))
+    parsed = F.from_csv(line, ", ".join(f"`{name}` string" for name in names), CSV_OPTIONS)
+    return blank_null_tokens(_with_malformed(lines.select(parsed.alias("r")).select("r.*"), columns))
+
+
+def tickets_from_json_text(lines: DataFrame, columns: Sequence[str], line: str = "line") -> DataFrame:
+    """Raw tickets from a column that holds one JSON object each."""
+    parsed = F.from_json(line, _text_schema(columns), {"primitivesAsString": "true"})
+    return blank_null_tokens(lines.select(parsed.alias("r")).select("r.*"))
+
+
 def read_stored(spark: SparkSession, path: str, as_of: datetime | str) -> DataFrame:
     """Tickets written by ``store_tickets``, with the derived columns as of the given moment."""
     return derive(spark.read.parquet(path), as_of)

@@ -63,14 +63,10 @@ def export_tickets(
 def store_tickets(tickets: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Store clean tickets as Parquet, partitioned by day of creation, for ``read_stored``.
 
-    Date filters then read only the days they need. The rows are split by ranges of day, site,
-    time and number, so a day or a site with very many tickets goes to several tasks and files;
-    the number of the reading task splits even identical rows.
+    Date filters then read only the days they need. The rows are rebalanced by day: adaptive
+    execution joins small days in a task and splits large ones over several tasks and files.
     Derived columns are left out: they depend on the moment that counts as "now".
     """
-    by_day = tickets.drop(*DERIVED_COLUMNS).withColumns(
-        {DAY_COLUMN: F.col("created").cast("date"), "_task": F.spark_partition_id()}
-    )
-    keys = (DAY_COLUMN, "site", "created", "number", "_task")
-    spread = by_day.repartitionByRange(*[c for c in keys if c in by_day.columns]).drop("_task")
+    by_day = tickets.drop(*DERIVED_COLUMNS).withColumn(DAY_COLUMN, F.col("created").cast("date"))
+    spread = by_day.hint("rebalance", DAY_COLUMN).sortWithinPartitions(DAY_COLUMN, "site", "created")
     spread.write.partitionBy(DAY_COLUMN).mode(mode).parquet(path)
