@@ -1,0 +1,238 @@
+"""Near copies, leaks, secrets, top-k and the pipeline against brute force."""
+
+import random
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from checks.compare import connect, differences
+from ticketscope.llm import decontaminate, pivots, queries, secrets, simhash
+from ticketscope.llm.components import components
+
+SF = "/root/testdata/sf0.001"
+
+
+def plain_fingerprint(text):
+    words = [w for w in (text or "").encode().lower().split()]
+    if not words:
+        return 0
+    shingles = [b" ".join(words[i:i + 4]) for i in range(max(1, len(words) - 3))]
+    hashes = [xxhash.xxh64_intdigest(s, seed=42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_components(prints, ids):
+    label = list(range(len(prints)))
+    for i, a in enumerate(prints):
+        for j in range(i):
+            if (a ^ prints[j]).bit_count() <= 4 and label[i] != label[j]:
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = [new if x == old else x for x in label]
+    return [min(ids[k] for k in range(len(ids)) if label[k] == label[i]) for i in range(len(ids))]
+
+
+def test_near_copies_equal_brute_force(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rows += [(1000, None), (1001, ""), (1002, " \t\n"), (1003, "one two"), (1004, "One two three"),
+             (1005, rows[3][1].upper()), (1006, rows[3][1] + " end"), (1007, "ONE  two")]
+    frame = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, fp int, component_id int")
+    found = {r.doc_id: r for r in simhash.near_copies(frame).collect()}
+    prints = [plain_fingerprint(t) for _, t in rows]
+    assert [found[i].fingerprint for i, _ in rows] == [f"{p:016x}" for p in prints]
+    assert [found[i].component_id for i, _ in rows] == plain_components(prints, [i for i, _ in rows])
+    assert simhash.near_copies(frame.limit(0)).count() == 0
+
+
+def test_ball_hashing_links_all_near_fingerprints(spark, monkeypatch):
+    r = random.Random(4)
+    centres = [r.getrandbits(64) for _ in range(30)]
+    prints = {c ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 5))) for c in centres for _ in range(40)}
+    values = np.array(sorted(prints), np.uint64)
+    frame = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "fp long")
+    for slices in (1 << 22, 500):  # also with crowded beginnings worked off in slices
+        monkeypatch.setattr(simhash, "SLICE_VALUES", slices)
+        links = simhash.linked_fingerprints(frame).collect()
+        label = {int(v): int(v) for v in values}
+
+        def find(x):
+            while label[x] != x:
+                x = label[x]
+            return x
+
+        for a, b in links:
+            a, b = a % 2**64, b % 2**64
+            label[max(find(a), find(b))] = min(find(a), find(b))
+        for i, a in enumerate(values.tolist()):
+            for b in values[:i].tolist():
+                if (a ^ b).bit_count() <= 4:
+                    assert find(a) == find(b)
+    with pytest.raises(ValueError):
+        simhash.linked_fingerprints(frame, 3)
+
+
+def test_collisions_in_slices_are_those_of_the_whole(monkeypatch):
+    r = np.random.default_rng(1)
+    centre = r.integers(0, 2**63, dtype=np.uint64)
+    prints = np.unique(centre ^ (np.uint64(1) << r.integers(0, 64, 300).astype(np.uint64)))
+    whole = np.concatenate(list(simhash._collisions(prints, np.arange(len(prints)), 0, 0, 2)), axis=1)
+    monkeypatch.setattr(simhash, "SLICE_VALUES", 2_000)
+    parts = np.concatenate(list(simhash._collisions(prints, np.arange(len(prints)), 0, 0, 2)), axis=1)
+    assert (simhash._forest(len(prints), whole) == simhash._forest(len(prints), parts)).all()
+    assert (simhash._forest(len(prints), whole) == 0).all()
+
+
+def test_one_of_each(spark):
+    frame = spark.createDataFrame(
+        [(5, "a b c d e f", "x"), (2, "a b c d e f", "y"), (2, "a b c d e f", "y"), (9, "other words are here now", "z"),
+         (None, "a b c d e f", "n")], "doc_id long, text string, extra string")
+    kept = simhash.one_of_each(frame).collect()
+    assert sorted((r.doc_id or 0, r.extra) for r in kept) == [(0, "n"), (2, "y"), (9, "z")]
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(0, 60)] + [(1000, i) for i in range(1001, 1100)] + [(7, 7), (2000, 2001)]
+    found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert all(found[i] == 0 for i in range(1, 61)) and all(found[i] == 1000 for i in range(1001, 1100))
+    assert found[2001] == 2000 and 0 not in found and len(found) == 60 + 99 + 1
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_queries_equal_sql(spark, name):
+    result = queries.queries()[name](spark, SF)
+    assert differences(result, connect(SF), queries.oracle_sql()[name]) == []
+
+
+ITEM = ("If our Anna Smith buys 12 apples and 30 pears for 5 dollars each, how many coins does Anna pay to"
+        " the man at the market?")
+
+
+def test_changed_questions_are_found_and_others_left_alone(spark):
+    texts = [
+        ITEM, ITEM.replace("Anna Smith", "Peter Jones").replace("Anna", "Peter").replace("12", "9"),
+        ITEM.replace("how many coins does Anna", "how many coins does Maria"),
+        "We asked. " + ITEM.replace("5 dollars", "7 euros") + " Yes.", None, "", "12 13 14 15 16 17 18 19 20 21",
+        "short text", ITEM.upper(), "If our Anna buys",
+    ]
+    documents = spark.createDataFrame([(i, t, 5) for i, t in enumerate(texts)], "doc_id long, text string, h int")
+    items = spark.createDataFrame(
+        [(4, ITEM), (9, ITEM), (5, None), (6, "two words"), (7, "alpha beta gamma delta"), (None, "x")],
+        "item_id long, text string")
+    found = {r.doc_id: (r.item_id, r.changed) for r in decontaminate.contaminated(documents, items).collect()}
+    # Anna twice, once as Maria: one name stands for two people, which is another text.
+    assert found == {0: (4, 0), 1: (4, 3), 3: (4, 2), 8: (4, 0)}
+    assert sorted(r.doc_id for r in decontaminate.clean(documents, items).collect()) == [2, 4, 5, 6, 7, 9]
+    assert decontaminate.contaminated(documents, items.limit(0)).count() == 0
+    assert decontaminate.contaminated(documents.limit(0), items).count() == 0
+
+
+def test_large_benchmarks_take_the_shuffled_way(spark, monkeypatch):
+    documents, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    expected = sorted(map(tuple, decontaminate.contaminated(documents, items).collect()))
+    monkeypatch.setattr(decontaminate, "SET_WINDOWS", 1)
+    assert sorted(map(tuple, decontaminate.contaminated(documents, items).collect())) == expected and expected
+
+
+def test_decontamination_and_secrets_run_no_python(spark):
+    for name in ("op4_decontaminate", "op8_secrets"):
+        plan = queries.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "InPandas" not in plan
+
+
+def test_secrets(spark):
+    key, commit = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    texts = [
+        f'token = "{key}" and password=Zk81hQx9Lm2Tw7Rb', f"fixed in commit {commit} today", "call 9807915762804490 now",
+        None, "", "id 123e4567-e89b-12d3-a456-426614174000.", f'token = "{key}"', f'{key}',
+    ]
+    rows = spark.createDataFrame([(i, t, "p") for i, t in enumerate(texts)], "doc_id long, text string, place string")
+    forest = secrets.train(spark)
+    found = sorted((r.doc_id, r.start, r.length) for r in secrets.scan(rows, forest).collect())
+    assert found == [(0, 9, 40), (0, 64, 16), (6, 9, 40)]
+    masked = {r.doc_id: (r.text, r.place) for r in secrets.redact(rows, forest).collect()}
+    assert masked[0] == ('token = "[SECRET]" and password=[SECRET]', "p")
+    assert all(masked[i] == (texts[i], "p") for i in (1, 2, 3, 4, 5, 7))
+    twice = rows.union(rows.filter("doc_id = 6"))
+    assert secrets.scan(twice, forest).filter("doc_id = 6").count() == 1
+    assert secrets.redact(twice, forest).count() == len(texts) + 1
+    assert secrets.scan(rows.limit(0), forest).count() == 0
+
+
+def test_held_out_findings(spark):
+    made = secrets.labelled_findings(spark, 9_000).withColumn("fold", F.xxhash64("c") % 3)
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.feature import VectorAssembler
+
+    data = VectorAssembler(inputCols=list(secrets.FEATURES), outputCol="features").transform(
+        secrets.with_features(made)).select("features", "label", "fold").persist()
+    forest = RandomForestClassifier(numTrees=8, maxDepth=secrets.DEPTH, seed=1).fit(data.filter("fold != 0"))
+    tested = forest.transform(data.filter("fold = 0"))
+    assert tested.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0] > 0.97
+
+
+def brute_top(rows, k=5):
+    found = []
+    whole = {i: np.floor(256 * np.array(v, np.float64)).astype(np.int64) for i, v in rows
+             if i is not None and v is not None and None not in v and np.isfinite(v).all()}
+    for q in whole:
+        if q % 50 == 0:
+            scores = [(-int(whole[q] @ v), i) for i, v in whole.items() if i != q and len(v) == len(whole[q])]
+            found += [(q, n, i, -s) for n, (s, i) in enumerate(sorted(scores)[:k], 1)]
+    return sorted(found)
+
+
+def test_top_k_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(pivots, "ANNULUS", 16)
+    monkeypatch.setattr(pivots, "QUERY_BLOCK", 3)
+    r = np.random.default_rng(6)
+    rows = [(i, r.normal(size=6).round(2).tolist()) for i in range(600)]
+    rows += [(700 + i, rows[50][1]) for i in range(40)]  # many copies of one vector: ties
+    rows += [(2000, None), (2050, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2100, [float("nan")] * 6), (None, rows[1][1]),
+             (2150, [1.0, 2.0]), (2151, [0.5, -2.0]), (2200, []), (2250, [float("inf")] * 6), rows[50], rows[51]]
+    frame = spark.createDataFrame([(i, v, 1.0) for i, v in rows], "vec_id long, embedding array<double>, score double")
+    found = sorted(map(tuple, pivots.top_k(frame, F.col("vec_id") % 50 == 0).collect()))
+    assert found == brute_top(dict(rows[:-2]).items())
+    assert pivots.top_k(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_annuli_are_pruned():
+    scores = np.array([[3, 9, 9, 1, 9], [5, 5, 5, 5, 5]])
+    assert pivots._top(scores, 2).tolist() == [[1, 2], [0, 1]]
+    assert pivots._top(scores, 9).tolist() == [[0, 1, 2, 3, 4]] * 2
+
+
+def test_pipeline_stages(spark):
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    extra = [(5000, "12 34 !!", None, "s", 8), (5001, None, None, "s", 0), (5002, "", "en", None, 0)]
+    docs = documents.union(spark.createDataFrame(extra, documents.schema))
+    names = [name for name, _ in corpus_pipeline.STAGES]
+    assert names == ["language", "near_copies", "leaks", "secrets", "tokens"]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r.doc_id: r for r in docs.collect()}
+        docs = corpus_pipeline.stored(stage(spark, docs, SF))
+        after = {r.doc_id: r for r in docs.collect()}
+        assert docs.columns == documents.columns and set(after) <= set(before)
+        gone = set(before) - set(after)
+        if name == "language":
+            assert gone == {5000, 5001, 5002}
+        elif name == "near_copies":
+            ids = sorted(before)
+            expected = plain_components([plain_fingerprint(before[i].text) for i in ids], ids)
+            assert set(after) == set(expected)
+        elif name == "leaks":
+            items = [" ".join(r.text.split()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+            assert gone == {i for i, r in before.items() if any(x in " ".join(r.text.split()) for x in items)}
+        else:
+            assert not gone
+            changed = {i for i in after if after[i].text != before[i].text}
+            assert changed == {i for i in before if 'token = "' in before[i].text.lower()
+                               or "password=" in before[i].text.lower()}
+            assert all(after[i].n_chars == len(after[i].text) for i in after)
+    tokens = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert tokens.count() == docs.count()
+    assert corpus_pipeline.run(spark, SF).count() == documents.count() - 200 + tokens.count()
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, documents.limit(0), SF).count() == 0

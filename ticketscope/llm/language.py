@@ -61,7 +61,8 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     found, owners = [], []
     rolled = np.zeros(len(points), np.uint64)
     for n in range(1, 6):
-        step = points if n == 1 else np.append(points[n - 1:], np.zeros(n - 1, np.uint64))
+        step = np.zeros(len(points), np.uint64)
+        step[:max(0, len(points) - n + 1)] = points[n - 1:]
         rolled = rolled * np.uint64(0x100000001B3) + step + np.uint64(n)
         fits = left >= n
         if n > 3:  # the end mark counts: beginnings and endings of up to four letters

@@ -186,4 +186,5 @@ def parts(text: str, limit: int = 1 << 20) -> Iterator[str]:
             at += 1
         yield text[start:at]
         start = at
-    yield text[start:] if start else text
+    if start < len(text) or not start:
+        yield text[start:]
