@@ -270,7 +270,8 @@ def _fit(sample: DataFrame, lexicon: Lexicon, labels: DataFrame) -> tuple[float,
                 names=["a", "b", "toxic"],
             )
 
-    rows = sample.mapInArrow(run, "a double, b double, toxic bigint").orderBy("toxic", "a", "b").collect()
+    # As many rows as the bounded sample has; sorted, so that sums do not depend on their order.
+    rows = sorted(sample.mapInArrow(run, "a double, b double, toxic bigint").collect())
     x = np.array([(1.0, r.a, r.b) for r in rows])
     y = np.array([r.toxic for r in rows], np.float64)
     real = labels.filter(~held_out()).agg(
