@@ -12,11 +12,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_BYTES = 8 << 20
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application."""
+    """Send this package to the executors, once per application, and keep Arrow batches small.
+
+    A batch is in memory several times: in the JVM, in the worker, and in what is made of it.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     application = spark.sparkContext.applicationId
     if application in _shipped:
         return
@@ -64,7 +69,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(start, rows)
 
 
-def groups_of(texts: Sequence[str], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def groups_of(texts: Sequence[str], limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of neighbouring texts of about ``limit`` characters; a longer text is alone."""
     start = size = 0
     for i, text in enumerate(texts):

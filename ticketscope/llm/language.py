@@ -79,6 +79,16 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found)[order], np.concatenate([[0], np.cumsum(counts)])
 
 
+def _features_in_parts(words: list[str], size: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    """``features`` of many words, with working memory for a part of them."""
+    found, counts = [], []
+    for low in range(0, len(words), size):
+        own, firsts = features(words[low:low + size])
+        found.append(own.astype(np.int32))
+        counts.append(np.diff(firsts))
+    return np.concatenate(found), np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+
+
 def _word_scores(weights: np.ndarray, found: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     sums = np.add.reduceat(weights[found], firsts[:-1], axis=0)
     return sums / np.sqrt(np.diff(firsts))[:, None]
@@ -131,7 +141,7 @@ def train(samples: list[tuple[str, str]], seed: int = 5) -> Model:
     if k < 2 or not numbers:
         return Model(languages, weights.astype(np.float32), moves)
     labels = np.array([languages.index(language) for _, language in samples])
-    found, firsts = features(list(numbers))
+    found, firsts = _features_in_parts(list(numbers))
     scale = 1 / np.sqrt(np.diff(firsts))
     random = np.random.default_rng(seed)
     tokens, truth = _spliced(texts, labels, random)
@@ -197,7 +207,7 @@ class Tagger:
         fresh = list({w for w, n in zip(words, known) if n is None})
         if fresh:
             numbers.update(zip(fresh, range(len(numbers), len(numbers) + len(fresh))))
-            added = _word_scores(self.model.weights, *features(fresh)).astype(np.float32)
+            added = _word_scores(self.model.weights, *_features_in_parts(fresh)).astype(np.float32)
             added[[not any(map(str.isalpha, w)) for w in fresh]] = np.nan
             self.scores = np.concatenate([self.scores, added])
             known = map(numbers.__getitem__, words)

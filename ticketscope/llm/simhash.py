@@ -14,6 +14,7 @@ Equal fingerprints are one row before anything is shuffled on values, however of
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -69,6 +70,7 @@ def fingerprints(rows: DataFrame, id_column: str = "doc_id", text: str = "text")
     return source.mapInArrow(run, f"id {kind}, fp bigint").withColumnRenamed("id", id_column)
 
 
+@functools.cache
 def _masks(width: int, most: int) -> np.ndarray:
     """All numbers of ``width`` bits with at most ``most`` bits set."""
     found = last = np.zeros(1, np.uint64)
