@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from checks.compare import connect, differences
-from ticketscope.llm import decontaminate, pivots, queries, secrets, simhash
+from ticketscope.llm import decontaminate, pivots, queries, resemblance, secrets, simhash
 from ticketscope.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -92,6 +92,32 @@ def test_one_of_each(spark):
     assert sorted((r.doc_id or 0, r.extra) for r in kept) == [(0, "n"), (2, "y"), (9, "z")]
 
 
+def test_stage_drops_near_copies_from_similarity_080(spark):
+    r = random.Random(4)
+    base = [f"w{r.randrange(10**6)}" for _ in range(400)]
+    far = [f"w{r.randrange(10**6)}" for _ in range(100)] + base[:100]
+    texts = [" ".join(base), None, " ".join(far), "", "one two", "One  two"]
+    for changed in (2, 4, 6, 8, 8, 8, 12, 20):
+        words = list(base)
+        for place in r.sample(range(0, 396, 5), changed):
+            words[place] = "x" + words[place]
+        texts.append(" ".join(words))
+    sets = [frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) for w in
+            ((t or "").lower().split() for t in texts)]
+    label = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {row.doc_id for row in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()}
+    assert kept == set(label) and {6, 7, 8, 9}.isdisjoint(kept) and {0, 1, 2, 4, 13} <= kept
+    named = {row.doc_id: row.component_id for row in resemblance.similar(docs).collect()}
+    assert [named[i] for i in range(len(texts))] == label
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(1000, i) for i in range(1001, 1100)] + [(7, 7), (2000, 2001)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
