@@ -139,6 +139,21 @@ def test_pages(spark):
     assert html_text.extract_text(rows.limit(0)).count() == 0
 
 
+def test_unclosed_elements_hide_no_article():
+    def texts(page):
+        return [text for _, text, _ in html_text.blocks_of(page)]
+
+    for tag in ("svg", "select", "object", "noscript", "template", "math"):
+        assert texts(f"<body><div><{tag}></div><article><p>One.<p>Two.</article></body>") == ["One.", "Two."]
+    assert texts("<body><svg><path d=''/><article><p>One.</article><svg><text>x</text></svg>") == ["One."]
+    assert texts("<p>a <svg><g><text>x</text></g></svg>b <select><option>y<option>z</select>c</p>") == ["a b c"]
+    assert texts("<p>If <math><mi>x</mi><mo>=</mo><mn>2</mn></math>, <object data=f><param name=n>see f</object>.") == [
+        "If x=2, see f."]
+    assert texts("<p>a<svg><foreignObject><div>x</div></foreignObject></svg>b<p>c<script>d <p>e") == ["ab", "c"]
+    assert texts("<table><tr><td>a<template><tr><td>x</td></tr></template>b</td></tr></table>") == ["ab"]
+    assert texts("<noscript><div>x</div></noscript><template><p>y</p></template><div>z</div>") == ["z"]
+
+
 def test_held_out_pages_and_viterbi():
     model = html_text.default_extractor()
     right = total = 0

@@ -41,12 +41,22 @@ _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 _NAME = re.compile(r"[a-z]+")
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s "
-    "samp small span strike strong sub sup time tt u var wbr".split()
+    "samp small span strike strong sub sup time tt u var wbr object param math mi mn mo ms mtext mrow "
+    "mfrac msqrt mroot msup msub msubsup mmultiscripts mprescripts munder mover munderover mtable mtr "
+    "mtd mspace mstyle mpadded mphantom menclose merror semantics".split()
 )
 _VOID = frozenset(
     "area base br col embed hr img input link meta param source track wbr".split()
 )
-_RAW = frozenset("script style noscript template iframe svg math title textarea select object".split())
+# Nothing but its closing tag ends such an element.
+_RAW = frozenset("script style iframe title textarea".split())
+# Such an element hides what it holds, at most up to the end of its parent.
+_HIDING = frozenset("noscript template svg select annotation annotation-xml".split())
+# These begin outside of an open svg or select, which was not closed then.
+_OUTSIDE = frozenset(
+    "article aside blockquote body dd div dl dt footer h1 h2 h3 h4 h5 h6 header li main menu nav ol p pre "
+    "section table ul".split()
+)
 # An opening tag ends these open elements, up to the nearest of the second set.
 _ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -85,12 +95,15 @@ def blocks_of(page: str) -> list[tuple[tuple, str, float]]:
     block: Block | None = None
     path: tuple | None = None
     in_link = 0
+    hiding: int | None = None  # place of the outermost hiding element in the stack
     at, size = 0, len(page)
     while at < size:
         match = _TOKEN.match(page, at)
         at = match.end()
         tag = match.group(2) or match.group(5)
         if tag is None:
+            if hiding is not None:
+                continue
             text = match.group()
             if text[:2] in ("<!", "<?"):
                 if not text.startswith("<![CDATA["):
@@ -115,6 +128,32 @@ def blocks_of(page: str) -> list[tuple[tuple, str, float]]:
                 end = re.compile(f"</{tag}\\b[^>]*>?", re.I).search(page, at)
                 at = end.end() if end else size
             continue
+        if hiding is not None:
+            if closing:
+                for depth in range(len(stack) - 1, -1, -1):
+                    if stack[depth][0] == tag:
+                        if depth < hiding:
+                            block, path, in_link = None, None, 0
+                        del stack[depth:]
+                        break
+                if len(stack) <= hiding:
+                    hiding = None
+                continue
+            if not (
+                tag in _OUTSIDE and stack[hiding][0] in ("svg", "select")
+                and not any(name == "foreignobject" for name, _ in stack[hiding:])
+            ):
+                alone = tag in _VOID or tag in _INLINE or (match.group(3) or match.group(6) or "").endswith("/")
+                if not alone:
+                    stack.append((tag, ()))
+                continue
+            del stack[hiding:]
+            hiding = None
+        if tag in _HIDING and not closing:
+            if not (match.group(3) or match.group(6) or "").endswith("/"):
+                hiding = len(stack)
+                stack.append((tag, ()))
+            continue
         if tag in _INLINE:
             if tag == "a":
                 in_link = 0 if closing else 1
