@@ -239,6 +239,26 @@ def test_toxicity_of_held_out_rows(spark):
     assert not toxicity.learn(rows, labels.limit(0)).weights
 
 
+def test_signs_at_the_end_of_words():
+    assert toxicity.fold("a$$ a$$! hat3, wh0r3. THIS! eau$$$ 5$") == ["ass", "ass", "hate", "whore", "this", "eau"]
+
+
+def test_rare_toxic_words_enter_with_many_labels(spark):
+    r = random.Random(3)
+    places = {w: i for i, w in enumerate(["".join(r.choices("bcdfghkmnprstu", k=7)) for _ in range(300)])}
+    rows = []
+    for i in range(2400):
+        words = r.sample(list(places), 12)
+        if i % 2:
+            words[5] = "qqcommon" if i % 240 > 1 else "zzrarely"
+        rows.append((i, " ".join(words), i % 2))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    lexicon = toxicity.learn(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    assert not set(lexicon.weights) & {f" {w} " for w in places}
+    matcher = toxicity.Matcher(lexicon)
+    assert matcher.score("you zzrarely thing") > 0.5 > matcher.score("you other thing")
+
+
 def test_exceptions_cancel_a_match():
     lexicon = toxicity.Lexicon({" trash ": 5.0}, ("trash can",), (-5.0, 4.0, 2.0))
     matcher = toxicity.Matcher(lexicon)

@@ -1,7 +1,7 @@
 """Operator 3: toxicity by a weighted lexicon that is matched with Aho-Corasick.
 
 Texts are folded first: lower case, look-alike letters and accents to plain letters, digits and
-signs inside words to the letters they stand for; i, l, 1, ! and | become one letter. Entries are
+signs inside words, and one or two at their end, to the letters they stand for; i, l, 1, ! and | become one letter. Entries are
 whole words and beginnings of words. Their weights are log odds in a bounded sample of labelled
 texts; phrases around an entry that only clean texts have are exceptions and cancel a match. The
 sum of a text's weights and the same by its length give the score through a logistic curve.
@@ -33,8 +33,8 @@ from ticketscope.llm.common import slices, stored, table
 # Bounds of the sample that is learned from: texts of each label, and entries kept.
 TRAIN_TEXTS = 4_000
 ENTRIES = 4_000
-# An entry needs this share of the toxic texts of the sample, and this many.
-SHARE, SUPPORT = 0.01, 4
+# An entry needs so many toxic texts of the sample, however large it is.
+SUPPORT = 4
 MIN_WEIGHT = 2.5
 # Phrases that are harmless whatever the sample says, as folded words.
 EXCEPTIONS: tuple[str, ...] = ()
@@ -49,7 +49,8 @@ _LOOK_ALIKE = {
 _SIGNS = str.maketrans("013456789@$!|", "oieasgtbgasii")
 _HIDDEN = "­​‌‍⁠﻿"
 _SIGN_RUN = re.compile(r"[0-9@$!|]+(?=[a-z])")
-_HAS_SIGN = re.compile(r"[0-9@$!|][a-z]")
+_LAST_SIGNS = re.compile(r"(?<=[a-z])[0-9@$]{1,2}(?![0-9@$a-z])")
+_HAS_SIGN = re.compile(r"[0-9@$!|][a-z]|[a-z][0-9@$]")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -79,6 +80,7 @@ def fold(text: str) -> list[str]:
     plain = text.lower().translate(_folding())
     if _HAS_SIGN.search(plain):
         plain = _SIGN_RUN.sub(_as_letters, plain)
+        plain = _LAST_SIGNS.sub(lambda match: match.group().translate(_SIGNS), plain)
     return _LETTERS.findall(plain)
 
 
@@ -226,7 +228,7 @@ def learn(documents: DataFrame, labels: DataFrame) -> Lexicon:
     weight = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
     ranked = (
         _counted(sample, "entry", lambda text: {e for w in set(fold(text)) for e in entries_of(w)})
-        .filter(F.col("bad") >= max(SUPPORT, SHARE * bad)).withColumn("weight", weight)
+        .filter(F.col("bad") >= SUPPORT).withColumn("weight", weight)
         .filter(F.col("weight") >= MIN_WEIGHT)
         .orderBy(F.desc(F.col("bad") * F.col("weight")), "entry").limit(ENTRIES)
     )
