@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from checks.compare import connect, differences
-from ticketscope.llm import decontaminate, pivots, queries, resemblance, secrets, simhash
+from ticketscope.llm import decontaminate, pivots, queries, secrets, simhash
 from ticketscope.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -92,32 +92,6 @@ def test_one_of_each(spark):
     assert sorted((r.doc_id or 0, r.extra) for r in kept) == [(0, "n"), (2, "y"), (9, "z")]
 
 
-def test_stage_drops_near_copies_from_similarity_080(spark):
-    r = random.Random(4)
-    base = [f"w{r.randrange(10**6)}" for _ in range(400)]
-    far = [f"w{r.randrange(10**6)}" for _ in range(100)] + base[:100]
-    texts = [" ".join(base), None, " ".join(far), "", "one two", "One  two"]
-    for changed in (2, 4, 6, 8, 8, 8, 12, 20):
-        words = list(base)
-        for place in r.sample(range(0, 396, 5), changed):
-            words[place] = "x" + words[place]
-        texts.append(" ".join(words))
-    sets = [frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) for w in
-            ((t or "").lower().split() for t in texts)]
-    label = list(range(len(texts)))
-    for i, a in enumerate(sets):
-        for j in range(i):
-            if len(a & sets[j]) >= 0.8 * len(a | sets[j]):
-                low, high = sorted((label[i], label[j]))
-                label = [low if x == high else x for x in label]
-    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    kept = {row.doc_id for row in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()}
-    assert kept == set(label) and {6, 7, 8, 9}.isdisjoint(kept) and {0, 1, 2, 4, 13} <= kept
-    named = {row.doc_id: row.component_id for row in resemblance.similar(docs).collect()}
-    assert [named[i] for i in range(len(texts))] == label
-
-
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(1000, i) for i in range(1001, 1100)] + [(7, 7), (2000, 2001)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -230,35 +204,68 @@ def test_annuli_are_pruned():
     assert pivots._top(scores, 9).tolist() == [[0, 1, 2, 3, 4]] * 2
 
 
-def test_pipeline_stages(spark):
+STAGES = dict(corpus_pipeline.STAGES)
+
+
+@pytest.fixture(scope="module")
+def stage_inputs(spark):
+    """What each stage reads: documents with some odd rows, and what the stages before it kept."""
     documents = spark.read.parquet(f"{SF}/documents.parquet")
     extra = [(5000, "12 34 !!", None, "s", 8), (5001, None, None, "s", 0), (5002, "", "en", None, 0)]
-    docs = documents.union(spark.createDataFrame(extra, documents.schema))
-    names = [name for name, _ in corpus_pipeline.STAGES]
-    assert names == ["language", "near_copies", "leaks", "secrets", "tokens"]
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = {r.doc_id: r for r in docs.collect()}
+    docs, found = documents.union(spark.createDataFrame(extra, documents.schema)), {}
+    for name, stage in corpus_pipeline.STAGES:
+        found[name] = docs
         docs = corpus_pipeline.stored(stage(spark, docs, SF))
-        after = {r.doc_id: r for r in docs.collect()}
-        assert docs.columns == documents.columns and set(after) <= set(before)
-        gone = set(before) - set(after)
-        if name == "language":
-            assert gone == {5000, 5001, 5002}
-        elif name == "near_copies":
-            ids = sorted(before)
-            expected = plain_components([plain_fingerprint(before[i].text) for i in ids], ids)
-            assert set(after) == set(expected)
-        elif name == "leaks":
-            items = [" ".join(r.text.split()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-            assert gone == {i for i, r in before.items() if any(x in " ".join(r.text.split()) for x in items)}
-        else:
-            assert not gone
-            changed = {i for i in after if after[i].text != before[i].text}
-            assert changed == {i for i in before if 'token = "' in before[i].text.lower()
-                               or "password=" in before[i].text.lower()}
-            assert all(after[i].n_chars == len(after[i].text) for i in after)
-    tokens = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
-    assert tokens.count() == docs.count()
-    assert corpus_pipeline.run(spark, SF).count() == documents.count() - 200 + tokens.count()
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, documents.limit(0), SF).count() == 0
+    return found | {"end": docs}
+
+
+def before_and_after(inputs, name):
+    names = [*STAGES, "end"]
+    before, after = inputs[name], inputs[names[names.index(name) + 1]]
+    if name != "tokens":
+        assert after.columns == before.columns
+    return {r.doc_id: r for r in before.collect()}, {r.doc_id: r for r in after.collect()}
+
+
+@pytest.mark.parametrize("name", list(STAGES))
+def test_stages_take_empty_tables(spark, name):
+    nothing = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    assert STAGES[name](spark, nothing, SF).count() == 0
+
+
+def test_stages_are_in_order():
+    assert list(STAGES) == ["language", "near_copies", "leaks", "secrets", "tokens"]
+
+
+def test_language_stage(stage_inputs):
+    before, after = before_and_after(stage_inputs, "language")
+    assert set(before) - set(after) == {5000, 5001, 5002}
+
+
+def test_near_copies_stage(stage_inputs):
+    before, after = before_and_after(stage_inputs, "near_copies")
+    ids = sorted(before)
+    assert set(after) == set(plain_components([plain_fingerprint(before[i].text) for i in ids], ids))
+
+
+def test_leaks_stage(spark, stage_inputs):
+    before, after = before_and_after(stage_inputs, "leaks")
+    items = [" ".join(r.text.split()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    held = {i for i, r in before.items() if any(x in " ".join(r.text.split()) for x in items)}
+    assert set(before) - set(after) == held
+
+
+def test_secrets_stage(stage_inputs):
+    before, after = before_and_after(stage_inputs, "secrets")
+    assert set(before) == set(after)
+    changed = {i for i in after if after[i].text != before[i].text}
+    assert changed == {i for i in before if 'token = "' in before[i].text.lower()
+                       or "password=" in before[i].text.lower()}
+    assert all(after[i].n_chars == len(after[i].text) for i in after)
+
+
+def test_tokens_stage_and_the_whole_run(spark, stage_inputs):
+    before, after = before_and_after(stage_inputs, "tokens")
+    assert set(before) == set(after)
+    found = {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, SF).collect()}
+    assert found == {i: r.ids_sha256 for i, r in after.items()}

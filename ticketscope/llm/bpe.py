@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketscope.llm.common import groups_of, slices, table
+from ticketscope.llm.common import groups_of, held, slices, table
 from ticketscope.llm.merging import PairTable
 from ticketscope.llm.piece_cache import PieceCache
 from ticketscope.llm.pretokenize import cuts, parts
@@ -85,9 +86,9 @@ class Encoder:
                 yield ids, np.array([0, len(ids)])
 
 
-@functools.cache
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    """The worker's encoder, so that its cache outlives a task."""
+    return held("bpe", path, lambda: Encoder(path))
 
 
 @functools.cache
@@ -173,16 +174,46 @@ def bpe_decode(rows: DataFrame, path: str, id_column: str = "doc_id") -> DataFra
 
 
 def round_trip(documents: DataFrame, path: str) -> DataFrame:
-    """Encode and decode every text; digests of both."""
-    decoded = bpe_decode(bpe_encode(documents.select("doc_id", "text"), path), path)
-    return decoded.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): every text encoded and decoded.
+
+    Both in one pass: a worker holds the ids and offsets of one group of texts at a time, and only
+    digests leave it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = encoder(path)
+        _, starts = vocabulary(path)
+        for batch in slices(batches, 256):
+            counts, coded, decoded = [], [], []
+            for ids, firsts in own.encode_any(batch.column("text").to_pylist()):
+                for low, high in zip(firsts.tolist(), firsts[1:].tolist()):
+                    some = ids[low:high]
+                    ends = np.cumsum(starts[some + 1] - starts[some])
+                    counts.append(high - low)
+                    coded.append(_digest_of_numbers(some))
+                    decoded.append(hashlib.sha256(decode_ids(some, ends, path)).hexdigest())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(coded, pa.string()),
+                 pa.array(decoded, pa.string())],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    source = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return source.mapInArrow(
+        run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     )
 
 
+def _digest_of_numbers(ids: np.ndarray) -> str:
+    """SHA-256 of the decimal ids joined by one space."""
+    found = hashlib.sha256()
+    for low in range(0, len(ids), 1 << 16):
+        found.update((" " if low else "").encode())
+        found.update(" ".join(map(str, ids[low:low + (1 << 16)].tolist())).encode())
+    return found.hexdigest()
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from ticketscope.llm.common import groups_of, slices, table
+from ticketscope.llm.common import groups_of, held, slices, table
 
 # Bounds of the labelled sample: texts of each language, and the longest text that is used.
 TRAIN_TEXTS = 300
@@ -293,15 +293,9 @@ class Tagger:
         return names, np.concatenate(shares) if shares else np.zeros(0)
 
 
-_TAGGERS: dict[str, Tagger] = {}
-
-
 def _tagger(model: Model) -> Tagger:
     """The worker's tagger of this model, so that its cache outlives a task."""
-    if model.key not in _TAGGERS:
-        _TAGGERS.clear()
-        _TAGGERS[model.key] = Tagger(model)
-    return _TAGGERS[model.key]
+    return held("tagger", model.key, lambda: Tagger(model))
 
 
 def labelled_sample(rows: DataFrame, each: int = TRAIN_TEXTS) -> list[tuple[str, str]]:
