@@ -5,8 +5,8 @@ last return the columns of documents:
 
 1. language: documents without a language (no letter), or of which no language has a clear share,
    go; a missing ``lang`` is filled in.
-2. near_copies: documents whose five-word shingles have a similarity of at least 0.8 are linked; of
-   each group the document with the smallest id stays.
+2. near_copies: documents whose fingerprints of four-word shingles differ in at most four bits are
+   linked; of each group the document with the smallest id stays.
 3. leaks: documents that hold a benchmark item go.
 4. secrets: secrets are masked in the text, and ``n_chars`` follows.
 5. tokens: (doc_id, n_tokens, ids_sha256, decoded_sha256) of byte-level BPE and back.
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketscope.llm import bpe, decontaminate, language, resemblance, secrets
+from ticketscope.llm import bpe, decontaminate, language, secrets, simhash
 from ticketscope.llm.common import ship, stored, table
 
 # A text is taken for its language if at least this share of its letters is.
@@ -38,7 +38,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return resemblance.one_of_each(docs)
+    return simhash.one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
