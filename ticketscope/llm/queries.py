@@ -7,16 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ticketscope.llm import (
+    audit,
     bpe,
     decontaminate,
     html_text,
     language,
+    pii,
     pivots,
     secrets,
     simhash,
     token_counts,
     token_files,
     toxicity,
+    whitening,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,8 +37,15 @@ def queries() -> dict[str, Query]:
         "op8_secrets": secrets.op8_secrets,
         "op9_top_k": pivots.op9_top_k,
         "op10_bpe": bpe.op10_bpe,
+        "op11_filter_audit": audit.op11_filter_audit,
+        "op12_pii": pii.op12_pii,
+        "op13_whitening": whitening.op13_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": decontaminate.ORACLE_SQL, "op9_top_k": pivots.ORACLE_SQL}
+    return {
+        "op4_decontaminate": decontaminate.ORACLE_SQL,
+        "op9_top_k": pivots.ORACLE_SQL,
+        "op11_filter_audit": audit.ORACLE_SQL,
+    }
