@@ -426,10 +426,9 @@ def personal_spans(rows: DataFrame, judge: Judge | None = None, id_column: str =
 def _beside(rows: DataFrame, grouped: DataFrame, id_column: str, text: str) -> DataFrame:
     """``rows`` with the columns of ``grouped`` (id, text_hash, ...) of the same id and text."""
     named = grouped.withColumnsRenamed({id_column: "_pii_id", "text_hash": "_pii_hash"})
-    same = F.col(id_column).eqNullSafe(F.col("_pii_id")) & (
-        F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_pii_hash")
-    )
-    return rows.join(named, same, "left").drop("_pii_id", "_pii_hash")
+    hashed = rows.withColumn("_pii_own", F.xxhash64(F.coalesce(text, F.lit(""))))
+    same = F.col(id_column).eqNullSafe(F.col("_pii_id")) & (F.col("_pii_own") == F.col("_pii_hash"))
+    return hashed.join(named, same, "left").drop("_pii_id", "_pii_hash", "_pii_own")
 
 
 def redact(rows: DataFrame, judge: Judge | None = None, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -482,6 +481,7 @@ def digests(rows: DataFrame, judge: Judge | None = None, id_column: str = "doc_i
         joined(F.collect_list(span)).alias("spans"),
     )
     counts = [*(f"n_{kind}" for kind in KINDS), "n_added"]
+    # The hash stands for the text in the join, so that texts are not shuffled.
     return _beside(rows.select(id_column, text), grouped, id_column, text).select(
         id_column, *[F.coalesce(name, F.lit(0)).cast("long").alias(name) for name in counts],
         F.coalesce("base_sha256", F.sha2(F.lit(""), 256)).alias("base_sha256"),
