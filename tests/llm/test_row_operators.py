@@ -198,6 +198,19 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert pivots.top_k(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_huge_components(spark):
+    rows = [(50, [2.0, 1.0]), (1, [9e6, 1.0]), (2, [3.0, 1.0]), (3, [-9e6, 1.0]), (4, [9e6, 2.0]), (100, [9e6, -7.0]),
+            (5, [3e14, -2e14]), (6, [1e30, 1.0]), (150, [-4e14, 1e3])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sorted(map(tuple, pivots.top_k(frame, F.col("vec_id") % 50 == 0, 8).collect()))
+    whole = {i: [max(min(int(np.floor(256 * c)), 2**63 - 1), -(2**63)) for c in v] for i, v in rows}
+    expected = []
+    for q in (50, 100, 150):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)
+        expected += [(q, n, i, -s if abs(s) < 2**63 else None) for n, (s, i) in enumerate(scores, 1)]
+    assert found == sorted(expected)
+
+
 def test_annuli_are_pruned():
     scores = np.array([[3, 9, 9, 1, 9], [5, 5, 5, 5, 5]])
     assert pivots._top(scores, 2).tolist() == [[1, 2], [0, 1]]

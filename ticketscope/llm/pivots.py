@@ -8,8 +8,9 @@ that q.x <= (|q|^2 + |x|^2 - gap^2) / 2: the query goes on to the other annuli,
 can still reach its k-th score, and to no more. Pivots are a bounded sample; every row is indexed,
 and the result is exact.
 
-Components are floor(256 x). Vectors that are null, hold null, not finite or components beyond
-31 bits take no part, nor do rows without an id. Queries meet vectors of their own length. Rows
+Components are floor(256 x), at the nearest 64-bit number where they are larger. Vectors that are
+null, hold null or not finite components take no part, nor do rows without an id. Scores are exact
+up to 38 digits and ranked so; one beyond 64 bits is NULL in the result. Queries meet vectors of their own length. Rows
 that repeat id and vector count once. Ties go to the smaller id. An empty table gives an empty
 result; extra columns are ignored.
 """
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -33,22 +35,25 @@ QUERY_BLOCK = 1024
 SCALE = 256.0
 
 
+# Scores travel as decimals: inner products of 64-bit components outgrow 64 bits.
+_SCORE = pa.decimal128(38, 0)
+_MOST = 10**38 - 1
+
+
 def _whole(vector: F.Column) -> F.Column:
-    """Components as whole numbers; NULL for a vector that takes no part."""
+    """Components as 64-bit numbers; NULL for a vector that takes no part."""
     parts = F.transform(vector, lambda x: F.floor(x.cast("double") * SCALE))
-    usable = ~F.exists(
-        vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) >= 2.0**31 / SCALE)
-    )
-    return F.when(usable, parts.cast("array<int>"))
+    broken = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
+    return F.when(~broken, parts)
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     data = b"".join(column.to_pylist())
-    return np.frombuffer(data, "<i4").astype(np.float64).reshape(len(column), dim)
+    return np.frombuffer(data, "<i8").astype(np.float64).reshape(len(column), dim)
 
 
 def quantised(rows: DataFrame) -> DataFrame:
-    """(vec_id, dim, vec): whole components as little-endian 32-bit numbers."""
+    """(vec_id, dim, vec): whole components as little-endian 64-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -72,7 +77,7 @@ def choose_pivots(vectors: DataFrame, n: int = PIVOTS) -> dict[int, np.ndarray]:
     ranked = vectors.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= n)
     found: dict[int, list[np.ndarray]] = {}
     for row in ranked.collect():
-        found.setdefault(row.dim, []).append(np.frombuffer(row.vec, "<i4").astype(np.float64))
+        found.setdefault(row.dim, []).append(np.frombuffer(row.vec, "<i8").astype(np.float64))
     return {dim: np.stack(rows) for dim, rows in found.items()}
 
 
@@ -86,8 +91,8 @@ def keyed(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
                 own = batch.filter(pa.array(dims == dim))
                 x, p = _matrix(own.column("vec"), dim), pivots[dim]
                 square = (x * x).sum(axis=1)
-                apart = square[:, None] + (p * p).sum(axis=1)[None, :] - 2 * (x @ p.T)
-                distance = np.sqrt(np.maximum(apart, 0))
+                # By differences: large components would drown a small distance otherwise.
+                distance = np.stack([np.sqrt(((x - one) ** 2).sum(axis=1)) for one in p], axis=1)
                 cell = distance.argmin(axis=1)
                 lists = pa.array(np.arange(len(x) + 1) * len(p), pa.int32())
                 yield pa.RecordBatch.from_arrays(
@@ -159,21 +164,25 @@ def best_in(pairs: DataFrame, rings: DataFrame, k: int, blocks: int) -> DataFram
         for batch in batches:
             for row in batch.to_pylist():
                 ids = np.frombuffer(row["ids"], "<i8")
-                x = np.frombuffer(row["vecs"], "<i4").reshape(len(ids), -1)
+                x = np.frombuffer(row["vecs"], "<i8").reshape(len(ids), -1)
                 queries = row["queries"]
-                q = np.frombuffer(b"".join(a["vec"] for a in queries), "<i4").reshape(len(queries), -1)
+                q = np.frombuffer(b"".join(a["vec"] for a in queries), "<i8").reshape(len(queries), -1)
                 scores = _products(q, x)
                 own = np.array([a["query_id"] for a in queries])
-                bar = np.array([np.iinfo(np.int64).min if a["bar"] is None else a["bar"] for a in queries])
-                allowed = (ids[None, :] != own[:, None]) & (scores >= bar[:, None])
+                lowest = -_MOST - 1 if scores.dtype == object else np.iinfo(np.int64).min
+                bars = [lowest if a["bar"] is None else int(a["bar"]) for a in queries]
+                if scores.dtype != object:
+                    bars = [min(max(b, lowest), -lowest - 1) for b in bars]
+                bar = np.array(bars, scores.dtype)
+                allowed = (ids[None, :] != own[:, None]) & (scores >= bar[:, None]).astype(bool)
                 # Ids ascend, so that of equal scores the first are the ones to keep.
-                scores = np.where(allowed, scores, -(1 << 62))
+                scores = np.where(allowed, scores, lowest)
                 top = _top(scores, k)
                 at, place = np.nonzero(np.take_along_axis(allowed, top, axis=1))
                 column = top[at, place]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(own[at]), pa.array([queries[i]["query_key"] for i in at], pa.int64()),
-                     pa.array(ids[column]), pa.array(scores[at, column])],
+                     pa.array(ids[column]), _decimals(scores[at, column])],
                     names=["query_id", "query_key", "vec_id", "score"],
                 )
 
@@ -182,7 +191,13 @@ def best_in(pairs: DataFrame, rings: DataFrame, k: int, blocks: int) -> DataFram
         F.collect_list(F.struct("query_id", "query_key", "vec", "bar")).alias("queries")
     )
     work = grouped.join(rings.select("ring", "ids", "vecs"), "ring").select("queries", "ids", "vecs")
-    return work.mapInArrow(run, "query_id bigint, query_key bigint, vec_id bigint, score bigint")
+    return work.mapInArrow(run, "query_id bigint, query_key bigint, vec_id bigint, score decimal(38,0)")
+
+
+def _decimals(scores: np.ndarray) -> pa.Array:
+    if scores.dtype != object:
+        return pa.array(scores).cast(_SCORE)
+    return pa.array([Decimal(min(max(int(s), -_MOST), _MOST)) for s in scores], _SCORE)
 
 
 def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -192,7 +207,9 @@ def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
         return (q.astype(np.float32) @ x.astype(np.float32).T).astype(np.int64)
     if most * max(1, q.shape[1]) < 2**53:
         return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
-    return q.astype(np.int64) @ x.astype(np.int64).T
+    if most * max(1, q.shape[1]) < 2**62:
+        return q @ x.T
+    return q.astype(object) @ x.astype(object).T
 
 
 def _top(scores: np.ndarray, k: int) -> np.ndarray:
@@ -200,7 +217,9 @@ def _top(scores: np.ndarray, k: int) -> np.ndarray:
     n = scores.shape[1]
     if n <= k:
         return np.broadcast_to(np.arange(n), scores.shape)
-    bar = -np.partition(-scores, k - 1, axis=1)[:, k - 1:k]
+    if scores.dtype == object:
+        return np.array([sorted(sorted(range(n), key=lambda i: (-row[i], i))[:k]) for row in scores]).reshape(-1, k)
+    bar = np.partition(scores, n - k, axis=1)[:, n - k:n - k + 1]
     above = scores > bar
     equal = scores == bar
     room = k - above.sum(axis=1, keepdims=True)
@@ -228,7 +247,7 @@ def top_k(rows: DataFrame, is_query: F.Column, k: int = 5) -> DataFrame:
         .groupBy("query_id", "query_key", "vec")
         .agg(F.min_by("ring", F.struct(gap, "ring")).alias("ring"))
     )
-    first = stored(best_in(near.withColumn("bar", F.lit(None).cast("bigint")), rings, k, blocks))
+    first = stored(best_in(near.withColumn("bar", F.lit(None).cast("decimal(38,0)")), rings, k, blocks))
     bars = first.groupBy("query_id", "query_key").agg(
         F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("bar")
     )
@@ -239,22 +258,21 @@ def top_k(rows: DataFrame, is_query: F.Column, k: int = 5) -> DataFrame:
         .join(done, keys, "left").join(bars, keys, "left")
         .select("*", F.posexplode("distances").alias("cell", "distance")).drop("distances")
     )
-    # A margin covers the rounding of the distances.
-    reach = F.least(
-        (F.col("square") + F.col("most") - F.pow(gap * (1 - 1e-9) - 1e-3, 2)) / 2,
-        F.sqrt(F.col("square") * F.col("most")),
-    ) + 1.0
-    reach = F.when(gap > 1.0, reach).otherwise(F.sqrt(F.col("square") * F.col("most")) + 1.0)
+    # Margins cover the rounding of distances, lengths and of the bound itself.
+    sizes = F.col("square") + F.col("most")
+    apart = gap * (1 - 1e-9) - 1e-3 - 1e-9 * (F.sqrt("square") + F.sqrt("most") + F.col("distance"))
+    lengths = F.sqrt("square") * F.sqrt("most")
+    reach = F.when(apart > 0, F.least((sizes - apart * apart) / 2, lengths)).otherwise(lengths) + 1e-9 * sizes + 1.0
     further = (
         everywhere.join(outline, ["dim", "cell"])
         .filter(~F.col("ring").eqNullSafe(F.col("done")))
-        .filter(F.col("bar").isNull() | (reach >= F.col("bar")))
+        .filter(F.col("bar").isNull() | (reach >= F.col("bar").cast("double")))
         .select("ring", "query_id", "query_key", "vec", "bar")
     )
     found = first.union(best_in(further, rings, k, blocks))
     order = Window.partitionBy(*keys).orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return ranked.select("query_id", "rank", "vec_id", F.col("score").try_cast("bigint").alias("score"))
 
 
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
