@@ -320,6 +320,8 @@ _FILTERS = {
         "created >= TIMESTAMP '1999-01-01' AND created <= TIMESTAMP '1999-07-15'",
 }
 
+_CUT_DAYS = "created >= TIMESTAMP '1997-03-01 06:30:00' AND created <= TIMESTAMP '1998-06-30 18:15:00'"
+
 _TOTALS = f"""{_T},
 a AS (SELECT count(*) AS n, count_if(crit)::BIGINT AS k, count_if(done)::BIGINT AS done,
              count(DISTINCT site) AS sites, count(DISTINCT company) AS companies,
@@ -561,6 +563,20 @@ def oracle_sql() -> dict[str, str]:
         "site_drill_down": _INCIDENTS + "SELECT * FROM q WHERE site = 'Customer#000000017'",
         "sample_tickets": _SAMPLES,
     }
+    for name in ("report_summary", "data_summary", "filtered_count"):
+        found[f"rollup_{name}"] = found[name]
+    for name in ("site_scorecard", "green_list", "franchise_overview"):
+        found[f"rollup_{name}"] = _REPORTS[name][0] + "SELECT * FROM q"
+    found["rollup_cut_days"] = found["filtered_count"].replace(_FILTERS["filter_year_to_date"], _CUT_DAYS)
+    found["approximate_counts"] = _T + """SELECT count(*) AS processed_records, count(DISTINCT site) AS sites,
+        count(DISTINCT company) AS companies, count(DISTINCT category) FILTER (category <> '') AS categories,
+        TRUE AS sites_within, TRUE AS companies_within, TRUE AS categories_within FROM t"""
+    found["load_metadata_files"] = " UNION ALL ".join(
+        f"""SELECT '{table}.parquet' AS file_name, {AS_OF} AS load_timestamp, 'o_orderkey, c_custkey' AS columns,
+            count(*) AS total_records FROM {table}""" for table in ("orders", "customer"))
+    found["column_rename_mixed"] = _RAW + """SELECT "Site", "Priority", "Created", "Company",
+        CASE WHEN "Row key"::BIGINT % 2 = 0 THEN "Category" END AS "Category", "Number" FROM b"""
+    found["dq_report_noted"] = found["dq_report"]
     for name, (core, shown) in _REPORTS.items():
         found[name] = core + "SELECT * FROM q"
         found[f"{name}_display"] = core + f"SELECT {shown} FROM q"

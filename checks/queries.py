@@ -16,7 +16,7 @@ from checks.ticket_views import (
     tickets,
     untidy_tickets,
 )
-from ticketscope.config import EXTENDED_DATE_FORMATS, MALFORMED_COLUMN
+from ticketscope.config import DEFAULT_CONFIG, EXTENDED_DATE_FORMATS, MALFORMED_COLUMN
 from ticketscope.functions.dates import with_times
 from ticketscope.operators import options, quality, summary
 from ticketscope.operators.filters import TicketFilter, apply_filters, checked_priorities
@@ -27,11 +27,22 @@ from ticketscope.operators.normalize import (
     suggest_mapping,
     without_derived,
 )
-from ticketscope.operators.site_reports import hotspot_tickets
+from ticketscope.operators.rollup import filtered_rollup, sites_of, ticket_rollup
+from ticketscope.operators.site_reports import (
+    franchise_of,
+    green_of,
+    hotspot_tickets,
+    scorecard_of,
+)
+from ticketscope.operators.sketches import ERROR_BOUND, distinct_counts, ticket_sketches
 from ticketscope.operators.ticket_reports import site_drill_down, with_sample_tickets
+from ticketscope.plans.bundle import bundle
 from ticketscope.plans.display import hotspot_list
 from ticketscope.plans.reports import REPORTS, run_report
+from ticketscope.sources.checked import noted, noted_findings
 from ticketscope.sources.readers import (
+    files_of,
+    joined_by_name,
     load_metadata,
     read_tickets,
     tickets_from_csv_text,
@@ -60,6 +71,8 @@ _FILTERS = {
     "filter_year_to_date": TicketFilter.preset("This Year", "1999-07-15 10:30:00"),
 }
 
+_CUT_DAYS = TicketFilter(date_from="1997-03-01 06:30:00", date_to="1998-06-30 18:15:00")
+
 
 def _report(name: str, as_text: bool, untidy: bool = False) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,6 +144,74 @@ def _filtered_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _halves(spark: SparkSession, sf_dir: str, categories: bool = False) -> DataFrame:
+    """The rollup of two loads read together: tickets by the last digit of their number."""
+    rows = tickets(spark, sf_dir, categories)
+    even = F.substring("number", -1, 1).isin("0", "2", "4", "6", "8")
+    return ticket_rollup(rows.filter(even)).unionByName(ticket_rollup(rows.filter(~even)))
+
+
+def _on_rollup(build: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: build(_halves(spark, sf_dir))
+
+
+def _rollup_cut_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of a range that begins and ends within a day: rollup, and the tickets of two days."""
+    rows = tickets(spark, sf_dir, categories=False)
+    some = filtered_rollup(_halves(spark, sf_dir), _CUT_DAYS, rows)
+    return summary.count_of(sites_of(some))
+
+
+def _file_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per file of a load of two files."""
+    rows = spark.read.schema("o_orderkey bigint, c_custkey bigint").parquet(
+        f"{sf_dir}/orders.parquet", f"{sf_dir}/customer.parquet"
+    )
+    # Spark may give a table as a folder of files: these are one file here.
+    name = F.regexp_extract("file_path", r"(orders|customer)\.parquet", 0)
+    return (
+        files_of(rows, ["o_orderkey", "c_custkey"], AS_OF)
+        .groupBy(name.alias("file_name"), "load_timestamp", "columns")
+        .agg(F.sum("total_records").alias("total_records"))
+    )
+
+
+def _mixed_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two loads with different headers, one without a category, as one dataset."""
+    raw = _raw(spark, sf_dir)
+    even = F.col("Row key").cast("bigint") % 2 == 0
+    one = raw.filter(even).withColumnsRenamed(
+        {"Site": "Store", "Priority": "Severity", "Created": "Opened", "Company": "Franchise"})
+    other = raw.filter(~even).withColumnsRenamed({"Site": "branch", "Priority": "urgency", "Company": "owner"})
+    return joined_by_name([one, other.drop("Category")]).select(
+        "Site", "Priority", "Created", "Company", "Category", "Number"
+    )
+
+
+def _dq_report_noted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings about raw rows from what stored tickets keep of them."""
+    raw = _raw(spark, sf_dir)
+    return noted_findings(normalize(noted(raw), AS_OF), raw)
+
+
+def _approximate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact counts, and whether those from merged sketches are within the stated bound."""
+    rows = tickets(spark, sf_dir)
+    even = F.substring("number", -1, 1).isin("0", "2", "4", "6", "8")
+    sketches = ticket_sketches(rows.filter(even)).unionByName(ticket_sketches(rows.filter(~even)))
+    exact = summary.dataset_profile(rows).select("processed_records", "sites", "companies", "categories")
+    counts = distinct_counts(sketches).withColumnsRenamed(
+        {name: f"approximate_{name}" for name in ("sites", "companies", "categories")})
+    joined = exact.join(counts, F.col("processed_records") == F.col("rows"))
+    return joined.select(
+        "processed_records", "sites", "companies", "categories",
+        *[
+            (F.abs(F.col(f"approximate_{name}") - F.col(name)) <= ERROR_BOUND * F.col(name)).alias(f"{name}_within")
+            for name in ("sites", "companies", "categories")
+        ],
+    )
+
+
 def _missing_company(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.validate(_raw(spark, sf_dir).drop("Company"))
 
@@ -174,8 +255,7 @@ def _active_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _export_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many rows each dataset of the full export has."""
     rows = tickets(spark, sf_dir)
-    frames = {"raw_data": without_derived(rows), "summary": summary.summary_sheet(rows, AS_OF)}
-    frames |= {name: run_report(name, rows, AS_OF, ordered=False) for name in REPORTS}
+    frames = bundle(without_derived(rows), rows, ticket_rollup(rows, labels=True), AS_OF, DEFAULT_CONFIG)
     counts = [
         frame.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("dataset"), "row_count")
         for name, frame in frames.items()
@@ -267,6 +347,20 @@ def queries() -> dict[str, Query]:
         "filter_cleared": _filter(TicketFilter()),
         "active_filters": _active_filters,
         "export_counts": _export_counts,
+        # From merged rollups and sketches
+        "rollup_site_scorecard": _on_rollup(lambda r: scorecard_of(sites_of(r), AS_OF)),
+        "rollup_green_list": _on_rollup(lambda r: green_of(sites_of(r), AS_OF)),
+        "rollup_franchise_overview": _on_rollup(lambda r: franchise_of(sites_of(r), AS_OF)),
+        "rollup_report_summary": _on_rollup(lambda r: summary.summary_of(sites_of(r))),
+        "rollup_data_summary": _on_rollup(lambda r: summary.data_summary_of(sites_of(r))),
+        "rollup_filtered_count": _on_rollup(
+            lambda r: summary.count_of(sites_of(filtered_rollup(r, _FILTERS["filter_year_to_date"])))
+        ),
+        "rollup_cut_days": _rollup_cut_days,
+        "approximate_counts": _approximate_counts,
+        "load_metadata_files": _file_metadata,
+        "column_rename_mixed": _mixed_headers,
+        "dq_report_noted": _dq_report_noted,
     }
     for name in REPORTS:
         found[name] = _report(name, as_text=False)

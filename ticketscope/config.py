@@ -64,6 +64,17 @@ DERIVED_COLUMNS = (
 DAY_COLUMN = "ticketscope_day"
 MALFORMED_COLUMN = "ticketscope_malformed_row"
 
+# Columns that stored tickets carry beside their own, and that readers leave out: the load that wrote a
+# row, its priority as it came if that is outside the domain, and marks of its raw cells.
+LOAD_COLUMN = "ticketscope_load"
+RAW_PRIORITY_COLUMN = "ticketscope_raw_priority"
+MARKS_COLUMN = "ticketscope_marks"
+STORED_COLUMNS = (LOAD_COLUMN, RAW_PRIORITY_COLUMN, MARKS_COLUMN)
+
+# Folders inside stored tickets; readers of the tickets pass over names that begin so.
+ROLLUP_FOLDER = "_rollup"
+SKETCH_FOLDER = "_sketches"
+
 
 @dataclass(frozen=True)
 class Config:

@@ -13,10 +13,19 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ticketscope.functions.text import strip
+from ticketscope.functions.text import WHITESPACE
 
 _TOKEN = re.compile(r"yyyy|MM?|dd?|HH?|mm?|ss?|\s+|.")
 _FIELDS = "yMdHms"
+# What each field may hold. A cell whose numbers are in range but no real date, like 30 February, is none
+# with day and month exchanged either, so that the first format whose ranges fit can decide.
+_RANGES = {
+    "y": "(?!0000)[0-9]{4}", "M": "0?[1-9]|1[0-2]", "d": "0?[1-9]|[12][0-9]|3[01]", "H": "[01]?[0-9]|2[0-3]",
+    "m": "[0-5]?[0-9]", "s": "[0-5]?[0-9]",
+}
+_BLANKS = "[" + "".join(f"\\u{ord(c):04x}" for c in WHITESPACE) + "]*"
+# Stands before rewritten cells; a cell of the source that begins so fits no format.
+_MARK = "\u0001"
 
 
 def timestamp_literal(value: datetime | date | str) -> Column:
@@ -25,63 +34,39 @@ def timestamp_literal(value: datetime | date | str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
-def _shape(date_format: str) -> tuple[str, dict[str, int]]:
-    """What ``date_parts`` makes of fitting text, and the place of each field's number."""
-    shape, place = "", {}
+def _pattern(date_format: str) -> tuple[str, str]:
+    """A regular expression for fitting cells, and the same moment as year-month-day time."""
+    pattern, place = "", {}
     for token in _TOKEN.findall(date_format):
         field = token[0]
         if field in _FIELDS and (field != "y" or token == "yyyy") and field not in place:
-            place[field] = len(place)
-            shape += "9"
+            place[field] = len(place) + 1
+            pattern += f"({_RANGES[field]})"
         elif token.isspace():
-            shape += " "
+            pattern += r"\s+"
         elif token.isalnum():
             raise ValueError(f"unknown or repeated {token!r} in date format {date_format!r}")
         else:
-            shape += token
+            pattern += re.escape(token)
     if not {"y", "M", "d"} <= place.keys():
         raise ValueError(f"date format {date_format!r} needs yyyy, M and d")
-    return shape, place
+    parts = {field: f"${place[field]}" if field in place else "0" for field in _FIELDS}
+    return rf"^{_BLANKS}{pattern}{_BLANKS}\z", "{y}-{M}-{d} {H}:{m}:{s}".format(**parts)
 
 
-def date_parts(stripped: Column) -> Column:
-    """The shape of a cell (each number as 9, white space as one blank) and its numbers."""
-    shape = F.regexp_replace(F.regexp_replace(stripped, "[0-9]+", "9"), r"\s+", " ")
-    return F.struct(shape.alias("shape"), F.split(stripped, "[^0-9]+").alias("numbers"))
+def parse_date(text: Column, formats: Sequence[str]) -> Column:
+    """First format that fits wins; blank or unreadable text is NULL. White space around it is ignored.
 
-
-def parse_with_format(parts: Column, date_format: str) -> Column:
-    """TIMESTAMP_NTZ if the cell fits the format and is a real date, else NULL."""
-    shape, place = _shape(date_format)
-    numbers = parts.getField("numbers")
-
-    def digits(field: str) -> Column:
-        return F.get(numbers, F.lit(place[field]))
-
-    fits = (parts.getField("shape") == shape) & (F.length(digits("y")) == 4) & (digits("y") != "0000")
-    for field in place:
-        if field != "y":
-            fits = fits & (F.length(digits(field)) <= 2)
-    value = {f: digits(f).cast("int") if f in place else F.lit(0) for f in _FIELDS}
-    if "s" in place:
-        fits = fits & (value["s"] < 60)
-    made = F.try_make_timestamp_ntz(
-        value["y"], value["M"], value["d"], value["H"], value["m"], value["s"].cast("decimal(16,6)")
-    )
-    return F.when(fits, made)
-
-
-def parse_date(stripped: Column, formats: Sequence[str]) -> Column:
-    """First format that fits wins; blank or unreadable text is NULL.
-
-    The cell is taken apart once, in a lambda variable: also where a filter on the result is pushed
-    below the projection and repeats the expression, it stays small.
+    Every format rewrites a cell that fits it, behind a mark that keeps the others off; what has no
+    mark is emptied, and one cast judges the rest. The cell occurs once in the expression: it is
+    compiled as a whole, and stays small where a filter on the result is pushed below it.
     """
-    found = F.transform(
-        F.array(date_parts(stripped)),
-        lambda parts: F.coalesce(*[parse_with_format(parts, f) for f in formats]),
-    )
-    return F.element_at(found, 1)
+    cell = F.regexp_replace(text, f"(?s)^{_MARK}.*", "")
+    for date_format in formats:
+        pattern, moment = _pattern(date_format)
+        cell = F.regexp_replace(cell, pattern, _MARK + moment)
+    marked = F.regexp_replace(cell, f"(?s)^(?!{_MARK}).*", "")
+    return F.regexp_replace(marked, _MARK, "").try_cast("timestamp_ntz")
 
 
 def with_times(rows: DataFrame, names: Mapping[str, str], formats: Sequence[str]) -> DataFrame:
@@ -90,15 +75,11 @@ def with_times(rows: DataFrame, names: Mapping[str, str], formats: Sequence[str]
     Text is parsed, a column that is already a date or timestamp is cast.
     """
     types = dict(rows.dtypes)
-    text = {new: strip(F.col(f"`{old}`")) for old, new in names.items() if types[old] == "string"}
-    typed = {
-        new: F.col(f"`{old}`").cast("timestamp_ntz")
+    return rows.withColumns({
+        new: parse_date(F.col(f"`{old}`"), formats) if types[old] == "string"
+        else F.col(f"`{old}`").cast("timestamp_ntz")
         for old, new in names.items()
-        if types[old] != "string"
-    }
-    return rows.withColumns({**text, **typed}).withColumns(
-        {new: parse_date(F.col(f"`{new}`"), formats) for new in text}
-    )
+    })
 
 
 def seconds_between(start: Column, end: Column) -> Column:

@@ -12,6 +12,7 @@ from ticketscope.config import DEFAULT_CONFIG, Config
 from ticketscope.functions.dates import whole_days_between
 from ticketscope.functions.numbers import mean_hours, percent, round1
 from ticketscope.operators.normalize import require_number
+from ticketscope.operators.rollup import merged
 
 
 def equipment_analysis(
@@ -30,6 +31,19 @@ def equipment_analysis(
         F.sum("resolution_seconds").alias("seconds"),
         F.count("resolution_seconds").alias("measured"),
     )
+    return _equipment(by_site)
+
+
+def equipment_of(rollup: DataFrame, as_of: datetime | str, config: Config = DEFAULT_CONFIG) -> DataFrame:
+    """``equipment_analysis`` of the tickets behind a rollup with labels."""
+    by_site = merged(rollup, "category", "subcategory", "site").select(
+        "category", "subcategory", "site", F.col("tickets").alias("rows"), "numbered", "critical",
+        F.col("resolution_seconds").alias("seconds"), "measured",
+    )
+    return _equipment(by_site)
+
+
+def _equipment(by_site: DataFrame) -> DataFrame:
     groups = by_site.groupBy("category", "subcategory").agg(
         F.sum("numbered").alias("total_count"),
         F.sum("critical").alias("critical_count"),
@@ -59,8 +73,7 @@ def repeat_offenders(
 ) -> DataFrame:
     """(Site, company, category) groups with at least ``repeat_threshold`` tickets."""
     require_number(tickets)
-    span = whole_days_between(F.col("first_created"), F.col("last_created"))
-    return (
+    groups = (
         tickets.filter(F.col("category").isNotNull())
         .groupBy("site", "company", "category")
         .agg(
@@ -69,7 +82,23 @@ def repeat_offenders(
             F.max("created").alias("last_created"),
             F.count_if("is_critical").alias("critical_count"),
         )
-        .filter(F.col("incident_count") >= config.repeat_threshold)
+    )
+    return _repeats(groups, config)
+
+
+def repeats_of(rollup: DataFrame, as_of: datetime | str, config: Config = DEFAULT_CONFIG) -> DataFrame:
+    """``repeat_offenders`` of the tickets behind a rollup with labels."""
+    groups = merged(rollup.filter(F.col("category").isNotNull()), "site", "company", "category").select(
+        "site", "company", "category", F.col("numbered").alias("incident_count"), "first_created",
+        "last_created", F.col("critical").alias("critical_count"),
+    )
+    return _repeats(groups, config)
+
+
+def _repeats(groups: DataFrame, config: Config) -> DataFrame:
+    span = whole_days_between(F.col("first_created"), F.col("last_created"))
+    return (
+        groups.filter(F.col("incident_count") >= config.repeat_threshold)
         .select(
             "site",
             "company",

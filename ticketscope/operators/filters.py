@@ -23,7 +23,8 @@ DATE_PRESETS = {
 }
 
 
-def _as_datetime(value: datetime | date | str) -> datetime:
+def as_datetime(value: datetime | date | str) -> datetime:
+    """A moment; a plain date means its midnight."""
     if isinstance(value, str):
         return datetime.fromisoformat(value)
     if isinstance(value, datetime):
@@ -31,7 +32,8 @@ def _as_datetime(value: datetime | date | str) -> datetime:
     return datetime(value.year, value.month, value.day)
 
 
-def _is_set(value: object) -> bool:
+def is_set(value: object) -> bool:
+    """Whether a condition is one: not ``None``, blank or ``All``."""
     return bool(value) and value != "All"
 
 
@@ -57,7 +59,7 @@ class TicketFilter:
     def preset(cls, name: str | int, as_of: datetime | str, **conditions) -> TicketFilter:
         """A named date range or a number of days ending at the date of ``as_of``."""
         days = DATE_PRESETS[name] if name in DATE_PRESETS else name
-        today = _as_datetime(as_of).date()
+        today = as_datetime(as_of).date()
         if days == "ALL":
             return cls(**conditions)
         if days == "YTD":
@@ -70,9 +72,9 @@ class TicketFilter:
         """The conditions that are set."""
         found = []
         if self.date_from:
-            found.append(F.col("created") >= timestamp_literal(_as_datetime(self.date_from)))
+            found.append(F.col("created") >= timestamp_literal(as_datetime(self.date_from)))
         if self.date_to:
-            end = _as_datetime(self.date_to)
+            end = as_datetime(self.date_to)
             if self.inclusive_end and end == datetime(end.year, end.month, end.day):
                 found.append(F.col("created") < timestamp_literal(end + timedelta(days=1)))
             else:
@@ -80,7 +82,7 @@ class TicketFilter:
         if self.priorities:
             found.append(F.col("priority").isin(*self.priorities))
         for name in ("company", "site", "category", "subcategory"):
-            if _is_set(getattr(self, name)):
+            if is_set(getattr(self, name)):
                 found.append(F.col(name) == getattr(self, name))
         if self.resolution_status == "Open":
             found.append(F.col("resolved").isNull())
@@ -92,9 +94,9 @@ class TicketFilter:
         """The date range again, on the partition column of stored tickets."""
         found = []
         if self.date_from:
-            found.append(F.col(DAY_COLUMN) >= F.lit(_as_datetime(self.date_from).date()))
+            found.append(F.col(DAY_COLUMN) >= F.lit(as_datetime(self.date_from).date()))
         if self.date_to:
-            found.append(F.col(DAY_COLUMN) <= F.lit(_as_datetime(self.date_to).date()))
+            found.append(F.col(DAY_COLUMN) <= F.lit(as_datetime(self.date_to).date()))
         return found
 
     def to_column(self) -> Column:
@@ -111,7 +113,7 @@ class TicketFilter:
         if self.priorities:
             lines.append(f"Priorities: {', '.join(self.priorities)}")
         for name in ("company", "site", "category", "subcategory"):
-            if _is_set(getattr(self, name)):
+            if is_set(getattr(self, name)):
                 lines.append(f"{name.capitalize()}: {getattr(self, name)}")
         if self.resolution_status in ("Open", "Resolved"):
             lines.append(f"Status: {self.resolution_status}")

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketscope.config import DEFAULT_CONFIG, MALFORMED_COLUMN, PRIORITIES, Config
-from ticketscope.functions.dates import date_parts, parse_with_format, with_times
+from ticketscope.functions.dates import parse_date, with_times
 from ticketscope.functions.numbers import percent, printed1, round1
-from ticketscope.functions.text import strip
 from ticketscope.operators.normalize import missing_columns
 
 # Share of the rows above which a date format counts as detected, and missing values (in
@@ -72,9 +71,7 @@ def _parsed(raw: DataFrame, config: Config) -> DataFrame:
 
 
 def _bad_dates(name: str) -> Column:
-    """Number of bad cells; a missing Created is bad, a missing Resolved is an open ticket."""
-    bad = F.col(_TIMES[name]).isNull()
-    return F.count_if(bad if name == "Created" else bad & F.col(name).isNotNull())
+    return F.count_if(is_bad_date(name, F.col(_TIMES[name]), F.col(name).isNotNull()))
 
 
 def bad_dates(raw: DataFrame, config: Config = DEFAULT_CONFIG) -> DataFrame:
@@ -88,29 +85,75 @@ def validate(raw: DataFrame, config: Config = DEFAULT_CONFIG) -> DataFrame:
     """All findings as (check_name, column_name, severity, finding_count, message) rows.
 
     A row of severity ``error`` makes the dataset invalid; an ``info`` row gives the number of
-    records. Everything but the duplicate numbers comes from one aggregation.
+    records. Everything comes from one reading of the rows.
     """
-    missing = missing_columns(raw, config)
     present = [name for name in config.required_columns if name in raw.columns]
-    aggregates = [F.count(F.lit(1)).alias("rows")]
-    aggregates += [F.count_if(F.col(f"`{n}`").isNull()).alias(f"nulls_{i}") for i, n in enumerate(present)]
     dates = [name for name in _TIMES if name in raw.columns]
-    aggregates += [_bad_dates(name).alias(f"bad_{name}") for name in dates]
-    if "Priority" in raw.columns:
-        unexpected = F.when(~F.col("Priority").isin(*PRIORITIES), F.col("Priority"))
-        aggregates.append(F.count_distinct(unexpected).alias("unexpected"))
+    counters = {f"nulls_{i}": F.col(f"`{name}`").isNull() for i, name in enumerate(present)}
+    counters |= {f"bad_{name}": is_bad_date(name, F.col(_TIMES[name]), F.col(name).isNotNull()) for name in dates}
     if MALFORMED_COLUMN in raw.columns:
-        aggregates.append(F.count(MALFORMED_COLUMN).alias("malformed"))
-    figures = _parsed(raw, config).agg(*aggregates)
+        counters["malformed"] = F.col(MALFORMED_COLUMN).isNotNull()
+    number = F.col("Number") if "Number" in raw.columns else None
+    unexpected = unexpected_priority(F.col("Priority")) if "Priority" in raw.columns else None
+    figures = figures_of(_parsed(raw, config), counters, number, unexpected)
+    return findings(figures, present, missing_columns(raw, config), dates, list(raw.columns))
 
+
+def unexpected_priority(priority: Column) -> Column:
+    """The value if it is outside the domain, else NULL; NULL is not one."""
+    return F.when(~priority.isin(*PRIORITIES), priority)
+
+
+def is_bad_date(name: str, time: Column, has_text: Column) -> Column:
+    """A missing Created is bad, a missing Resolved is an open ticket."""
+    return time.isNull() if name == "Created" else time.isNull() & has_text
+
+
+def figures_of(
+    rows: DataFrame, counters: Mapping[str, Column], number: Column | None, unexpected: Column | None
+) -> DataFrame:
+    """One row: ``rows``, how many fulfil each counter, ``duplicate_numbers`` and ``unexpected``.
+
+    Two levels, so that the rows are read once: first all counters per (number, unexpected
+    priority), then per number and per priority. Rows are merged before each shuffle; a number
+    that very many rows share, or none, sends a row per task.
+    """
+    nothing = F.lit(None).cast("string")
+    key = nothing if number is None else number.cast("string")
+    other = nothing if unexpected is None else unexpected
+    names = list(counters)
+    first = rows.groupBy(key.alias("_number"), other.alias("_priority")).agg(
+        F.count(F.lit(1)).alias("_rows"), *[F.count_if(counters[n]).alias(f"_{n}") for n in names]
+    )
+    counted = ["_rows", *(f"_{n}" for n in names)]
+    both = first.select(F.inline(F.array(
+        F.struct(F.lit("number").alias("_kind"), F.col("_number").alias("_value"), *counted),
+        F.struct(F.lit("priority").alias("_kind"), F.col("_priority").alias("_value"),
+                 *[F.lit(0).cast("bigint").alias(n) for n in counted]),
+    )))
+    values = both.groupBy("_kind", "_value").agg(*[F.sum(n).alias(n) for n in counted])
+    is_number, there = F.col("_kind") == "number", F.col("_value").isNotNull()
+    return values.agg(
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows"),
+        *[F.coalesce(F.sum(f"_{n}"), F.lit(0)).alias(n) for n in names],
+        F.count_if(is_number & there & (F.col("_rows") > 1)).alias("duplicate_numbers"),
+        F.count_if(~is_number & there).alias("unexpected"),
+    )
+
+
+def findings(
+    figures: DataFrame, present: Sequence[str], missing: Sequence[str], dates: Sequence[str],
+    columns: Sequence[str],
+) -> DataFrame:
+    """The rows of ``validate`` from the one row of ``figures_of``."""
     rows = F.col("rows")
-    findings = [_finding("record_count", "", "info", rows, _text(rows, " records"))]
+    found = [_finding("record_count", "", "info", rows, _text(rows, " records"))]
     if missing:
-        findings.append(
+        found.append(
             _finding("required_columns", ", ".join(missing), "error", F.lit(len(missing)),
                      F.lit(f"Missing required columns: {', '.join(missing)}"))
         )
-    findings.append(
+    found.append(
         _finding("no_data", "", "error", F.lit(0), F.when(rows == 0, "No data found in file"))
     )
     for i, name in enumerate(present):
@@ -118,35 +161,30 @@ def validate(raw: DataFrame, config: Config = DEFAULT_CONFIG) -> DataFrame:
         share = percent(nulls, rows)
         message = F.concat(F.lit(f"Column '{name}' has "), printed1(share),
                            F.lit("% missing values"))
-        findings.append(
+        found.append(
             _finding("completeness", name, "warning", nulls,
                      F.when(share > _MISSING_WARNING_PCT, message))
         )
-    if "Priority" in raw.columns:
+
+    def warns(check: str, column: str, count: Column, message: Column) -> None:
+        found.append(_finding(check, column, "warning", count, F.when(count > 0, message)))
+
+    if "Priority" in columns:
         count = F.col("unexpected")
-        findings.append(_finding("priority_values", "Priority", "warning", count,
-                                 F.when(count > 0, _text(count, " unexpected priority values found"))))
-    if MALFORMED_COLUMN in raw.columns:
+        warns("priority_values", "Priority", count, _text(count, " unexpected priority values found"))
+    if MALFORMED_COLUMN in columns:
         count = F.col("malformed")
-        findings.append(_finding("malformed_rows", "", "warning", count,
-                                 F.when(count > 0, _text(count, " rows have more cells than the header"))))
+        warns("malformed_rows", "", count, _text(count, " rows have more cells than the header"))
     for name in dates:
         count = F.col(f"bad_{name}")
         suffix = " (excluding legitimately empty values)" if name == "Resolved" else ""
-        message = F.concat(F.lit(f"Column '{name}' has "), count.cast("string"),
-                           F.lit(f" invalid date formats{suffix}"))
-        findings.append(_finding("bad_dates", name, "warning", count, F.when(count > 0, message)))
-    report = figures.select(F.inline(F.array(*findings)))
-    if "Number" in raw.columns:
+        warns("bad_dates", name, count, F.concat(
+            F.lit(f"Column '{name}' has "), count.cast("string"), F.lit(f" invalid date formats{suffix}")))
+    if "Number" in columns:
         count = F.col("duplicate_numbers")
-        message = F.concat(F.lit("Found "), count.cast("string"), F.lit(" duplicate ticket numbers"))
-        report = report.unionByName(
-            duplicate_numbers(raw).select(
-                F.inline(F.array(_finding("duplicates", "Number", "warning", count,
-                                          F.when(count > 0, message))))
-            )
-        )
-    return report.filter(F.col("message").isNotNull())
+        warns("duplicates", "Number", count, F.concat(
+            F.lit("Found "), count.cast("string"), F.lit(" duplicate ticket numbers")))
+    return figures.select(F.inline(F.array(*found))).filter(F.col("message").isNotNull())
 
 
 def _finding(check: str, column: str, severity: str, count: Column, message: Column) -> Column:
@@ -170,13 +208,12 @@ def detect_date_format(
 
     The earlier format wins a tie. All rows are judged.
     """
-    stripped = raw.select(strip(F.col(f"`{column}`")).alias("cell"))
-    rows = stripped.select(date_parts(F.col("cell")).alias("cell"))
+    rows = raw.select(F.col(f"`{column}`").alias("cell"))
     shares = [f"share_{i}" for i in range(len(formats))]
     figures = rows.agg(
         *[
             F.try_divide(
-                F.count_if(parse_with_format(F.col("cell"), f).isNotNull()).cast("double"),
+                F.count_if(parse_date(F.col("cell"), [f]).isNotNull()).cast("double"),
                 F.count(F.lit(1)),
             ).alias(share)
             for f, share in zip(formats, shares)

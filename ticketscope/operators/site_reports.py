@@ -12,16 +12,16 @@ from ticketscope.functions.dates import timestamp_literal, whole_days_between
 from ticketscope.functions.numbers import mean_hours, percent, round1
 from ticketscope.operators.joins import spread_join
 from ticketscope.operators.normalize import require_number
-from ticketscope.operators.rollup import site_rollup
+from ticketscope.operators.rollup import merged, site_rollup
 
 
 def _hotspots(tickets: DataFrame, config: Config) -> DataFrame:
-    return (
+    groups = (
         tickets.filter(F.col("priority") == CRITICAL)
         .groupBy("site", "company")
         .agg(F.count("created").alias("critical_count"), F.max("created").alias("latest_incident"))
-        .filter(F.col("critical_count") >= config.critical_threshold)
     )
+    return groups.filter(F.col("critical_count") >= config.critical_threshold)
 
 
 def hotspot_tickets(tickets: DataFrame, config: Config = DEFAULT_CONFIG) -> DataFrame:
@@ -43,9 +43,21 @@ def critical_hotspots(
     Always one row per group; ``hotspot_tickets`` has the tickets.
     """
     require_number(tickets)
-    return _hotspots(tickets, config).withColumn(
-        "days_since_last",
-        whole_days_between(F.col("latest_incident"), timestamp_literal(as_of)),
+    return _with_age(_hotspots(tickets, config), as_of)
+
+
+def hotspots_of(rollup: DataFrame, as_of: datetime | str, config: Config = DEFAULT_CONFIG) -> DataFrame:
+    """``critical_hotspots`` of the tickets behind a rollup."""
+    groups = merged(rollup.filter(F.col("priority") == CRITICAL), "site", "company").select(
+        "site", "company", F.col("created_count").alias("critical_count"),
+        F.col("last_created").alias("latest_incident"),
+    )
+    return _with_age(groups.filter(F.col("critical_count") >= config.critical_threshold), as_of)
+
+
+def _with_age(hotspots: DataFrame, as_of: datetime | str) -> DataFrame:
+    return hotspots.withColumn(
+        "days_since_last", whole_days_between(F.col("latest_incident"), timestamp_literal(as_of))
     )
 
 
@@ -58,13 +70,17 @@ def site_scorecard(
     ``longest_truly_open_days`` looks at open tickets only.
     """
     require_number(tickets)
+    return scorecard_of(site_rollup(tickets), as_of, config)
+
+
+def scorecard_of(sites: DataFrame, as_of: datetime | str, config: Config = DEFAULT_CONFIG) -> DataFrame:
+    """``site_scorecard`` of a site rollup."""
     now = timestamp_literal(as_of)
     mttr = F.coalesce(
         round1(mean_hours(F.col("resolution_seconds"), F.col("measured"))), F.lit(0.0)
     )
     return (
-        site_rollup(tickets)
-        .withColumn("avg_mttr_hours", mttr)
+        sites.withColumn("avg_mttr_hours", mttr)
         .select(
             "site",
             "company",
@@ -91,9 +107,13 @@ def green_list(
 ) -> DataFrame:
     """(Site, company) groups without any critical ticket."""
     require_number(tickets)
+    return green_of(site_rollup(tickets), as_of, config)
+
+
+def green_of(sites: DataFrame, as_of: datetime | str, config: Config = DEFAULT_CONFIG) -> DataFrame:
+    """``green_list`` of a site rollup."""
     return (
-        site_rollup(tickets)
-        .filter(F.col("critical") == 0)
+        sites.filter(F.col("critical") == 0)
         .select(
             "site",
             "company",
@@ -115,9 +135,13 @@ def franchise_overview(
     on a tie. The performance score is the critical share plus a tenth of the mean hours.
     """
     require_number(tickets)
+    return franchise_of(site_rollup(tickets), as_of, config)
+
+
+def franchise_of(sites: DataFrame, as_of: datetime | str, config: Config = DEFAULT_CONFIG) -> DataFrame:
+    """``franchise_overview`` of a site rollup."""
     companies = (
-        site_rollup(tickets)
-        .groupBy("company")
+        sites.groupBy("company")
         .agg(
             F.count("site").alias("sites"),
             F.sum("numbered").alias("total_tickets"),

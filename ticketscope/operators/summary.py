@@ -14,7 +14,12 @@ from ticketscope.operators.rollup import overall, site_rollup
 
 def report_summary(tickets: DataFrame) -> DataFrame:
     """Totals, shares, date range and mean hours, rounded."""
-    figures = overall(site_rollup(tickets))
+    return summary_of(site_rollup(tickets))
+
+
+def summary_of(sites: DataFrame) -> DataFrame:
+    """``report_summary`` of a site rollup."""
+    figures = overall(sites)
     return figures.select(
         F.col("tickets").alias("total_tickets"),
         F.col("critical").alias("critical_tickets"),
@@ -39,6 +44,17 @@ def filtered_count(filtered: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_tickets"),
         F.count_if("is_critical").alias("critical_tickets"),
     )
+    return _with_status(counts)
+
+
+def count_of(sites: DataFrame) -> DataFrame:
+    """``filtered_count`` of a site rollup."""
+    return _with_status(overall(sites).select(
+        F.col("tickets").alias("total_tickets"), F.col("critical").alias("critical_tickets")
+    ))
+
+
+def _with_status(counts: DataFrame) -> DataFrame:
     critical = F.when(
         F.col("critical_tickets") > 0,
         F.concat(F.lit(" ("), F.col("critical_tickets").cast("string"), F.lit(" critical)")),
@@ -51,7 +67,12 @@ def filtered_count(filtered: DataFrame) -> DataFrame:
 
 def summary_sheet(tickets: DataFrame, as_of: datetime | str) -> DataFrame:
     """The summary as (position, metric, value) text rows; absent dates give no row."""
-    summary = report_summary(tickets)
+    return sheet_of(site_rollup(tickets), as_of)
+
+
+def sheet_of(sites: DataFrame, as_of: datetime | str) -> DataFrame:
+    """``summary_sheet`` of a site rollup."""
+    summary = summary_of(sites)
     number = lambda name: F.col(name).cast("string")
     share = lambda name: F.concat(text1(F.col(name)), F.lit("%"))
     generated = F.lit(str(as_of)).cast("timestamp_ntz").cast("string")
@@ -81,7 +102,12 @@ def summary_sheet(tickets: DataFrame, as_of: datetime | str) -> DataFrame:
 
 def data_summary(tickets: DataFrame) -> DataFrame:
     """The whole dataset in one row, with date ranges and unrounded mean hours."""
-    figures = overall(site_rollup(tickets))
+    return data_summary_of(site_rollup(tickets))
+
+
+def data_summary_of(sites: DataFrame) -> DataFrame:
+    """``data_summary`` of a site rollup."""
+    figures = overall(sites)
     span = F.floor(seconds_between(F.col("first_created"), F.col("last_created")).cast("double") / 86400)
     return figures.select(
         F.col("tickets").alias("total_tickets"),

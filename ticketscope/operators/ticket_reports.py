@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ticketscope.config import DEFAULT_CONFIG, Config
+from ticketscope.config import DAY_COLUMN, DEFAULT_CONFIG, Config
 from ticketscope.functions.dates import timestamp_literal, week_start, whole_days_between
 from ticketscope.functions.numbers import percent, round1
 from ticketscope.operators.normalize import require_number
+from ticketscope.operators.rollup import merged
 
 # Weekday names, Monday first.
 _WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
@@ -62,22 +63,22 @@ def with_sample_tickets(report: DataFrame, tickets: DataFrame) -> DataFrame:
     """Add up to three ticket numbers of its site to each row of a report.
 
     The numbers are the earliest ones. The limit is applied before and after the shuffle, so a
-    large site sends at most three rows per task.
+    large site sends at most three rows per task. The report is computed once: sites that it lacks
+    fall out in the join with it.
     """
     require_number(tickets)
     if "site" not in report.columns:
         raise ValueError("Sample tickets need a report with a site column")
     earliest = W.partitionBy("site").orderBy(F.col("created").asc_nulls_last(), "number")
-    wanted = tickets.join(report.select("site").distinct(), "site", "left_semi")
     samples = (
-        wanted.filter(F.col("number").isNotNull())
+        tickets.filter(F.col("number").isNotNull())
         .select("site", "created", "number", F.row_number().over(earliest).alias("place"))
         .filter(F.col("place") <= 3)
         .groupBy("site")
         .agg(F.array_sort(F.collect_list(F.struct("place", "number"))).alias("shown"))
         .select("site", F.col("shown.number").alias("shown"))
     )
-    sizes = wanted.groupBy("site").agg(F.count(F.lit(1)).alias("site_rows"))
+    sizes = tickets.groupBy("site").agg(F.count(F.lit(1)).alias("site_rows"))
     more = F.when(
         (F.size("shown") == 3) & (F.col("site_rows") > 3),
         F.concat(F.lit(" (+"), (F.col("site_rows") - 3).cast("string"), F.lit(" more)")),
@@ -141,6 +142,19 @@ def workload_trends(
             F.count_if("is_resolved").alias("resolved"),
         )
     )
+    return _weeks(by_day)
+
+
+def trends_of(rollup: DataFrame, as_of: datetime | str, config: Config = DEFAULT_CONFIG) -> DataFrame:
+    """``workload_trends`` of the tickets behind a rollup."""
+    days = merged(rollup.filter(F.col(DAY_COLUMN).isNotNull()), DAY_COLUMN)
+    return _weeks(days.select(
+        week_start(F.col(DAY_COLUMN)).alias("week_start"), F.weekday(DAY_COLUMN).alias("weekday"),
+        F.col("tickets").alias("rows"), "numbered", "critical", "resolved",
+    ))
+
+
+def _weeks(by_day: DataFrame) -> DataFrame:
     weeks = by_day.groupBy("week_start").agg(
         F.sum("numbered").alias("new_tickets"),
         F.sum("critical").alias("critical_count"),
