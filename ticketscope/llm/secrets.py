@@ -1,6 +1,8 @@
 """Operator 8: secret scans with a random forest. DataFrame functions only.
 
-Candidates are runs of at least twelve letters, digits and + / _ - that hold a digit. A random
+Candidates are values assigned to a secret word (of any length and characters), passwords in
+addresses, blocks of private keys, values with a known beginning, and runs of at least twelve
+letters, digits and + / _ - that hold a digit. A random
 forest judges each by its length, the characters it has and how they change, the share of it that
 dictionary words cover, the path it stands in, and the words beside it. It is trained on labelled
 findings that are made here from invented values: keys, tokens and passwords on one side; check
@@ -26,11 +28,32 @@ from ticketscope.llm.common import table
 MASK = "[SECRET]"
 THRESHOLD = 0.5
 # Labelled findings that are made, and the forest's size.
-EXAMPLES, TREES, DEPTH = 6_000, 24, 8
+EXAMPLES, TREES, DEPTH = 9_000, 24, 10
 
-_CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]{0,200}[0-9])[A-Za-z0-9+/_\-]{12,}={0,2}"
+_QUOTE = "[\"'`]"
+_SECRET_NAMES = (
+    r"(?i:pass(?:word|wd|phrase)?|pwd|secret|token|api[_\-]?key|access[_\-]?key|private[_\-]?key|secret[_\-]?key"
+    r"|auth|bearer|credentials?|signing[_\-]?key|encryption[_\-]?key|client[_\-]?secret|jwt|webhook)"
+)
+_KEY_TEXT = r"[A-Za-z0-9+/=]"
+# What stands before an assigned value. The short form is looked at first, as it is cheap.
+_ASSIGNED = rf"(?<=[=:]>?\s{{0,3}}{_QUOTE}?)(?<={_SECRET_NAMES}{_QUOTE}?\s{{0,3}}[=:]{{1,2}}>?\s{{0,3}}{_QUOTE}?)"
+_PREFIXES = "AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|sk_live_|sk-|rk_live_|xox[abp]-|AIza|eyJ|hf_|npm_|SG[.]"
+_CANDIDATE = "|".join((
+    # a block of a private key
+    rf"-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----(?:\s+{_KEY_TEXT}{{16,}}+)*+(?:\s+{_KEY_TEXT}++(?=\s*-----END))?"
+    r"(?:\s*-----END [A-Z ]{0,30}-----)?",
+    # a password in an address
+    r"(?<=:)(?<=://[^\s:/@]{1,64}:)[^\s/@]++(?=@)",
+    # a value that is assigned to a secret word, in quotes or not
+    rf"{_ASSIGNED}(?:(?<={_QUOTE})[^\"'`\n]++(?={_QUOTE})|(?!{_QUOTE})[^\s\"'`,;<>(){{}}\[\]]++)",
+    # a known beginning
+    rf"(?<![A-Za-z0-9+/_\-])(?:{_PREFIXES})[A-Za-z0-9+/_\-]{{8,}}+",
+    # a long run with a digit
+    r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{12,}+={0,2}",
+))
 _BEFORE, _AFTER = 48, 24
-_PREFIX = r"^(?:AKIA|ASIA|ghp_|gho_|github_pat_|glpat-|sk_live_|sk-|rk_live_|xox[abp]-|AIza|eyJ|hf_|npm_|SG)"
+_PREFIX = rf"^(?:{_PREFIXES})"
 _SECRET_WORDS = (
     r"(?i)(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth"
     r"|bearer|credential|signing|encryption[_-]?key|client[_-]?secret|jwt|webhook|key)"
@@ -69,6 +92,7 @@ FEATURES = (
     "length", "digits", "uppers", "lowers", "signs", "distinct", "changes", "is_hex", "is_digits",
     "is_uuid", "known_prefix", "coverage", "slashes", "dashes", "path_near", "path_harmless",
     "secret_word", "near_secret_word", "harmless_word", "assigned", "quoted", "odd_length",
+    "punctuation", "spaces", "in_address", "key_block", "is_word", "is_filler", "is_reference", "vowels",
 )
 
 
@@ -126,6 +150,13 @@ def with_features(rows: DataFrame) -> DataFrame:
         "assigned": before.rlike(r"[=:]\s*[\"'`]?$"),
         "quoted": before.rlike("[\"'`]$") & F.col("after").rlike("^[\"'`]"),
         "odd_length": ~size.isin(32, 40, 56, 64, 96, 128),
+        "punctuation": _count(c, r"[^A-Za-z0-9+/_=\s-]") / size, "spaces": _count(c, r"\s"),
+        "in_address": before.rlike(r"://[^\s:/@]+:$"), "key_block": c.startswith("-----BEGIN"),
+        "is_word": c.rlike("^(?:[A-Z]?[a-z]{1,15}|[A-Z]{1,12})[.!?]?$") | low.rlike(f"^{words}$"),
+        "is_filler": low.rlike(r"^(?:[x*.\-#]+|null|none|true|false|required|optional|undefined|redacted|hidden)$"
+                               r"|change|your|example|dummy|placeholder|os\.|env|get|config"),
+        "is_reference": low.rlike(r"^(?:[$<%{].*[}>%]|\$[a-z_]+)$"),
+        "vowels": _count(low, "[aeiou]") / size,
     }
     return rows.select("*", *[features[name].cast("double").alias(name) for name in FEATURES])
 
@@ -152,7 +183,6 @@ def labelled_findings(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
     secret_names = ["password", "passwd", "token", "secret", "api_key", "API_KEY", "apikey", "auth_token",
                     "access_key", "client_secret", "private_key", "SECRET_KEY", "bearer", "pwd", "TOKEN"]
     joins = [" = \"", "=", ": ", ": \"", "=\"", " = '", "=> '", "\": \"", " "]
-    close = F.when(pick(2, joins).rlike("\"$"), "\"").when(pick(2, joins).rlike("'$"), "'").otherwise(" ")
     prose = F.concat(word[0], F.lit(" "), word[1], F.lit(" "))
     named = F.concat(prose, pick(3, secret_names), pick(2, joins))
     harmless = ["commit ", "revision ", "sha256:", "md5 ", "checksum: ", "digest=", "etag: \"", "hash ", "uuid ",
@@ -170,6 +200,27 @@ def labelled_findings(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
                       pick(7, ["1234", "0000", "12345678", "1"]), F.lit("_"), word[1])
     prefix = pick(8, ["AKIA", "ghp_", "sk_live_", "xoxb-", "AIza", "glpat-", "hf_", "npm_", "sk-"])
     plain_prose = F.concat(prose, word[2], F.lit(" "))
+    letters = F.left(F.translate(digest, "0123456789", "ghjkmpqrst"), size + 4)
+    number = F.left(F.translate(more, "abcdef", "274916"), (F.pmod("id", F.lit(4)) + 1).cast("int"))
+    mark = pick(30, ["!", "&", "#", "@", "$", "*", "?", "%"])
+    leet = F.translate(F.initcap(word[0]), "aeo", "430")
+    password = F.element_at(F.array(
+        F.concat(leet, mark, number), F.concat(word[0], mark, word[1], number), F.concat(leet, number, mark),
+        F.concat(word[0], number), F.concat(F.left(plain, F.lit(6)), mark, F.left(letters, F.lit(4))),
+    ), (F.pmod(F.xxhash64("id", F.lit(31)), F.lit(5)) + 1).cast("int"))
+    blank = pick(32, ["none", "true", "false", "null", "required", "optional", "********", "xxxx", "${TOKEN}", "undefined",
+                      "changeme", "your_password", "os.environ", "config.get", "hidden", "...", "None"])
+    address = F.concat(prose, pick(33, ["postgres://", "mysql://", "https://", "redis://", "amqp://"]), word[2], F.lit(":"))
+    block = F.concat(F.lit("-----BEGIN PRIVATE KEY----- "), mixed, F.lit(" "), F.left(plain, F.lit(20)), F.lit(" -----END PRIVATE KEY-----"))
+    # Columns of their own, so that no expression holds another many times over.
+    made = {
+        "named": named, "quiet": quiet, "url": url, "hexed": hexed, "uuid": uuid, "digits": digits, "identifier": identifier,
+        "joined": joined, "filler": filler, "prefix": prefix, "plain_prose": plain_prose, "mixed": mixed, "plain": plain,
+        "size": size, "letters": letters, "password": password, "blank": blank, "address": address, "block": block,
+    }
+    rows = rows.withColumns({f"made_{name}": column for name, column in made.items()})
+    (named, quiet, url, hexed, uuid, digits, identifier, joined, filler, prefix, plain_prose, mixed, plain, size,
+     letters, password, blank, address, block) = (F.col(f"made_{name}") for name in made)
     kinds = [
         (1, F.left(mixed, size), named), (1, F.left(plain, size), named),
         (1, hexed, named), (1, F.left(digest, size), named),
@@ -177,6 +228,10 @@ def labelled_findings(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
         (1, F.concat(prefix, F.left(plain, F.lit(24))), plain_prose),
         (1, F.upper(hexed), F.upper(named)), (1, F.left(mixed, F.lit(44)), F.concat(prose, pick(3, secret_names), F.lit(" "))),
         (1, F.concat(word[0], F.left(plain, F.lit(10)), F.lit("42")), named),
+        (1, password, named), (1, password, named), (1, password, address), (1, letters, named), (1, block, prose),
+        (1, F.concat(prefix, F.upper(letters)), named), (1, F.concat_ws(" ", *word), F.concat(prose, pick(3, secret_names), F.lit(" = \""))),
+        (0, F.concat(F.lit("${"), F.upper(word[1]), F.lit("}")), named), (0, F.concat(F.lit("<"), word[1], F.lit("-"), word[2], F.lit(">")), named),
+        (0, F.concat(F.lit("{{ "), word[1], F.lit("."), word[2], F.lit(" }}")), named), (0, word[0], named), (0, F.initcap(word[1]), named), (0, blank, named), (0, blank, named), (0, word[3], F.concat(prose, pick(3, secret_names), F.lit(": "))),
         (0, hexed, quiet), (0, hexed, plain_prose), (0, uuid, quiet), (0, uuid, plain_prose),
         (0, digits, plain_prose), (0, digits, quiet), (0, identifier, plain_prose), (0, identifier, url),
         (0, joined, plain_prose), (0, filler, named), (0, F.left(plain, size), url),
@@ -193,12 +248,16 @@ def labelled_findings(spark: SparkSession, n: int = EXAMPLES) -> DataFrame:
         return found
 
     made = rows.select(
-        chosen(1).alias("c"), F.right(chosen(2), F.lit(_BEFORE)).alias("before"),
-        F.concat(F.when(place < 9, close).otherwise(" "), word[3]).alias("after"),
-        F.when(F.pmod("id", F.lit(19)) == 0, "tests/sample.txt").otherwise("").alias("path"),
+        "id", chosen(1).alias("c"), chosen(2).alias("context"), word[3].alias("next"),
         chosen(0).cast("double").alias("label"),
     )
-    return made.filter((F.length("c") >= 12) & F.col("c").rlike("[0-9]"))
+    # A quote that is opened is closed, whatever the finding is.
+    closing = F.coalesce(F.nullif(F.regexp_extract("context", "[\"']$", 0), F.lit("")), F.lit(" "))
+    made = made.select(
+        "c", F.right("context", F.lit(_BEFORE)).alias("before"), F.concat(closing, F.col("next")).alias("after"),
+        F.when(F.pmod("id", F.lit(19)) == 0, "tests/sample.txt").otherwise("").alias("path"), "label",
+    )
+    return made.filter(F.length("c") > 0)
 
 
 def train(spark: SparkSession) -> Model:
@@ -206,7 +265,9 @@ def train(spark: SparkSession) -> Model:
     data = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(
         with_features(labelled_findings(spark))
     ).select("features", "label")
-    forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=8, maxBins=32)
+    forest = RandomForestClassifier(
+        numTrees=TREES, maxDepth=DEPTH, seed=8, maxBins=32, featureSubsetStrategy="0.5"
+    )
     return forest.fit(data)
 
 
@@ -219,17 +280,21 @@ def judged(found: DataFrame, forest: Model) -> DataFrame:
     )
 
 
-def scan(rows: DataFrame, forest: Model | None = None, id_column: str = "doc_id") -> DataFrame:
-    """(id, text_hash, place, start, length, score) of the candidates that are taken for secrets."""
+def scan(rows: DataFrame, forest: Model | None = None, id_column: str = "doc_id", text: str = "text",
+         path: str | None = None) -> DataFrame:
+    """(id, text_hash, place, start, length, score) of the candidates that are taken for secrets.
+
+    ``path`` names a column that says where a text is from, such as a file path.
+    """
     forest = forest or train(rows.sparkSession)
-    found = judged(candidates(rows, id_column), forest).filter(F.col("score") >= THRESHOLD)
+    found = judged(candidates(rows, id_column, text, path), forest).filter(F.col("score") >= THRESHOLD)
     return found.select(id_column, "text_hash", "place", "start", F.length("c").alias("length"), "score")
 
 
 def redact(rows: DataFrame, forest: Model | None = None, id_column: str = "doc_id",
-           text: str = "text") -> DataFrame:
+           text: str = "text", path: str | None = None) -> DataFrame:
     """The rows with ``MASK`` in place of every secret; their other columns stay as they are."""
-    found = scan(rows, forest, id_column).groupBy(id_column, "text_hash").agg(
+    found = scan(rows, forest, id_column, text, path).groupBy(id_column, "text_hash").agg(
         F.collect_set("place").alias("_secret_places")
     ).withColumnsRenamed({id_column: "_secret_id", "text_hash": "_secret_hash"})
     same = F.col(id_column).eqNullSafe(F.col("_secret_id")) & (F.xxhash64(text) == F.col("_secret_hash"))
