@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -264,3 +265,21 @@ def test_exceptions_cancel_a_match():
     matcher = toxicity.Matcher(lexicon)
     assert matcher.score("you are trash") > 0.5 > matcher.score("a trash can")
     assert toxicity.Matcher(toxicity.Lexicon({})).score("anything") < 0.5
+
+
+def test_deep_and_untidy_pages_take_linear_time():
+    model = html_text.default_extractor()
+    n = 40_000
+    pages = ["<div class=a>text " * n, "".join(f"<div class=a{i}>t" for i in range(n)), "<section>" * n + "x</b></nav>" * n,
+             "<ul><li><ul>" + "<div>" * n + "<li>x</li>" * n, "<svg><foreignObject>" + "<g>" * n + "<div>x" * n]
+    for page in pages:
+        start = time.time()
+        model.text(page)
+        assert time.time() - start < 30
+
+
+def test_known_words_do_not_change_what_is_kept():
+    model = html_text.default_extractor()
+    for page, *_ in html_text.labelled_pages(40, seed=9):
+        whole, known = html_text.blocks_of(page), html_text.blocks_of(page, model.known)
+        assert [b[1:] for b in whole] == [b[1:] for b in known] and model.keep(whole) == model.keep(known)

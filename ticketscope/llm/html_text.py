@@ -9,7 +9,8 @@ every part is known.
 
 Scripts, styles, other raw elements and comments in the markup are no blocks. Character references
 are decoded, white space inside a block becomes one space, blocks are joined by a line feed. A
-null, empty or blockless page has an empty text. Pages that repeat are read each; extra columns
+null, empty or blockless page has an empty text. Reading takes time in proportion to the length of a
+page, however deep or untidy it is. Pages that repeat are read each; extra columns
 are ignored. Unclosed tags, comments and quotes end at the end of the page at the latest.
 """
 
@@ -88,9 +89,48 @@ def _words_of(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
-def blocks_of(page: str) -> list[tuple[tuple, str, float]]:
-    """(ancestors, text, share of its letters in links) of every block in page order."""
-    stack: list[tuple[str, tuple]] = []
+class _Open:
+    """The open elements: tag, words of the element, and words of it and all its ancestors.
+
+    Elements that add no word share the set of their parent, and the places of each tag are kept,
+    so that a page costs time in proportion to its length however deep it is.
+    """
+
+    def __init__(self, known: frozenset[str] | None):
+        self.known = known
+        self.stack: list[tuple[str, tuple, frozenset]] = []
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, tag: str, words: tuple[str, ...] = ()) -> None:
+        if self.known is not None:
+            words = tuple(w for w in words if w in self.known)
+        above = self.stack[-1][2] if self.stack else frozenset()
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, words, above if above.issuperset(words) else above.union(words)))
+
+    def cut(self, depth: int) -> None:
+        """Close all from ``depth`` on."""
+        for tag, _, _ in self.stack[depth:]:
+            self.places[tag].pop()
+        del self.stack[depth:]
+
+    def last(self, *tags: str) -> int:
+        """The place of the innermost element of these tags, -1 if none is open."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def path(self) -> tuple[frozenset, tuple, bool]:
+        """(words of all ancestors, words of the nearest, whether the place is deep)."""
+        _, near, words = self.stack[-1] if self.stack else ("", (), frozenset())
+        return words, near, len(self.stack) > 6
+
+
+def blocks_of(page: str, known: frozenset[str] | None = None) -> list[tuple[tuple, str, float]]:
+    """(ancestors, text, share of its letters in links) of every block in page order.
+
+    ``known`` are the words of elements that matter; without it all are kept.
+    """
+    opened = _Open(known)
+    stack = opened.stack
     found: list[Block] = []
     block: Block | None = None
     path: tuple | None = None
@@ -113,7 +153,7 @@ def blocks_of(page: str) -> list[tuple[tuple, str, float]]:
                 if not text.strip():
                     continue
                 if path is None:
-                    path = tuple(words for _, words in stack)
+                    path = opened.path()
                 block = Block(path)
                 found.append(block)
             text = html.unescape(text)
@@ -130,29 +170,28 @@ def blocks_of(page: str) -> list[tuple[tuple, str, float]]:
             continue
         if hiding is not None:
             if closing:
-                for depth in range(len(stack) - 1, -1, -1):
-                    if stack[depth][0] == tag:
-                        if depth < hiding:
-                            block, path, in_link = None, None, 0
-                        del stack[depth:]
-                        break
+                depth = opened.last(tag)
+                if depth >= 0:
+                    if depth < hiding:
+                        block, path, in_link = None, None, 0
+                    opened.cut(depth)
                 if len(stack) <= hiding:
                     hiding = None
                 continue
             if not (
                 tag in _OUTSIDE and stack[hiding][0] in ("svg", "select")
-                and not any(name == "foreignobject" for name, _ in stack[hiding:])
+                and opened.last("foreignobject") < hiding
             ):
                 alone = tag in _VOID or tag in _INLINE or (match.group(3) or match.group(6) or "").endswith("/")
                 if not alone:
-                    stack.append((tag, ()))
+                    opened.push(tag)
                 continue
-            del stack[hiding:]
+            opened.cut(hiding)
             hiding = None
         if tag in _HIDING and not closing:
             if not (match.group(3) or match.group(6) or "").endswith("/"):
                 hiding = len(stack)
-                stack.append((tag, ()))
+                opened.push(tag)
             continue
         if tag in _INLINE:
             if tag == "a":
@@ -162,24 +201,20 @@ def blocks_of(page: str) -> list[tuple[tuple, str, float]]:
             continue
         block, path, in_link = None, None, 0
         if closing:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    del stack[depth:]
-                    break
+            depth = opened.last(tag)
+            if depth >= 0:
+                opened.cut(depth)
             continue
         if stack and stack[-1][0] == "p":
-            stack.pop()
+            opened.cut(len(stack) - 1)
         if tag in _ENDS:
             ended, bound = _ENDS[tag]
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] in bound:
-                    break
-                if stack[depth][0] in ended:
-                    del stack[depth:]
-                    break
+            depth = opened.last(*ended)
+            if depth > opened.last(*bound):
+                opened.cut(depth)
         if tag not in _VOID:
             attributes = match.group(3) if match.group(2) else match.group(6)
-            stack.append((tag, _words_of(tag, attributes or "")))
+            opened.push(tag, _words_of(tag, attributes or ""))
     result = []
     for block in found:
         raw = "".join(block.parts)
@@ -191,10 +226,8 @@ def blocks_of(page: str) -> list[tuple[tuple, str, float]]:
 
 @functools.lru_cache(maxsize=50_000)
 def _path_features(path: tuple) -> tuple[str, ...]:
-    words = {w for element in path for w in element}
-    near = path[-1] if path else ()
-    found = words | {"own " + w for w in near}
-    found.add("deep" if len(path) > 6 else "flat")
+    words, near, deep = path
+    found = words | {"own " + w for w in near} | {"deep" if deep else "flat"}
     return tuple(sorted(found))
 
 
@@ -217,6 +250,7 @@ class Extractor:
 
     def __init__(self, weights: dict[str, float], moves: list[list[float]]):
         self.weights, self.moves = weights, moves
+        self.known = frozenset(name.removeprefix("own ") for name in weights)
         self.paths: dict[tuple, float] = {}
 
     def _score(self, path: tuple) -> float:
@@ -250,7 +284,7 @@ class Extractor:
         return [x == 1 for x in reversed(labels)][:n]
 
     def text(self, page: str | None) -> str:
-        blocks = blocks_of(page or "")
+        blocks = blocks_of(page or "", self.known)
         if not blocks:
             return ""
         return "\n".join(b[1] for b, kept in zip(blocks, self.keep(blocks)) if kept)
