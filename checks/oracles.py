@@ -504,6 +504,10 @@ def oracle_sql() -> dict[str, str]:
         "summary_sheet": _SHEET,
         "dq_required_columns": _dq_report(missing="Company"),
         "dq_report": _dq_report(),
+        "dq_no_rows": _RAW + """SELECT 'record_count' AS check_name, '' AS column_name, 'info' AS severity,
+                   count(*) AS finding_count, count(*)::VARCHAR || ' records' AS message
+            FROM b WHERE "Site" = 'no such site'
+            UNION ALL SELECT 'no_data', '', 'error', 0::BIGINT, 'No data found in file'""",
         "dq_completeness": _RAW + _COMPLETENESS,
         "dq_unexpected_priority": _RAW
         + f'SELECT DISTINCT "Priority" FROM b WHERE "Priority" NOT IN {_ALL_PRIORITIES}',

@@ -301,6 +301,7 @@ def queries() -> dict[str, Query]:
         # Data quality
         "dq_required_columns": _missing_company,
         "dq_report": _on_raw(quality.validate),
+        "dq_no_rows": _on_raw(lambda r: quality.validate(r.filter("Site = 'no such site'"))),
         "dq_completeness": _on_raw(quality.completeness),
         "dq_unexpected_priority": _on_raw(quality.unexpected_priorities),
         "dq_duplicates": _on_raw(quality.duplicate_numbers),
