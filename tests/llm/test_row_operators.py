@@ -123,13 +123,72 @@ def test_changed_questions_are_found_and_others_left_alone(spark):
         [(4, ITEM), (9, ITEM), (5, None), (6, "two words"), (7, "alpha beta gamma delta"), (None, "x")],
         "item_id long, text string")
     found = {r.doc_id: (r.item_id, r.changed) for r in decontaminate.contaminated(documents, items).collect()}
-    # Anna twice, once as Maria: one name stands for two people, which is another text.
-    assert found == {0: (4, 0), 1: (4, 3), 3: (4, 2), 8: (4, 0)}
-    assert sorted(r.doc_id for r in decontaminate.clean(documents, items).collect()) == [2, 4, 5, 6, 7, 9]
+    # Anna twice, once as Maria: the windows with Maria do not count, the literal ones around her do.
+    assert found == {0: (4, 0), 1: (4, 3), 2: (4, 0), 3: (4, 2), 8: (4, 0)}
+    assert sorted(r.doc_id for r in decontaminate.clean(documents, items).collect()) == [4, 5, 6, 7, 9]
     assert decontaminate.contaminated(documents, items.limit(0)).count() == 0
     assert decontaminate.contaminated(documents.limit(0), items).count() == 0
 
 
+RED = "Tom has 5 red apples. Tom buys 3 more apples. Tom eats 2 green pears. Tom shares the rest. How many are left?"
+YEAR = "In which year did Anna Karenina appear and who of Tolstoy, Gogol or Pushkin wrote it first?"
+COINS = "A box holds 2 coins of silver and a bag holds 2 coins of gold while the thief takes one coin away every night"
+LEAKS = [  # item, text, whether the text holds the item
+    ("Compute 3, 5, 8, 13, 21, 34 and 55.", "So: compute 3, 5, 8, 13, 21, 34 and 55!", True),
+    ("Compute 3, 5, 8, 13, 21, 34 and 55.", "Compute 4, 6, 9, 14, 22, 35 and 56.", False),
+    ("What is love?", "They sang: what is love, baby", True),
+    ("What is love?", "What is hate?", False),
+    ("Why?", "why", True), ("Why?", "Why not?", False), ("?!", "?!", False),
+    (RED, RED.replace("Tom", "Bob"), True),
+    (RED, RED.replace("Tom", "Bob").replace("5", "6").replace("3", "9"), True),
+    (RED, "Tom has a dog. Tom buys a cat. Tom eats cake. How many are there?", False),
+    (YEAR, YEAR.lower(), True), (YEAR, YEAR.upper(), True), (YEAR, YEAR.replace(" ", "\n"), True),
+    (COINS, COINS.replace("2 coins of gold", "3 coins of gold"), True),
+    (COINS, COINS.replace("2 coins of silver", "7 coins of silver").replace("2 coins of gold", "9 coins of gold"), True),
+    ("What is the capital of France?", "Paris is the capital of Spain?", False),
+    ("What is the capital of France?", "What is the capital of Spain?", True),
+    ("\u4eca\u5929\u5929\u6c14\u600e\u4e48\u6837", "\u95ee\uff1a\u4eca\u5929\u5929\u6c14\u600e\u4e48\u6837\u5440", True),
+    ("Was kostet der Apfel im Laden an der Ecke heute?", "was kostet der apfel im laden an der ecke heute", True),
+    ("one two three four five six seven eight", "1 2 3 4 5 6 7 8", False),
+]
+
+
+@pytest.fixture(scope="module")
+def leak_tables(spark, tmp_path_factory):
+    """The hand-made table: each item with its own texts, and each text in front of a very long one too."""
+    folder = str(tmp_path_factory.mktemp("leaks"))
+    items = sorted({item for item, _, _ in LEAKS})
+    texts = [text for _, text, _ in LEAKS]
+    long = "1,2," * 50_000 + " filler" * 100_000
+    texts += [f"{text} {long}" for text in texts[:1]] + [None, "", "!!", texts[0]]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame(
+        [(i, t, "x", "y") for i, t in enumerate(texts)], "doc_id long, text string, item_id string, h string"
+    ).write.parquet(f"{folder}/documents.parquet")
+    return folder, items
+
+
+def test_hand_made_leaks(spark, leak_tables):
+    folder, items = leak_tables
+    result = decontaminate.op4_decontaminate(spark, folder)
+    found = {(r.doc_id, items[r.item_id]) for r in result.collect()}
+    for i, (item, text, held) in enumerate(LEAKS):
+        assert ((i, item) in found) == held, (item, text)
+    n = len(LEAKS)
+    assert {i for i, _ in found if i >= n} == {n, n + 4}
+
+
+def test_hand_made_leaks_equal_sql(spark, leak_tables):
+    import duckdb
+
+    folder, _ = leak_tables
+    con = duckdb.connect()
+    for name in ("benchmark", "documents"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet/*.parquet'")
+    assert differences(
+        decontaminate.op4_decontaminate(spark, folder), con, queries.oracle_sql()["op4_decontaminate"]) == []
+
+
 def test_large_benchmarks_take_the_shuffled_way(spark, monkeypatch):
     documents, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     expected = sorted(map(tuple, decontaminate.contaminated(documents, items).collect()))

@@ -1,40 +1,53 @@
 """Operator 4: benchmark decontamination by template canonicalisation. DataFrame functions only.
 
 Numbers, names and units become typed placeholders, every other word its lower case. Windows of
-eight such tokens of the documents meet those of the benchmark items by a hash join. Matches of a
-document and an item on the same diagonal (equal distance of positions) belong together; their
-slots must be consistent: each value in the item stands for one value in the document and the
-other way round. So a question whose numbers or names were changed is found, while texts that
-merely share a form are not. A document is contaminated by an item if consistent windows cover at
-least half of its tokens.
+eight such tokens of the documents meet those of the benchmark items by a hash join. Beside its
+template a window has its literal form, all tokens in lower case, and meets equal ones by that too.
+Matches of a document and an item on the same diagonal (equal distance of positions) belong
+together. Literal windows always count. A window with changed slots counts if its slots are
+consistent with the rest: each value of the item stands for one value of the document and the other
+way round. Where values disagree, the pair at most positions wins (then the unchanged one, then the
+first by value), and windows with another pair are left out; the others stay. So a
+question whose numbers or names were changed is found, while texts that merely share a form are
+not. A document is contaminated by an item if the windows that count cover at least half of its
+tokens.
+
+Items of fewer than eight tokens are one window of their own length; one or two tokens match only a
+text that holds nothing else, an item without tokens matches nothing. Templates have at least four
+tokens, half of them words: placeholders alone are no question. Number-heavy and short items are
+found where they stand literally. A name is a capitalised word that is no function word, wherever
+it stands. Signs of scripts without spaces are a token each.
 
 Only windows that some item has leave the document's row, as long as the items have at most
-``SET_WINDOWS`` windows; with more, all windows are shuffled. Items of four to seven tokens are one
-window of their own length, shorter ones match nothing. Windows need half of their tokens to be
-words. A name is a capitalised word that does not begin a sentence.
+``SET_WINDOWS`` windows; with more, all windows are shuffled.
 
 Documents and items without text or id take no part. Documents that repeat an id count as one,
 items with equal text as the one with the smallest id. Extra columns are ignored; empty tables
-give an empty result.
+give an empty result. Ties between diagonals go to the smallest.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ticketscope.llm.common import stored, table
 
 WINDOW = 8
-SHORTEST = 4
+SHORTEST_TEMPLATE = 4
+SHORTEST_INSIDE = 3
 MIN_SHARE = 0.5
 SET_WINDOWS = 50_000
 _LEAD = 3
 
-_TOKEN = r"\p{L}[\p{L}\p{M}]*|\p{N}+(?:[.,]\p{N}+)*|[%$€£]|[.!?\n]"
-_ENDS = (".", "!", "?", "\n")
+# Kana, Han, Thai, Lao, Burmese and Khmer are written without spaces.
+_SOLO = r"\x{0e00}-\x{0eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{3041}-\x{30ff}\x{3400}-\x{9fff}\x{20000}-\x{323af}"
+_NUMBER = r"\p{N}+(?:[.,]\p{N}+)*"
+# Possessive, as Java would otherwise need stack for every group of digits.
+_TOKEN = rf"{_NUMBER}+|[{_SOLO}]\p{{M}}*|[\p{{L}}&&[^{_SOLO}]][\p{{L}}\p{{M}}&&[^{_SOLO}]]*|[%$€£]"
+_TOKEN_SQL = rf"{_NUMBER}|[{_SOLO}]\p{{M}}*|[^\P{{L}}{_SOLO}](?:[^\P{{L}}{_SOLO}]|[^\P{{M}}{_SOLO}])*|[%$€£]"
 UNITS = (
     "%", "$", "€", "£", "percent", "dollar", "dollars", "euro", "euros", "cent", "cents", "pound",
     "pounds", "mm", "cm", "m", "km", "metre", "metres", "meter", "meters", "kilometre",
@@ -50,31 +63,42 @@ NUMBER_WORDS = (
     "thousand", "million", "billion",
 )
 
+# Capitalised at the beginning of a sentence, and still no names.
+FUNCTION_WORDS = (
+    "a", "about", "after", "all", "also", "although", "among", "an", "and", "any", "are", "as", "at", "because",
+    "before", "between", "both", "but", "by", "can", "compute", "could", "did", "do", "does", "during", "each", "either",
+    "every", "find", "for", "from", "given", "had", "has", "have", "he", "her", "here", "his", "how", "if", "in", "into",
+    "is", "it", "its", "let", "many", "may", "more", "most", "must", "my", "no", "not", "of", "on", "one", "or", "our",
+    "over", "she", "should", "since", "so", "some", "such", "suppose", "than", "that", "the", "their", "then", "there",
+    "these", "they", "this", "those", "through", "to", "under", "until", "was", "we", "were", "what", "when", "where",
+    "which", "while", "who", "whom", "whose", "why", "will", "with", "would", "you", "your",
+    "aber", "auf", "aus", "das", "dem", "den", "der", "die", "ein", "eine", "er", "es", "ist", "mit", "sie", "und",
+    "von", "wann", "warum", "was", "welche", "welcher", "welches", "wenn", "wer", "wie", "wir", "wo", "zu",
+    "au", "aux", "avec", "ce", "cette", "combien", "comment", "dans", "des", "du", "elle", "est", "et", "il", "la",
+    "le", "les", "pour", "pourquoi", "quand", "que", "quel", "quelle", "qui", "si", "un", "une",
+    "como", "con", "cual", "cuando", "donde", "el", "ella", "en", "los", "las", "para", "por", "una", "y",
+)
+
 
 def templates(text: Column) -> Column:
     """Array of (c, v): the canonical form of each token, and its lower case."""
-    found = F.regexp_extract_all(text, F.lit(_TOKEN), 0)
 
-    def form(tokens: Column, lows: Column, token: Column, place: Column) -> Column:
-        low = F.get(lows, place)
-        inner = F.substring(token, 2, 1_000_000)
+    def form(token: Column, low: Column) -> Column:
+        rest = F.substring(token, F.lit(2), F.length(token))
         name = (
-            (low != token) & (place > 0) & ~F.get(tokens, place - 1).isin(*_ENDS)
-            & (F.length(token) > 1) & (inner == F.lower(inner))
+            (low != token) & (F.length(token) > 1) & (rest == F.lower(rest)) & ~low.isin(*FUNCTION_WORDS)
         )
         canonical = (
-            F.when((token >= "0") & (token < ":"), "#n")
-            .when(low.isin(*NUMBER_WORDS, *UNITS), F.when(low.isin(*UNITS), "#u").otherwise("#n"))
-            .when(name, "#p").otherwise(low)
+            F.when((token >= "0") & (token < ":"), "#n").when(low.isin(*NUMBER_WORDS), "#n")
+            .when(low.isin(*UNITS), "#u").when(name, "#p").otherwise(low)
         )
-        return F.when(~token.isin(*_ENDS), F.struct(canonical.alias("c"), low.alias("v")))
+        return F.struct(canonical.alias("c"), low.alias("v"))
 
-    # Lambda variables hold the tokens and their lower case, so that both are made once.
-    pairs = _once(found, lambda tokens: _once(
-        F.transform(tokens, F.lower),
-        lambda lows: F.transform(tokens, lambda t, i: form(tokens, lows, t, i)),
-    ))
-    return F.filter(pairs, lambda pair: pair.isNotNull())
+    found = F.regexp_extract_all(text, F.lit(_TOKEN), 0)
+    return F.transform(
+        F.transform(found, lambda t: F.struct(t.alias("t"), F.lower(t).alias("low"))),
+        lambda p: form(p.getField("t"), p.getField("low")),
+    )
 
 
 def _once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -82,70 +106,82 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def _hash(tokens: Column, place: Column, size: int) -> Column:
-    return F.xxhash64(*[F.get(tokens, place + k).getField("c") for k in range(size)])
+def _hash(tokens: Column, place: Column, size: int, field: str) -> Column:
+    return F.xxhash64(*[F.get(tokens, place + k).getField(field) for k in range(size)])
 
 
 def _places(tokens: Column, size: int) -> Column:
+    """Where a window can begin; a very short one has to be the whole text."""
     last = F.size(tokens) - size
-    return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    fits = last >= 0 if size >= SHORTEST_INSIDE else last == 0
+    return F.when(fits, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
 
 
 def item_windows(items: DataFrame, id_column: str = "item_id", text: str = "text") -> DataFrame:
-    """(item_id, item_words, size, ipos, h, iwin) of the benchmark."""
+    """(item_id, item_words, size, ipos, iwin, kind, h) of the benchmark; kind c is the template, v literal."""
     unique = (
         items.filter(F.col(id_column).isNotNull() & F.col(text).isNotNull())
         .groupBy(F.col(text).alias("t")).agg(F.min(id_column).alias("item_id"))
         .select("item_id", templates(F.col("t")).alias("tokens"))
     )
-    unique = unique.withColumn("item_words", F.size("tokens")).filter(F.col("item_words") >= SHORTEST)
+    unique = unique.withColumn("item_words", F.size("tokens")).filter("item_words > 0")
+    words = F.size(F.filter("iwin", lambda p: ~p.getField("c").startswith("#")))
     found = None
-    for size in range(SHORTEST, WINDOW + 1):
+    for size in range(1, WINDOW + 1):
         some = unique.filter(
             F.col("item_words") >= size if size == WINDOW else F.col("item_words") == size
         )
+        kinds = [
+            F.struct(F.lit(kind).alias("kind"), _hash(F.col("iwin"), F.lit(0), size, kind).alias("h"))
+            for kind in ("c", "v")
+        ]
         rows = some.select(
-            "item_id", "item_words", "tokens", F.explode_outer(_places(F.col("tokens"), size)).alias("ipos")
-        ).select(
-            "item_id", "item_words", F.lit(size).alias("size"), "ipos",
-            _hash(F.col("tokens"), F.col("ipos"), size).alias("h"),
-            F.slice("tokens", F.col("ipos") + 1, size).alias("iwin"),
+            "item_id", "item_words", F.lit(size).alias("size"), "tokens",
+            F.explode(_places(F.col("tokens"), size)).alias("ipos"),
+        ).withColumn("iwin", F.slice("tokens", F.col("ipos") + 1, size)).select(
+            "item_id", "item_words", "size", "ipos", "iwin", F.inline(F.array(*kinds)),
         )
         found = rows if found is None else found.union(rows)
-    words = F.size(F.filter("iwin", lambda p: ~p.getField("c").startswith("#")))
-    return found.filter(2 * words >= F.col("size"))
+    template = (2 * words >= F.col("size")) & (F.col("size") >= SHORTEST_TEMPLATE)
+    return found.filter((F.col("kind") == "v") | template)
 
 
 def document_windows(
-    documents: DataFrame, size: int, wanted: tuple[list[int], list[int]] | None,
+    documents: DataFrame, sizes: list[int], wanted: dict[tuple[int, str], tuple[list[int], list[int]]] | None,
     id_column: str = "doc_id", text: str = "text",
 ) -> DataFrame:
-    """(id, dpos, h, dwin) of the windows whose hash is ``wanted`` (None: of all).
+    """(id, dpos, dwin, kind, h) of the windows whose hash is ``wanted`` (None: of all).
 
-    ``wanted`` are the hashes of the first three tokens of the items' windows, and of whole
-    windows: the first set spares most windows the longer hash.
+    ``wanted`` has, by size and kind, the hashes of the first three tokens of the items' windows, and
+    of whole windows: the first set spares most windows the longer hash.
     """
     rows = documents.filter(F.col(id_column).isNotNull() & F.col(text).isNotNull()).select(
         id_column, templates(F.col(text)).alias("tokens")
     )
 
-    def chosen(tokens: Column) -> Column:
+    def some(tokens: Column, size: int) -> Column:
+        def matches(place: Column) -> Column:
+            found = F.lit(False)
+            for kind in ("c", "v"):
+                if (size, kind) in wanted:
+                    leads, hashes = wanted[size, kind]
+                    lead = _hash(tokens, place, min(_LEAD, size), kind).isin(leads)
+                    found |= lead & _hash(tokens, place, size, kind).isin(hashes)
+            return found
+
         places = _places(tokens, size)
         if wanted is not None:
-            places = F.filter(
-                places,
-                lambda i: _hash(tokens, i, _LEAD).isin(wanted[0]) & _hash(tokens, i, size).isin(wanted[1]),
-            )
-        return F.transform(
-            places, lambda i: F.struct(i.alias("dpos"), _hash(tokens, i, size).alias("h"),
-                                       F.slice(tokens, i + 1, size).alias("dwin"))
-        )
+            places = F.filter(places, matches)
+        return F.transform(places, lambda i: F.struct(
+            i.alias("dpos"), F.slice(tokens, i + 1, size).alias("dwin"),
+            *[_hash(tokens, i, size, kind).alias(kind) for kind in ("c", "v")],
+        ))
 
-    found = rows.select(
-        id_column,
-        F.explode_outer(F.flatten(F.transform(F.array("tokens"), chosen))).alias("w"),
-    )
-    return found.filter(F.col("w").isNotNull()).select(id_column, "w.*")
+    windows = _once(F.col("tokens"), lambda tokens: F.concat(*[some(tokens, size) for size in sizes]))
+    kinds = [F.struct(F.lit(kind).alias("kind"), F.col(f"w.{kind}").alias("h")) for kind in ("c", "v")]
+    # Outer, as an inner explode would make the optimizer compute the array a second time for a filter.
+    found = rows.select(id_column, F.explode_outer(windows).alias("w")).filter(F.col("w").isNotNull())
+    return found.select(id_column, "w.dpos", "w.dwin", F.inline(F.array(*kinds)))
 
 
 def contaminated(documents: DataFrame, items: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -154,51 +190,63 @@ def contaminated(documents: DataFrame, items: DataFrame, id_column: str = "doc_i
     ``covered`` tokens of the item are matched, ``changed`` slot values differ from the item's.
     """
     windows = stored(item_windows(items))
-    counts = {r["size"]: r["n"] for r in windows.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
-    small = sum(counts.values()) <= SET_WINDOWS
-    matched = None
-    for size in sorted(counts) or [WINDOW]:
-        own = windows.filter(F.col("size") == size)
-        wanted = None
-        if small:
-            lead = _hash(F.col("iwin"), F.lit(0), _LEAD)
-            rows = own.select(lead.alias("lead"), "h").distinct().collect()
-            wanted = sorted({r.lead for r in rows}), sorted({r.h for r in rows})
-        found = document_windows(documents, size, wanted, id_column)
-        joined = found.join(F.broadcast(own) if small else own, "h")
-        matched = joined if matched is None else matched.unionByName(joined)
-    forms = [F.transform(w, lambda p: p.getField("c")) for w in ("iwin", "dwin")]
+    counts = windows.groupBy("size", "kind").agg(F.count(F.lit(1)).alias("n")).collect()
+    sizes = sorted({r["size"] for r in counts}) or [WINDOW]
+    wanted = None
+    if sum(r["n"] for r in counts) <= 2 * SET_WINDOWS:
+        lead = F.when(F.lit(False), F.lit(0).cast("long"))
+        for size in sizes:
+            for kind in ("c", "v"):
+                own = _hash(F.col("iwin"), F.lit(0), min(_LEAD, size), kind)
+                lead = lead.when((F.col("size") == size) & (F.col("kind") == kind), own)
+        sets: dict = {}
+        for r in windows.select("size", "kind", lead.alias("lead"), "h").distinct().collect():
+            leads, hashes = sets.setdefault((r["size"], r.kind), (set(), set()))
+            leads.add(r.lead)
+            hashes.add(r.h)
+        wanted = {key: (sorted(leads), sorted(hashes)) for key, (leads, hashes) in sets.items()}
+    found = document_windows(documents, sizes, wanted, id_column)
+    matched = found.join(F.broadcast(windows) if wanted is not None else windows, ["kind", "h"])
+
+    def values(window: str, field: str) -> Column:
+        return F.transform(window, lambda p: p.getField(field))
+
+    literal = values("iwin", "v") == values("dwin", "v")
+    equal = F.when(F.col("kind") == "v", literal).otherwise(values("iwin", "c") == values("dwin", "c"))
     zipped = F.arrays_zip(F.col("iwin").alias("i"), F.col("dwin").alias("d"))
-    slots = F.transform(
-        F.filter(zipped, lambda z: z.getField("i").getField("c").startswith("#")),
-        lambda z: F.struct(
-            z.getField("i").getField("c").alias("c"), z.getField("i").getField("v").alias("iv"),
-            z.getField("d").getField("v").alias("dv"),
-        ),
-    )
-    places = F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda k: F.col("ipos") + k)
-    rows = matched.filter(forms[0] == forms[1]).select(
-        id_column, "item_id", "item_words", (F.col("dpos") - F.col("ipos")).alias("diagonal"),
-        slots.alias("slots"), places.alias("places"),
-    )
+    slots = F.transform(zipped, lambda z, k: F.struct(
+        (F.col("ipos") + k).alias("place"), z.getField("i").getField("c").alias("c"),
+        z.getField("i").getField("v").alias("iv"), z.getField("d").getField("v").alias("dv"),
+    ))
     keys = [id_column, "item_id", "item_words", "diagonal"]
-    pairs = F.array_distinct(F.flatten(F.collect_set("slots")))
-    grouped = rows.groupBy(*keys).agg(
-        pairs.alias("pairs"), F.size(F.array_distinct(F.flatten(F.collect_set("places")))).alias("covered")
+    rows = (
+        matched.filter(equal).select(
+            id_column, "item_id", "item_words", (F.col("dpos") - F.col("ipos")).alias("diagonal"), "ipos",
+            literal.alias("literal"), slots.alias("slots"),
+        )
+        # One shuffle: everything below is per diagonal, which has no more windows than its item.
+        .repartition(*keys).distinct()
+    )
+    flat = rows.select(*keys, "ipos", "literal", F.inline("slots")).withColumn(
+        "votes", F.size(F.collect_set("place").over(Window.partitionBy(*keys, "c", "iv", "dv")))
     )
 
-    def distinct(name: str) -> Column:
-        return F.size(F.array_distinct(F.transform("pairs", lambda p: F.struct(p.getField("c"), p.getField(name)))))
-
-    consistent = (distinct("iv") == F.size("pairs")) & (distinct("dv") == F.size("pairs"))
-    enough = F.col("covered") >= MIN_SHARE * F.col("item_words")
-    changed = F.size(F.filter("pairs", lambda p: p.getField("iv") != p.getField("dv")))
-    best = F.max_by(
-        F.struct("covered", changed.alias("changed")), F.struct("covered", -F.col("diagonal"))
+    def best(of: str, by: str) -> Column:
+        order = [F.desc("votes"), F.desc(F.col("iv") == F.col("dv")), F.asc(of)]
+        return F.first(of).over(Window.partitionBy(*keys, "c", by).orderBy(*order))
+
+    agreed = (best("dv", "iv") == F.col("dv")) & (best("iv", "dv") == F.col("iv"))
+    slot = F.col("c").startswith("#")
+    sound = F.min(~slot | F.col("agreed")).over(Window.partitionBy(*keys, "ipos"))
+    kept = flat.withColumn("agreed", agreed).withColumn("sound", sound).filter(F.col("literal") | F.col("sound"))
+    grouped = kept.groupBy(*keys).agg(
+        F.size(F.collect_set("place")).alias("covered"),
+        F.size(F.collect_set(F.when(slot & (F.col("iv") != F.col("dv")), F.struct("c", "iv", "dv")))).alias("changed"),
     )
+    most = F.max_by(F.struct("covered", "changed"), F.struct("covered", -F.col("diagonal")))
     return (
-        grouped.filter(consistent & enough).groupBy(id_column, "item_id", "item_words")
-        .agg(best.alias("b")).select(id_column, "item_id", "item_words", "b.covered", "b.changed")
+        grouped.filter(F.col("covered") >= MIN_SHARE * F.col("item_words")).groupBy(*keys[:3])
+        .agg(most.alias("b")).select(*keys[:3], "b.covered", "b.changed")
     )
 
 
@@ -213,25 +261,20 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_list(values: tuple[str, ...]) -> str:
-    return ", ".join("'" + v.replace("\n", "' || chr(10) || '") + "'" for v in values)
+    return ", ".join(f"'{v}'" for v in values)
 
 
 def _sql_tokens(source: str, key: str) -> str:
-    """SQL for one row per token that is no sentence end: (key, pos, c, v)."""
-    token = _TOKEN.replace("\n", "\\n")
-    ends = "'.', '!', '?', chr(10)"
+    """SQL for one row per token: (key, pos, c, v)."""
     return f"""
-    SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY place) - 1 AS pos, c, v FROM (
-        SELECT {key}, place, lower(t) AS v, t,
-            CASE WHEN t >= '0' AND t < ':' THEN '#n' WHEN lower(t) IN ({_sql_list(NUMBER_WORDS)}) THEN '#n'
-                 WHEN lower(t) IN ({_sql_list(UNITS)}) THEN '#u'
-                 WHEN before IS NOT NULL AND before NOT IN ({ends}) AND lower(t) <> t AND length(t) > 1
-                      AND substr(t, 2) = lower(substr(t, 2)) THEN '#p'
-                 ELSE lower(t) END AS c
-        FROM (SELECT {key}, place, t, lag(t) OVER (PARTITION BY {key} ORDER BY place) AS before
-              FROM (SELECT {key}, unnest(l) AS t, generate_subscripts(l, 1) AS place
-                    FROM (SELECT {key}, regexp_extract_all(text, '{token}') AS l FROM {source})))
-        WHERE t NOT IN ({ends}))"""
+    SELECT {key}, place - 1 AS pos, lower(t) AS v,
+        CASE WHEN t >= '0' AND t < ':' THEN '#n' WHEN lower(t) IN ({_sql_list(NUMBER_WORDS)}) THEN '#n'
+             WHEN lower(t) IN ({_sql_list(UNITS)}) THEN '#u'
+             WHEN lower(t) <> t AND length(t) > 1 AND substr(t, 2) = lower(substr(t, 2))
+                  AND lower(t) NOT IN ({_sql_list(FUNCTION_WORDS)}) THEN '#p'
+             ELSE lower(t) END AS c
+    FROM (SELECT {key}, unnest(l) AS t, generate_subscripts(l, 1) AS place
+          FROM (SELECT {key}, regexp_extract_all(text, '{_TOKEN_SQL}') AS l FROM {source}))"""
 
 
 def _sql_windows(tokens: str, key: str) -> str:
@@ -241,10 +284,11 @@ def _sql_windows(tokens: str, key: str) -> str:
             list(c) OVER (PARTITION BY {key} ORDER BY pos ROWS BETWEEN CURRENT ROW AND {size - 1} FOLLOWING) AS cs,
             list(v) OVER (PARTITION BY {key} ORDER BY pos ROWS BETWEEN CURRENT ROW AND {size - 1} FOLLOWING) AS vs
             FROM {tokens}) WHERE len(cs) = {size}"""
-        for size in range(SHORTEST, WINDOW + 1)
+        for size in range(1, WINDOW + 1)
     )
 
 
+_KEYS = "doc_id, item_id, item_words, diagonal"
 ORACLE_SQL = f"""
 WITH items AS (SELECT min(item_id) AS item_id, text FROM benchmark
                WHERE text IS NOT NULL AND item_id IS NOT NULL GROUP BY text),
@@ -252,23 +296,33 @@ docs AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND doc_id IS
 it AS ({_sql_tokens('items', 'item_id')}),
 dt AS ({_sql_tokens('docs', 'doc_id')}),
 n AS (SELECT item_id, count(*) AS item_words FROM it GROUP BY item_id),
-iw AS (SELECT w.*, n.item_words FROM ({_sql_windows('it', 'item_id')}) w JOIN n USING (item_id)
-       WHERE (CASE WHEN item_words >= {WINDOW} THEN size = {WINDOW} ELSE size = item_words END)
-         AND 2 * len(list_filter(cs, lambda x: NOT starts_with(x, '#'))) >= size),
-dw AS ({_sql_windows('dt', 'doc_id')}),
+dn AS (SELECT doc_id, count(*) AS doc_words FROM dt GROUP BY doc_id),
+iw AS (SELECT w.*, n.item_words, size >= {SHORTEST_TEMPLATE}
+              AND 2 * len(list_filter(cs, lambda x: NOT starts_with(x, '#'))) >= size AS template
+       FROM ({_sql_windows('it', 'item_id')}) w JOIN n USING (item_id)
+       WHERE CASE WHEN item_words >= {WINDOW} THEN size = {WINDOW} ELSE size = item_words END),
+dw AS (SELECT w.* FROM ({_sql_windows('dt', 'doc_id')}) w JOIN dn USING (doc_id)
+       WHERE size >= {SHORTEST_INSIDE} OR size = doc_words),
 m AS (SELECT dw.doc_id, iw.item_id, iw.item_words, dw.pos - iw.pos AS diagonal, iw.pos AS ipos,
              iw.size, iw.cs, iw.vs AS ivs, dw.vs AS dvs
-      FROM dw JOIN iw ON dw.size = iw.size AND dw.cs = iw.cs),
-x AS (SELECT doc_id, item_id, item_words, diagonal, ipos + k - 1 AS place, cs[k] AS c, ivs[k] AS iv, dvs[k] AS dv
-      FROM (SELECT *, unnest(range(1, size + 1)) AS k FROM m)),
-g AS (SELECT doc_id, item_id, item_words, diagonal, count(DISTINCT place) AS covered,
-             count(DISTINCT CASE WHEN starts_with(c, '#') THEN (c, iv, dv) END) AS pairs,
-             count(DISTINCT CASE WHEN starts_with(c, '#') THEN (c, iv) END) AS ivs,
-             count(DISTINCT CASE WHEN starts_with(c, '#') THEN (c, dv) END) AS dvs,
+      FROM dw JOIN iw ON dw.size = iw.size AND dw.cs = iw.cs AND iw.template
+      UNION
+      SELECT dw.doc_id, iw.item_id, iw.item_words, dw.pos - iw.pos AS diagonal, iw.pos AS ipos,
+             iw.size, iw.cs, iw.vs AS ivs, dw.vs AS dvs
+      FROM dw JOIN iw ON dw.size = iw.size AND dw.vs = iw.vs),
+x AS (SELECT {_KEYS}, ipos, literal, ipos + k - 1 AS place, cs[k] AS c, ivs[k] AS iv, dvs[k] AS dv
+      FROM (SELECT *, ivs = dvs AS literal, unnest(range(1, size + 1)) AS k FROM m)),
+v AS (SELECT *, count(DISTINCT place) OVER (PARTITION BY {_KEYS}, c, iv, dv) AS votes FROM x),
+a AS (SELECT *, dv = first_value(dv) OVER (PARTITION BY {_KEYS}, c, iv ORDER BY votes DESC, (iv = dv) DESC, dv)
+            AND iv = first_value(iv) OVER (PARTITION BY {_KEYS}, c, dv ORDER BY votes DESC, (iv = dv) DESC, iv) AS agreed
+      FROM v),
+k AS (SELECT *, min(CAST(agreed OR NOT starts_with(c, '#') AS INTEGER)) OVER (PARTITION BY {_KEYS}, ipos) AS sound
+      FROM a),
+g AS (SELECT {_KEYS}, count(DISTINCT place) AS covered,
              count(DISTINCT CASE WHEN starts_with(c, '#') AND iv <> dv THEN (c, iv, dv) END) AS changed
-      FROM x GROUP BY ALL),
+      FROM k WHERE literal OR sound = 1 GROUP BY {_KEYS}),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY covered DESC, diagonal) AS o
-      FROM g WHERE pairs = ivs AND pairs = dvs AND covered >= {MIN_SHARE} * item_words)
+      FROM g WHERE covered >= {MIN_SHARE} * item_words)
 SELECT doc_id, item_id, CAST(item_words AS INTEGER) AS item_words, CAST(covered AS INTEGER) AS covered,
        CAST(changed AS INTEGER) AS changed FROM r WHERE o = 1
 """
