@@ -30,9 +30,8 @@ from pyspark.sql import functions as F
 
 from ticketscope.llm.common import slices, stored, table
 
-# Bounds of the sample that is learned from: texts of each label, and entries kept.
+# Bound of the sample that is learned from: texts of each label. Entries are as many as it supports.
 TRAIN_TEXTS = 4_000
-ENTRIES = 4_000
 # An entry needs so many toxic texts of the sample, however large it is.
 SUPPORT = 4
 MIN_WEIGHT = 2.5
@@ -230,7 +229,7 @@ def learn(documents: DataFrame, labels: DataFrame) -> Lexicon:
         _counted(sample, "entry", lambda text: {e for w in set(fold(text)) for e in entries_of(w)})
         .filter(F.col("bad") >= SUPPORT).withColumn("weight", weight)
         .filter(F.col("weight") >= MIN_WEIGHT)
-        .orderBy(F.desc(F.col("bad") * F.col("weight")), "entry").limit(ENTRIES)
+        .orderBy(F.desc(F.col("bad") * F.col("weight")), "entry")
     )
     weights = {r.entry: r.weight for r in ranked.collect()}
     # A longer beginning is of no use where a shorter one weighs as much.
@@ -253,7 +252,7 @@ def learn(documents: DataFrame, labels: DataFrame) -> Lexicon:
 
     harmless = (
         _counted(sample, "phrase", phrases).filter((F.col("bad") == 0) & (F.col("good") >= 2))
-        .orderBy(F.desc("good"), "phrase").limit(ENTRIES)
+        .orderBy(F.desc("good"), "phrase")
     )
     exceptions = tuple(sorted({r.phrase for r in harmless.collect()} | set(EXCEPTIONS)))
     return Lexicon(weights, exceptions, _fit(sample, Lexicon(weights, exceptions), labels))
