@@ -307,6 +307,30 @@ def test_top_k_of_huge_components(spark):
     assert found == sorted(expected)
 
 
+def test_annuli_ahead_are_left_out_as_the_bar_rises(spark, monkeypatch):
+    monkeypatch.setattr(pivots, "ANNULUS", 20)
+    monkeypatch.setattr(pivots, "WAVE", 1)
+    met = []
+
+    def counted(pairs, *rest, best_in=pivots.best_in):
+        met.append(pairs.count())
+        return best_in(pairs, *rest)
+
+    monkeypatch.setattr(pivots, "best_in", counted)
+    r = np.random.default_rng(8)
+    centres = r.normal(size=(12, 4)) * 60
+    rows = [(i, (centres[i % 12] + r.normal(size=4)).round(2).tolist()) for i in range(1200)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = sorted(map(tuple, pivots.top_k(frame, F.col("vec_id") % 50 == 0).collect()))
+    assert found == brute_top(rows)
+    # 24 queries; 60 annuli at least would be 1,440 pairs.
+    assert len(met) > 2 and sum(met) < 700
+
+
+def test_pivots_grow_with_the_vectors():
+    assert [pivots.pivot_count(n) for n in (0, 1000, 10**6, 10**9, 10**15)] == [32, 32, 200, 2000, 4096]
+
+
 def test_annuli_are_pruned():
     scores = np.array([[3, 9, 9, 1, 9], [5, 5, 5, 5, 5]])
     assert pivots._top(scores, 2).tolist() == [[1, 2], [0, 1]]

@@ -4,9 +4,10 @@ Vectors are keyed by their nearest pivot and their distance to it, split by rang
 cut into annuli of at most ``ANNULUS`` vectors. A query first meets the annulus around its own
 distance in its own cell, which gives it a k-th score to beat. By the triangle inequality a
 vector x of an annulus is at least as far from query q as their distances to the pivot differ, so
-that q.x <= (|q|^2 + |x|^2 - gap^2) / 2: the query goes on to the other annuli, of all cells, that
-can still reach its k-th score, and to no more. Pivots are a bounded sample; every row is indexed,
-and the result is exact.
+that q.x <= (|q|^2 + |x|^2 - gap^2) / 2. The annuli of all cells are expanded in falling order of
+this bound, in waves of ``WAVE`` annuli, then four times as many: after each wave the k-th score has
+risen, and a query stops where no annulus ahead reaches it. Pivots are a bounded sample that grows
+with the cube root of the number of vectors; every row is indexed, and the result is exact.
 
 Components are floor(256 x), at the nearest 64-bit number where they are larger. Vectors that are
 null, hold null or not finite components take no part, nor do rows without an id. Scores are exact
@@ -17,7 +18,7 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
-import functools
+import math
 from collections.abc import Iterator
 from decimal import Decimal
 
@@ -29,13 +30,21 @@ from pyspark.sql import functions as F
 
 from ticketscope.llm.common import stored, table
 
+# Least and most pivots of one vector length; the most bounds what is sent to the driver and to tasks.
 PIVOTS = 32
+MOST_PIVOTS = 4096
 ANNULUS = 1024
 QUERY_BLOCK = 1024
+# Annuli that a query meets in its first wave, and growth from wave to wave.
+WAVE = 4
+GROWTH = 4
+# Tasks that share the annuli of one cell, at most: a cell may hold a large share of all vectors.
+SPREAD = 32
 SCALE = 256.0
 
 
 # Scores travel as decimals: inner products of 64-bit components outgrow 64 bits.
+SCORE_TYPE = "decimal(38,0)"
 _SCORE = pa.decimal128(38, 0)
 _MOST = 10**38 - 1
 
@@ -71,18 +80,24 @@ def quantised(rows: DataFrame) -> DataFrame:
     return found.mapInArrow(run, "vec_id bigint, dim int, vec binary")
 
 
+def pivot_count(vectors: int) -> int:
+    """Twice the cube root of the number of vectors, within the bounds."""
+    return min(MOST_PIVOTS, max(PIVOTS, math.ceil(2 * vectors ** (1 / 3))))
+
+
 def choose_pivots(vectors: DataFrame, n: int = PIVOTS) -> dict[int, np.ndarray]:
-    """At most ``n`` vectors of each length, chosen by a hash of the id."""
-    order = Window.partitionBy("dim").orderBy(F.xxhash64("vec_id"), "vec_id", "vec")
-    ranked = vectors.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= n)
+    """About ``n`` vectors of each length, chosen by a hash of the id: so many from each of 32 shares."""
+    code = F.xxhash64("vec_id")
+    order = Window.partitionBy("dim", "share").orderBy(code, "vec_id", "vec")
+    ranked = vectors.withColumn("share", F.pmod(code, F.lit(32))).withColumn("n", F.row_number().over(order))
     found: dict[int, list[np.ndarray]] = {}
-    for row in ranked.collect():
+    for row in ranked.filter(F.col("n") <= math.ceil(n / 32)).collect():
         found.setdefault(row.dim, []).append(np.frombuffer(row.vec, "<i8").astype(np.float64))
     return {dim: np.stack(rows) for dim, rows in found.items()}
 
 
-def keyed(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """Adds the squared length, the distances to all pivots, the nearest pivot and its distance."""
+def keyed(vectors: DataFrame, pivots: dict[int, np.ndarray], to_all: bool = False) -> DataFrame:
+    """Adds the squared length, the nearest pivot and its distance, and with ``to_all`` all distances."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,18 +109,17 @@ def keyed(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
                 # By differences: large components would drown a small distance otherwise.
                 distance = np.stack([np.sqrt(((x - one) ** 2).sum(axis=1)) for one in p], axis=1)
                 cell = distance.argmin(axis=1)
-                lists = pa.array(np.arange(len(x) + 1) * len(p), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [*own.columns, pa.array(square),
-                     pa.ListArray.from_arrays(lists, pa.array(distance.ravel())),
-                     pa.array(cell, pa.int32()), pa.array(distance[np.arange(len(x)), cell])],
-                    names=["vec_id", "dim", "vec", "square", "distances", "cell", "distance"],
-                )
+                columns = [*own.columns, pa.array(square), pa.array(cell, pa.int32()),
+                           pa.array(distance[np.arange(len(x)), cell])]
+                names = ["vec_id", "dim", "vec", "square", "cell", "distance"]
+                if to_all:
+                    lists = pa.array(np.arange(len(x) + 1) * len(p), pa.int32())
+                    columns.append(pa.ListArray.from_arrays(lists, pa.array(distance.ravel())))
+                    names.append("distances")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return vectors.mapInArrow(
-        run, "vec_id bigint, dim int, vec binary, square double, distances array<double>,"
-             " cell int, distance double"
-    )
+    kind = "vec_id bigint, dim int, vec binary, square double, cell int, distance double"
+    return vectors.mapInArrow(run, kind + ", distances array<double>" if to_all else kind)
 
 
 def annuli(vectors: DataFrame, size: int = ANNULUS) -> DataFrame:
@@ -227,52 +241,91 @@ def _top(scores: np.ndarray, k: int) -> np.ndarray:
     return np.nonzero(chosen)[1].reshape(len(scores), k)
 
 
+_QUERY = ["query_id", "query_key"]
+
+
+def _gap() -> F.Column:
+    """How far the query's distance to the pivot is outside of the annulus."""
+    return F.greatest(F.lit(0.0), F.col("low") - F.col("distance"), F.col("distance") - F.col("high"))
+
+
+def _reach() -> F.Column:
+    """The highest score that a vector of the annulus can have. Margins cover all rounding."""
+    sizes = F.col("square") + F.col("most")
+    lengths = F.sqrt("square") * F.sqrt("most")
+    apart = _gap() * (1 - 1e-9) - 1e-3 - 1e-9 * (F.sqrt("square") + F.sqrt("most") + F.col("distance"))
+    bound = F.when(apart > 0, F.least((sizes - apart * apart) / 2, lengths)).otherwise(lengths)
+    return bound + 1e-9 * sizes + 1.0
+
+
+def _meet(queries: DataFrame, outline: DataFrame, spread: int) -> DataFrame:
+    """Each row of ``queries`` with the annuli of its ``cell``, shared by ``spread`` tasks."""
+    salted = queries.withColumn("salt", F.pmod(F.xxhash64(*_QUERY), F.lit(spread)).cast("int"))
+    repeated = outline.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    return salted.join(repeated, ["dim", "cell", "salt"]).drop("salt")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The rows of ``found`` with their ``rank``, up to ``k``."""
+    order = Window.partitionBy(*_QUERY).orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def top_k(rows: DataFrame, is_query: F.Column, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row the k best of all other rows."""
     vectors = quantised(rows)
-    pivots = choose_pivots(vectors)
-    by_pivot = keyed(vectors, pivots)
-    rings = stored(annuli(by_pivot))
+    pivots = choose_pivots(vectors, pivot_count(rows.count()))
+    rings = stored(annuli(keyed(vectors, pivots)))
     queries = stored(
-        by_pivot.filter(is_query).select(
-            F.col("vec_id").alias("query_id"), F.xxhash64("vec").alias("query_key"),
-            "dim", "vec", "square", "distances", "cell", "distance",
-        ).dropDuplicates(["query_id", "query_key"])
+        keyed(vectors.filter(is_query), pivots, to_all=True)
+        .withColumnRenamed("vec_id", "query_id").withColumn("query_key", F.xxhash64("vec"))
+        .dropDuplicates(_QUERY)
     )
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    spread = min(SPREAD, blocks)
     outline = rings.select("ring", "dim", "cell", "low", "high", "most")
-    gap = F.greatest(F.lit(0.0), F.col("low") - F.col("distance"), F.col("distance") - F.col("high"))
-    near = (
-        queries.drop("distances").join(outline, ["dim", "cell"])
-        .groupBy("query_id", "query_key", "vec")
-        .agg(F.min_by("ring", F.struct(gap, "ring")).alias("ring"))
-    )
-    first = stored(best_in(near.withColumn("bar", F.lit(None).cast("decimal(38,0)")), rings, k, blocks))
-    bars = first.groupBy("query_id", "query_key").agg(
-        F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("bar")
-    )
-    done = near.select("query_id", "query_key", F.col("ring").alias("done"))
-    keys = ["query_id", "query_key"]
-    everywhere = (
-        queries.drop("cell", "distance")
-        .join(done, keys, "left").join(bars, keys, "left")
-        .select("*", F.posexplode("distances").alias("cell", "distance")).drop("distances")
-    )
-    # Margins cover the rounding of distances, lengths and of the bound itself.
-    sizes = F.col("square") + F.col("most")
-    apart = gap * (1 - 1e-9) - 1e-3 - 1e-9 * (F.sqrt("square") + F.sqrt("most") + F.col("distance"))
-    lengths = F.sqrt("square") * F.sqrt("most")
-    reach = F.when(apart > 0, F.least((sizes - apart * apart) / 2, lengths)).otherwise(lengths) + 1e-9 * sizes + 1.0
-    further = (
-        everywhere.join(outline, ["dim", "cell"])
-        .filter(~F.col("ring").eqNullSafe(F.col("done")))
-        .filter(F.col("bar").isNull() | (reach >= F.col("bar").cast("double")))
-        .select("ring", "query_id", "query_key", "vec", "bar")
+    vecs = queries.select(*_QUERY, "vec")
+    own = queries.select(*_QUERY, "dim", "cell", "distance")
+    near = stored(
+        _meet(own, outline, spread).groupBy(*_QUERY)
+        .agg(F.min_by("ring", F.struct(_gap(), "ring")).alias("done"))
     )
-    found = first.union(best_in(further, rings, k, blocks))
-    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", F.col("score").try_cast("bigint").alias("score"))
+    nothing = F.lit(None)
+    first = near.select(*_QUERY, F.col("done").alias("ring"), nothing.cast(SCORE_TYPE).alias("bar"))
+    found = stored(_best(best_in(first.join(vecs, _QUERY), rings, k, blocks), k))
+    state = near.withColumns({"last_reach": nothing.cast("double"), "last_ring": nothing.cast("bigint")})
+    take = WAVE
+    while True:
+        bars = found.filter(F.col("rank") == k).select(*_QUERY, F.col("score").alias("bar"))
+        active = state.join(bars, _QUERY, "left").join(queries.drop("vec", "cell", "distance"), _QUERY)
+        cells = active.select("*", F.posexplode("distances").alias("cell", "distance")).drop("distances")
+        behind = (F.col("reach") > F.col("last_reach")) | (
+            (F.col("reach") == F.col("last_reach")) & (F.col("ring") <= F.col("last_ring"))
+        )
+        ahead = (
+            _meet(cells, outline, spread)
+            .select(*_QUERY, "done", "ring", "bar", "last_reach", "last_ring", _reach().alias("reach"))
+            .filter(F.col("ring") != F.col("done"))
+            .filter(F.col("bar").isNull() | (F.col("reach") >= F.col("bar").cast("double")))
+            .filter(F.col("last_ring").isNull() | ~behind)
+        )
+        order = Window.partitionBy(*_QUERY).orderBy(F.desc("reach"), "ring")
+        wave = stored(
+            ahead.select(*_QUERY, "done", "ring", "bar", "reach", F.row_number().over(order).alias("n"))
+            .filter(F.col("n") <= take)
+        )
+        longest = wave.agg(F.max("n")).first()[0]
+        if longest is None:
+            break
+        pairs = wave.select(*_QUERY, "ring", "bar").join(vecs, _QUERY)
+        found = stored(_best(found.drop("rank").union(best_in(pairs, rings, k, blocks)), k))
+        if longest < take:
+            break
+        state = wave.filter(F.col("n") == take).select(
+            *_QUERY, "done", F.col("reach").alias("last_reach"), F.col("ring").alias("last_ring")
+        )
+        take *= GROWTH
+    return found.select("query_id", "rank", "vec_id", F.col("score").try_cast("bigint").alias("score"))
 
 
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
