@@ -101,6 +101,36 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_hubs_that_hold_most_links(spark):
+    r = random.Random(11)
+    edges = [(5000, i) for i in range(5001, 5400)] + [(i, 9000) for i in range(8000, 8300)]
+    edges += [(r.randrange(300), r.randrange(300)) for _ in range(150)]
+    label = {n: n for e in edges for n in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    found = {x.node: x.root for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {n: root for n, root in label.items() if n != root}
+
+
+def test_copies_of_one_text_are_dealt_to_many_tasks(spark):
+    rows = [(i, "one text that is copied very often") for i in range(400)]
+    rows += [(1000 + i, f"word{i} other{i} text{i} here{i}") for i in range(50)] + [(2000, None), (2001, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        found = simhash.near_copies(frame).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len({r.task for r in found if r.doc_id < 400}) > 2
+    assert {r.component_id for r in found if r.doc_id < 400} == {0} and len(found) == len(rows)
+    assert {r.component_id for r in found if r.doc_id >= 2000} == {2000}
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_equal_sql(spark, name):
     result = queries.queries()[name](spark, SF)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketscope.llm.common import stored
+from ticketscope.operators.joins import hot_keys, spread_join
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,7 +14,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternates two steps until nothing changes: all larger neighbours of a node are hung on its
     smallest neighbour, then all smaller ones. Minima are merged before they are shuffled, so a
-    node with very many edges sends one row per task. Every round is written to the shared folder.
+    node with very many edges sends one row per task, and where its edges meet its minimum they are
+    dealt to many tasks. Every round is written to the shared folder.
     """
     links = edges.select(F.greatest(a, b).alias("node"), F.least(a, b).alias("root"))
     links = stored(links.filter("node != root").distinct())
@@ -29,14 +31,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         both = links.select(F.col("node").alias("x"), F.col("root").alias("y")).union(
             links.select(F.col("root").alias("x"), F.col("node").alias("y"))
         )
-        low = both.groupBy("x").agg(F.min("y").alias("m"))
+        count = F.count(F.lit(1)).alias("n")
+        upward = both.filter("y > x")
+        low = both.groupBy("x").agg(F.min("y").alias("m"), F.count_if(F.col("y") > F.col("x")).alias("n"))
+        hubs = hot_keys(low, "x", found.n)
         large = (
-            both.filter("y > x").join(low, "x")
+            spread_join(upward, low.drop("n"), "x", "inner", hubs)
             .select(F.col("y").alias("node"), F.least("m", "x").alias("root")).distinct()
         )
-        lowest = large.groupBy("node").agg(F.min("root").alias("m"))
+        lowest = large.groupBy("node").agg(F.min("root").alias("m"), count)
+        leaves = hot_keys(lowest, "node", found.n)
         small = (
-            large.join(lowest, "node").filter("root != m")
+            spread_join(large, lowest.drop("n"), "node", "inner", leaves).filter("root != m")
             .select(F.col("root").alias("node"), F.col("m").alias("root"))
         )
         links = stored(small.union(lowest.select("node", F.col("m").alias("root"))).distinct())

@@ -10,6 +10,8 @@ of longer beginnings, so that memory stays bounded. The length of the beginning
 number of fingerprints.
 
 Equal fingerprints are one row before anything is shuffled on values, however often they occur.
+Where documents and fingerprints get the name of their component, the rows of a fingerprint with very
+many documents, or of a component with very many fingerprints, are dealt to many tasks.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ticketscope.llm.common import slices, stored, table
 from ticketscope.llm.components import components
+from ticketscope.operators.joins import hot_keys, spread_join
 
 RADIUS = 4
 SHINGLE = 4
@@ -174,15 +177,21 @@ def near_copies(rows: DataFrame, id_column: str = "doc_id", text: str = "text")
     stay. Rows without an id have a fingerprint and the component's smallest id, NULL if none of
     it has an id. Extra columns are ignored; an empty table gives an empty result.
     """
+    count = F.count(F.lit(1)).alias("n")
     found = stored(fingerprints(rows, id_column, text))
-    classes = found.groupBy("fp").agg(F.min(id_column).alias("first"))
+    classes = stored(found.groupBy("fp").agg(F.min(id_column).alias("first"), count))
     roots = components(linked_fingerprints(classes))
-    members = classes.join(roots, F.col("fp") == F.col("node"), "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
+    members = stored(
+        classes.join(roots, F.col("fp") == F.col("node"), "left")
+        .select("fp", "first", F.coalesce("root", "fp").alias("root"))
     )
-    smallest = members.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = stored(members.join(smallest, "root").select("fp", "component_id"))
-    return found.join(named, "fp").select(
+    smallest = members.groupBy("root").agg(F.min("first").alias("component_id"), count)
+    large = hot_keys(smallest, "root", members.count())
+    named = stored(
+        spread_join(members, smallest.drop("n"), "root", "inner", large).select("fp", "component_id")
+    )
+    copied = hot_keys(classes, "fp", found.count())
+    return spread_join(found, named, "fp", "inner", copied).select(
         id_column, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
