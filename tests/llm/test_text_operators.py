@@ -1,6 +1,7 @@
 """Tokens, pages, languages and toxicity against libraries, brute force and held-out rows."""
 
 import hashlib
+import html.parser
 import random
 import time
 import zlib
@@ -283,3 +284,92 @@ def test_known_words_do_not_change_what_is_kept():
     for page, *_ in html_text.labelled_pages(40, seed=9):
         whole, known = html_text.blocks_of(page), html_text.blocks_of(page, model.known)
         assert [b[1:] for b in whole] == [b[1:] for b in known] and model.keep(whole) == model.keep(known)
+
+
+def naive_hits(lexicon, joined):
+    found = {}
+    for entry, weight in lexicon.weights.items():
+        for start in range(len(joined)):
+            if joined.startswith(entry, start) and weight > found.get(start, 0.0):
+                found[start] = weight
+    for phrase in lexicon.exceptions:
+        for start in range(len(joined)):
+            if joined.startswith(f" {phrase} ", start):
+                inside = range(start, start + len(phrase) + 1)
+                found = {place: weight for place, weight in found.items() if place not in inside}
+    return found
+
+
+def test_matching_equals_a_naive_search():
+    r = random.Random(5)
+    words = ["ab", "abc", "abcd", "abcde", "bcde", "cabcd", "dd", "abcdef"]
+    for _ in range(60):
+        weights = {f" {w} ": r.uniform(0.5, 3) for w in r.sample(words, 3)}
+        weights |= {f" {w[:4]}": r.uniform(0.5, 3) for w in r.sample(words, 2) if len(w) > 4}
+        phrases = tuple(" ".join(r.choices(words, k=r.randint(1, 3))) for _ in range(2))
+        lexicon = toxicity.Lexicon(weights, tuple(dict.fromkeys(phrases)))
+        text = r.choices(words, k=r.choice([0, 1, 5, 40]))
+        joined, found = toxicity.Matcher(lexicon).hits(text)
+        assert joined == f" {' '.join(text)} " and found == naive_hits(lexicon, joined)
+
+
+class _Naive(html.parser.HTMLParser):
+    """The blocks of a well-formed page: text between two tags that are not inline."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.parts, self.blocks, self.hidden = [], [], 0
+
+    def close_block(self):
+        text = " ".join("".join(self.parts).split())
+        self.blocks += [text] if text else []
+        self.parts = []
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style")
+        if tag not in ("a", "b", "em", "span", "script", "style"):
+            self.close_block()
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("script", "style")
+        if tag not in ("a", "b", "em", "span", "script", "style"):
+            self.close_block()
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.parts.append(data)
+
+
+def made_page(r, depth=0):
+    def words(n):
+        return " ".join(r.choices(["one", "two,", "three.", "&amp;", "&eacute;t&eacute;", "&#8217;s", "  wide\n", "&lt;p&gt;"], k=n))
+
+    def line():
+        inline = [words(r.randint(0, 4)), f"<b>{words(2)}</b>", f"<a href='x>y'>{words(1)}</a>", f"<em>x<span>{words(1)}</span></em>",
+                  "<script>if (a < b) { '</p>' }</script>", "<!-- <p>no</p> -->"]
+        return "".join(r.choices(inline, k=r.randint(0, 4)))
+
+    made = ""
+    for _ in range(r.randint(1, 4)):
+        tag = r.choice(["p", "h2", "div", "section", "article", "blockquote", "ul", "table"])
+        if tag in ("p", "h2") or depth > 3:
+            inside = line()
+        elif tag == "ul":
+            inside = "".join(f"<li>{line()}</li>" for _ in range(r.randint(0, 3)))
+        elif tag == "table":
+            inside = "".join(f"<tr><td>{line()}</td><td>{line()}</td></tr>" for _ in range(r.randint(1, 2)))
+        else:
+            inside = line() + made_page(r, depth + 1) + line()
+        made += f"<{tag} class=c{r.randint(0, 3)}>{inside}</{tag}>"
+    return made
+
+
+def test_blocks_equal_a_naive_parser():
+    r = random.Random(12)
+    for _ in range(300):
+        page = f"<html><body>{made_page(r)}</body></html>"
+        naive = _Naive()
+        naive.feed(page)
+        naive.close()
+        naive.close_block()
+        assert [block[1] for block in html_text.blocks_of(page)] == naive.blocks
