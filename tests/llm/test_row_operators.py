@@ -219,6 +219,17 @@ def test_hand_made_leaks_equal_sql(spark, leak_tables):
         decontaminate.op4_decontaminate(spark, folder), con, queries.oracle_sql()["op4_decontaminate"]) == []
 
 
+def test_windows_of_the_benchmark_are_no_part_of_the_plan(spark):
+    documents = spark.createDataFrame([(1, ITEM)], "doc_id long, text string")
+
+    def planned(n):
+        texts = [(i, " ".join(f"w{chr(97 + i % 26)}{chr(97 + k)}" * (1 + i // 26) for k in range(26))) for i in range(n)]
+        items = spark.createDataFrame(texts, "item_id long, text string")
+        return len(decontaminate.contaminated(documents, items)._jdf.queryExecution().toString())
+
+    assert planned(300) < 1.1 * planned(3)
+
+
 def test_large_benchmarks_take_the_shuffled_way(spark, monkeypatch):
     documents, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     expected = sorted(map(tuple, decontaminate.contaminated(documents, items).collect()))

@@ -19,7 +19,8 @@ found where they stand literally. A name is a capitalised word that is no functi
 it stands. Signs of scripts without spaces are a token each.
 
 Only windows that some item has leave the document's row, as long as the items have at most
-``SET_WINDOWS`` windows; with more, all windows are shuffled.
+``SET_WINDOWS`` windows: these are broadcast. With more, all windows are shuffled. Nothing of the
+windows passes through the driver's program or stands in the plan.
 
 Documents and items without text or id take no part. Documents that repeat an id count as one,
 items with equal text as the one with the smallest id. Extra columns are ignored; empty tables
@@ -28,8 +29,6 @@ give an empty result. Ties between diagonals go to the smallest.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +39,6 @@ SHORTEST_TEMPLATE = 4
 SHORTEST_INSIDE = 3
 MIN_SHARE = 0.5
 SET_WINDOWS = 50_000
-_LEAD = 3
 
 # Kana, Han, Thai, Lao, Burmese and Khmer are written without spaces.
 _SOLO = r"\x{0e00}-\x{0eff}\x{1000}-\x{109f}\x{1780}-\x{17ff}\x{3041}-\x{30ff}\x{3400}-\x{9fff}\x{20000}-\x{323af}"
@@ -101,13 +99,13 @@ def templates(text: Column) -> Column:
     )
 
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value evaluated once however often it is used."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+def _token_hashes(tokens: Column, kind: str) -> Column:
+    """Tokens occur in many windows; each is hashed once."""
+    return F.transform(tokens, lambda p: F.xxhash64(p.getField(kind)))
 
 
-def _hash(tokens: Column, place: Column, size: int, field: str) -> Column:
-    return F.xxhash64(*[F.get(tokens, place + k).getField(field) for k in range(size)])
+def _hash(hashes: Column, place: Column, size: int, kind: str) -> Column:
+    return F.xxhash64(F.lit(f"{kind}{size}"), *[F.get(hashes, place + k) for k in range(size)])
 
 
 def _places(tokens: Column, size: int) -> Column:
@@ -132,7 +130,9 @@ def item_windows(items: DataFrame, id_column: str = "item_id", text: str = "text
             F.col("item_words") >= size if size == WINDOW else F.col("item_words") == size
         )
         kinds = [
-            F.struct(F.lit(kind).alias("kind"), _hash(F.col("iwin"), F.lit(0), size, kind).alias("h"))
+            F.struct(
+                F.lit(kind).alias("kind"), _hash(_token_hashes(F.col("iwin"), kind), F.lit(0), size, kind).alias("h")
+            )
             for kind in ("c", "v")
         ]
         rows = some.select(
@@ -147,41 +147,30 @@ def item_windows(items: DataFrame, id_column: str = "item_id", text: str = "text
 
 
 def document_windows(
-    documents: DataFrame, sizes: list[int], wanted: dict[tuple[int, str], tuple[list[int], list[int]]] | None,
-    id_column: str = "doc_id", text: str = "text",
+    documents: DataFrame, sizes: list[int], wanted: DataFrame | None, id_column: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """(id, dpos, dwin, kind, h) of the windows whose hash is ``wanted`` (None: of all).
-
-    ``wanted`` has, by size and kind, the hashes of the first three tokens of the items' windows, and
-    of whole windows: the first set spares most windows the longer hash.
-    """
+    """(id, dpos, dwin, h) of the windows, by template and by literal form, whose ``h`` is ``wanted`` (None: of all)."""
     rows = documents.filter(F.col(id_column).isNotNull() & F.col(text).isNotNull()).select(
         id_column, templates(F.col(text)).alias("tokens")
     )
+    hashed = rows.select(id_column, "tokens", *[_token_hashes(F.col("tokens"), kind).alias(kind) for kind in ("c", "v")])
 
-    def some(tokens: Column, size: int) -> Column:
-        def matches(place: Column) -> Column:
-            found = F.lit(False)
-            for kind in ("c", "v"):
-                if (size, kind) in wanted:
-                    leads, hashes = wanted[size, kind]
-                    lead = _hash(tokens, place, min(_LEAD, size), kind).isin(leads)
-                    found |= lead & _hash(tokens, place, size, kind).isin(hashes)
-            return found
-
-        places = _places(tokens, size)
-        if wanted is not None:
-            places = F.filter(places, matches)
-        return F.transform(places, lambda i: F.struct(
-            i.alias("dpos"), F.slice(tokens, i + 1, size).alias("dwin"),
-            *[_hash(tokens, i, size, kind).alias(kind) for kind in ("c", "v")],
+    def some(size: int, kind: str) -> Column:
+        return F.transform(_places(F.col("tokens"), size), lambda i: F.struct(
+            i.alias("dpos"), F.lit(size).alias("size"), _hash(F.col(kind), i, size, kind).alias("h")
         ))
 
-    windows = _once(F.col("tokens"), lambda tokens: F.concat(*[some(tokens, size) for size in sizes]))
-    kinds = [F.struct(F.lit(kind).alias("kind"), F.col(f"w.{kind}").alias("h")) for kind in ("c", "v")]
+    every = F.concat(*[some(size, kind) for size in sizes for kind in ("c", "v")])
     # Outer, as an inner explode would make the optimizer compute the array a second time for a filter.
-    found = rows.select(id_column, F.explode_outer(windows).alias("w")).filter(F.col("w").isNotNull())
-    return found.select(id_column, "w.dpos", "w.dwin", F.inline(F.array(*kinds)))
+    found = (
+        hashed.select(id_column, "tokens", every.alias("windows"))
+        .select(id_column, "tokens", F.explode_outer("windows").alias("w")).filter(F.col("w").isNotNull())
+        .select(id_column, "tokens", "w.*")
+    )
+    if wanted is not None:
+        # By the hash alone, so that the join is compiled and copies the tokens only of windows it meets.
+        found = found.join(F.broadcast(wanted.select("h")), "h", "left_semi")
+    return found.select(id_column, "dpos", F.slice("tokens", F.col("dpos") + 1, F.col("size")).alias("dwin"), "h")
 
 
 def contaminated(documents: DataFrame, items: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -192,21 +181,10 @@ def contaminated(documents: DataFrame, items: DataFrame, id_column: str = "doc_i
     windows = stored(item_windows(items))
     counts = windows.groupBy("size", "kind").agg(F.count(F.lit(1)).alias("n")).collect()
     sizes = sorted({r["size"] for r in counts}) or [WINDOW]
-    wanted = None
-    if sum(r["n"] for r in counts) <= 2 * SET_WINDOWS:
-        lead = F.when(F.lit(False), F.lit(0).cast("long"))
-        for size in sizes:
-            for kind in ("c", "v"):
-                own = _hash(F.col("iwin"), F.lit(0), min(_LEAD, size), kind)
-                lead = lead.when((F.col("size") == size) & (F.col("kind") == kind), own)
-        sets: dict = {}
-        for r in windows.select("size", "kind", lead.alias("lead"), "h").distinct().collect():
-            leads, hashes = sets.setdefault((r["size"], r.kind), (set(), set()))
-            leads.add(r.lead)
-            hashes.add(r.h)
-        wanted = {key: (sorted(leads), sorted(hashes)) for key, (leads, hashes) in sets.items()}
-    found = document_windows(documents, sizes, wanted, id_column)
-    matched = found.join(F.broadcast(windows) if wanted is not None else windows, ["kind", "h"])
+    few = sum(r["n"] for r in counts) <= 2 * SET_WINDOWS
+    found = document_windows(documents, sizes, windows if few else None, id_column)
+    # The hash tells size and kind apart; the tokens are compared below.
+    matched = found.join(F.broadcast(windows) if few else windows, "h")
 
     def values(window: str, field: str) -> Column:
         return F.transform(window, lambda p: p.getField(field))
