@@ -41,6 +41,20 @@ def test_query_equals_sql(spark, duck, name):
         assert unwanted not in plan
 
 
+@pytest.mark.parametrize("name", ["incident_details_untidy", "incident_details_untidy_display",
+                                  "incident_details", "resolution_tracking_untidy"])
+def test_joins_and_cleaning_run_once(spark, name):
+    """A global sort and a union of counts read their input more than once: that is a stored copy."""
+    plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_orderkey" not in plan and "l_orderkey" not in plan
+
+
+def test_cleaning_is_not_one_method_too_long_to_compile(spark):
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    QUERIES["normalize"](spark, SF_DIR)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 

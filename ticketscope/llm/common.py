@@ -1,16 +1,16 @@
-"""What the operators share: tables, folders for intermediate results, bounded text batches."""
+"""What the operators share: tables, intermediate results, bounded text batches."""
 
 from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ticketscope.sources.scratch import shared_folder, stored  # noqa: F401
 
 BATCH_BYTES = 8 << 20
 _shipped: set[str] = set()
@@ -42,26 +42,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder name below ``spark.checkpoint.dir``.
-
-    Only a local session may go without that setting; it uses a temporary folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.gettempdir()
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def stored(rows: DataFrame) -> DataFrame:
-    """``rows`` written to the shared folder and read again: no lineage, nothing is redone."""
-    path = shared_folder(rows.sparkSession) + ".parquet"
-    rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
 _held: dict = {}
 
 

@@ -14,6 +14,7 @@ from ticketscope.operators import category_reports, site_reports, ticket_reports
 from ticketscope.operators.normalize import require_number
 from ticketscope.operators.rollup import LABELS, sites_of
 from ticketscope.plans import display
+from ticketscope.sources.scratch import stored_if_shared
 
 
 @dataclass(frozen=True)
@@ -105,15 +106,19 @@ REPORTS = {
 }
 
 
-def sort_report(name: str, rows: DataFrame) -> DataFrame:
+def sort_report(name: str, rows: DataFrame, copied: bool = False) -> DataFrame:
     """Put report rows in the order people read them.
 
-    In reports with a row per ticket the number of the reading task is the last sort key: it lets
+    A global sort reads its input twice. Rows per ticket are stored first, so that joins and cleaning run once,
+    unless the tickets are a stored copy (``copied``) or there is no folder that all executors share.
+    In these reports the number of the reading task is the last sort key: it lets
     the sort split identical rows, which all would go to one task otherwise.
     """
     report = REPORTS[name]
     if not report.one_row_per_ticket:
         return rows.orderBy(*report.order())
+    if not copied:
+        rows = stored_if_shared(rows)
     tasks = rows.withColumn("_task", F.spark_partition_id())
     return tasks.orderBy(*report.order(), "_task").drop("_task")
 
@@ -126,11 +131,13 @@ def run_report(
     ordered: bool = True,
     as_text: bool = False,
     rollup: DataFrame | None = None,
+    copied: bool = False,
 ) -> DataFrame:
     """Build a report over (filtered) tickets, or over their ``rollup`` if the report can use it.
 
     ``ordered=False`` saves the global sort where the rows are processed further. The text
-    columns are made after the sort, so the sort moves typed values.
+    columns are made after the sort, so the sort moves typed values. ``copied`` says that the tickets
+    are a stored copy, cheap to read twice.
     """
     if name not in REPORTS:
         raise ValueError(f"Unknown report {name!r}; known: {', '.join(REPORTS)}")
@@ -141,5 +148,5 @@ def run_report(
     else:
         rows = report.build(tickets, as_of, config)
     if ordered:
-        rows = sort_report(name, rows)
+        rows = sort_report(name, rows, copied)
     return REPORTS[name].show(rows, config) if as_text else rows
