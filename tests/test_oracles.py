@@ -41,7 +41,7 @@ def test_query_equals_sql(spark, duck, name):
         assert unwanted not in plan
 
 
-@pytest.mark.parametrize("name", ["incident_details_untidy", "incident_details_untidy_display",
+@pytest.mark.parametrize("name", ["export_counts", "incident_details_untidy", "incident_details_untidy_display",
                                   "incident_details", "resolution_tracking_untidy"])
 def test_joins_and_cleaning_run_once(spark, name):
     """A global sort and a union of counts read their input more than once: that is a stored copy."""

@@ -35,15 +35,7 @@ def export_everything(
     without rows leaves a folder without rows and counts 0. The active filters are recorded
     in ``filters``.
     """
-    spark = tickets.sparkSession
-    raw_path = f"{path}/tickets"
-    export_tickets(apply_filters(tickets, conditions), raw_path, "parquet", mode)
-    stored = spark.read.parquet(raw_path)
-    filtered = derive(with_inner_names(stored), as_of)
-
-    ticket_rollup(filtered, labels=True).write.mode(mode).parquet(f"{raw_path}/{ROLLUP_FOLDER}")
-    rollup = spark.read.parquet(f"{raw_path}/{ROLLUP_FOLDER}")
-    datasets = bundle(stored, filtered, rollup, as_of, config)
+    datasets = stored_bundle(tickets, path, as_of, conditions, config, mode)
     counts = {}
     for name, data in datasets.items():
         written = Observation(name)
@@ -51,17 +43,41 @@ def export_everything(
             data.observe(written, F.count(F.lit(1)).alias("rows")), f"{path}/{name}", format, mode
         )
         counts[name] = written.get["rows"]
-    lines = spark.createDataFrame([(line,) for line in conditions.describe()], "filter string")
+    lines = tickets.sparkSession.createDataFrame([(line,) for line in conditions.describe()], "filter string")
     export(lines.coalesce(1), f"{path}/filters", format, mode)
     return counts
 
 
+def stored_bundle(
+    tickets: DataFrame,
+    path: str,
+    as_of: datetime | str,
+    conditions: TicketFilter = TicketFilter(),
+    config: Config = DEFAULT_CONFIG,
+    mode: str = "errorifexists",
+) -> dict[str, DataFrame]:
+    """Write the filtered tickets and their rollup below ``path``; the datasets over this copy by name."""
+    spark = tickets.sparkSession
+    raw_path = f"{path}/tickets"
+    export_tickets(apply_filters(tickets, conditions), raw_path, "parquet", mode)
+    stored = spark.read.parquet(raw_path)
+    filtered = derive(with_inner_names(stored), as_of)
+
+    ticket_rollup(filtered, labels=True).write.mode(mode).parquet(f"{raw_path}/{ROLLUP_FOLDER}")
+    rollup = spark.read.parquet(f"{raw_path}/{ROLLUP_FOLDER}")
+    return bundle(stored, filtered, rollup, as_of, config)
+
+
 def bundle(
     stored: DataFrame, filtered: DataFrame, rollup: DataFrame, as_of: datetime | str, config: Config
 ) -> dict[str, DataFrame]:
-    """The eleven datasets by name: from the rollup (with labels) where it has what they need."""
+    """The eleven datasets by name: from the rollup (with labels) where it has what they need.
+
+    ``filtered`` are stored tickets, so that a sort may read them twice.
+    """
     sheet = sheet_of(sites_of(rollup), as_of).orderBy("position")
     reports = {
-        name: run_report(name, filtered, as_of, config, as_text=True, rollup=rollup) for name in REPORTS
+        name: run_report(name, filtered, as_of, config, as_text=True, rollup=rollup, copied=True)
+        for name in REPORTS
     }
     return {"raw_data": stored, "summary": sheet, **reports}
